@@ -1 +1 @@
-
+"""Column functions: validity, per-pixel transforms, layer algebra, bit transports."""

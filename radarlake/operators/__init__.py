@@ -1 +1 @@
-
+"""Operators over pixel and chunk tables."""

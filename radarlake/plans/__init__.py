@@ -1 +1 @@
-
+"""Driver-side planning: windows, chunks, lattices, cameras, pages. No DataFrames."""
