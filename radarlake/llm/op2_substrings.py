@@ -1,20 +1,23 @@
 """Substring dedup with compact windows.
 
-The tokens are 5-word shingles (lower case, split at white space). For each of three
+The tokens are 5-word shingles (lower case, split at white space). For each of four
 hash functions, the Cartesian tree over a text's token hashes gives its compact windows
 (l, c, r): every subsequence within l..r that holds c has its min-hash at c. Only those
 at least ``SPAN`` tokens wide (a passage of 50 words) are kept, about 2 per ``SPAN``
 tokens; their centres are the minima of sliding windows, found for whole batches at
-once. Windows of equal min-hash in different texts are joined in a star around the
-first text that has it, never all pairs. The intervals of each pair of texts are then
-verified on the texts: windows of 50 words whose tokens have a Jaccard similarity of
-0.8 or more (tokens matched one to one) make up the passages.
-
-A text is known by its id and content: equal rows are one text, which is no copy of
-itself, and share one result. Only rows in hash buckets with a match are shuffled.
-
-Edge cases: null, empty and short texts (under 50 words) have no passage; a null id
-sorts first; an empty table gives an empty table; other columns are ignored.
+once. Windows of equal min-hash are joined in a star around the first text that has it,
+never all pairs. Pairs of texts in which two hash functions or more met are verified on
+the tokens around the meeting places: windows of 50 words whose tokens have a Jaccard
+similarity of 0.8 or more (tokens matched one to one) make up the passages. A passage
+of exactly 50 words at similarity 0.8 meets in two of four hashes with a chance of 0.97;
+an exact repeat always does.
+
+Only the windows, and of texts in a pair the tokens around their windows, are moved.
+
+Edge cases: null, empty and short texts (under 50 words) have no passage; rows that
+share an id are one document, which is no copy of itself; rows with a null id are
+neither copies nor sources; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from radarlake.llm.common import attach, materialize, workers_can_import
 SHINGLE = 5
 SPAN = 46
 SIMILAR = 0.8
-HASHES = 3
+HASHES = 4
+#: A pair of texts is verified where so many hash functions met.
+LEAST_HASHES = 2
 BUCKETS = 1 << 20
 #: More pairs than this around one text are dealt to several tasks.
 STAR = 1024
@@ -150,7 +155,7 @@ def _batch_keys(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarra
         g = (g ^ (g >> np.uint64(31))) * np.uint64(_MIX[k + 1] | 1)
         g ^= g >> np.uint64(28)
         _, c, _ = compact_windows(g, doc, end)
-        keys.append(g[c] ^ np.uint64(_MIX[k + 1]))
+        keys.append(g[c] & ~np.uint64(3) | np.uint64(k))
         docs.append(doc[c])
         at.append(c - begin[doc[c]] + shift[doc[c]])
     key, d, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(at)
@@ -173,7 +178,7 @@ def _tokens(text: str, memo) -> np.ndarray:
     return h + nth * np.uint64(_MIX[1])
 
 
-def passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], span: int = SPAN, similar: float = SIMILAR) -> list[tuple[int, int, int, float]]:
+def passages(a: np.ndarray, b: np.ndarray, seeds, span: int = SPAN, similar: float = SIMILAR) -> list[tuple[int, int, int, float]]:
     """(first word, end, first word in b, similarity) of the passages of a that b has.
 
     seeds: places (in a, in b) where compact windows met. A window of a is compared
@@ -185,7 +190,7 @@ def passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], span: i
     order = np.argsort(b, kind="stable")
     at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
     match = np.where(b[order][at] == a, order[at], -(1 << 40))
-    seeds = np.array(sorted(set(seeds)), dtype=np.int64)
+    seeds = np.unique(np.asarray(seeds, dtype=np.int64).reshape(-1, 2), axis=0)
     far = seeds[:, 1] - seeds[:, 0]
     best, shift = np.zeros(n), np.zeros(n, dtype=np.int64)
     view = np.lib.stride_tricks.sliding_window_view(match, span)
@@ -216,64 +221,115 @@ def passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], span: i
     return out
 
 
-def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("id", "text"))
+def _bucket(hashed):
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1))
+
 
+def _near(places: np.ndarray, n: int) -> np.ndarray:
+    """The places of all windows that hold one of ``places``, in a text of n tokens."""
+    lo, hi = np.maximum(places - SPAN + 1, 0), np.minimum(places + SPAN, n)
+    mark = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(mark, lo, 1)
+    np.add.at(mark, hi, -1)
+    return np.flatnonzero(np.cumsum(mark[:n]) > 0).astype(np.int32)
 
-def _bucket():
-    return F.col("rid").bitwiseAND(F.lit(BUCKETS - 1))
+
+def _dense(at: bytes, tokens: bytes, gap: int) -> tuple[np.ndarray, int]:
+    """Tokens at their places, from the first one on; ``gap`` between."""
+    at, tokens = np.frombuffer(at, dtype="<i4"), np.frombuffer(tokens, dtype="<u8")
+    out = np.full(int(at[-1] - at[0]) + 1, gap, dtype=np.uint64)
+    out[at - at[0]] = tokens
+    return out, int(at[0])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rid, first_word, n_words, source, source_word, similarity): passages that an earlier text has."""
+    """(id, rid, first_word, n_words, source, source_word, similarity): passages that an earlier text has.
+
+    rid, a hash of id and text, tells rows apart that share an id.
+    """
     workers_can_import(docs.sparkSession)
-    src = _known(docs, id_col, text_col)
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id IS NOT NULL")
     kind = src.schema["id"].dataType.simpleString()
 
     def scan(batches):
         memo = _hasher()
         for b in batches:
-            ids = b.column(2)
             for key, row, c in _windows(range(b.num_rows), b.column(1).to_pylist(), memo):
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(row), b.column(0).take(row), pa.array(c)], names=["key", "id", "rid", "c"])
-
-    windows = materialize(src.select("rid", "text", "id").mapInArrow(scan, f"key long, id {kind}, rid long, c int"))
-    first = windows.groupBy("key").agg(F.min(F.struct("id", "rid", "c")).alias("x"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("x.rid").alias("brid"), F.col("x.c").alias("bc"), "n")
-    met = attach(windows.drop("id"), materialize(first), "key", "n").filter("rid <> brid")
-    pairs = materialize(met.groupBy("rid", "brid").agg(F.sort_array(F.collect_set(F.struct("c", "bc"))).alias("seeds")))
-    stars = pairs.groupBy("brid").agg(F.count(F.lit(1)).alias("n")).withColumn("deal", F.ceil(F.col("n") / STAR).cast("int"))
-    stars = materialize(stars)
-    dealt = attach(pairs, stars, "brid", "n").withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("deal")).cast("int"))
-    buckets = materialize(pairs.select("rid").union(stars.select(F.col("brid").alias("rid"))).select(_bucket().alias("bucket")).distinct())  # at most BUCKETS rows
-    texts = materialize(src.join(F.broadcast(buckets), _bucket() == F.col("bucket"), "left_semi").groupBy("rid").agg(F.first("id").alias("id"), F.first("text").alias("text")))
-    centre = texts.join(stars.select(F.col("brid").alias("rid"), F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("salt")), "rid").select(F.col("rid").alias("brid"), "salt", F.col("id").alias("bid"), F.col("text").alias("btext"))
-    both = dealt.join(texts, "rid").join(centre, ["brid", "salt"]).select("rid", "id", "text", "brid", "bid", "btext", "seeds")
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(row)), pa.array(c)], names=["key", "id", "c"])
+
+    windows = materialize(src.mapInArrow(scan, f"key long, id {kind}, c int"))
+    first = windows.groupBy("key").agg(F.min(F.struct("id", "c")).alias("x"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.id < last").select("key", F.col("x.id").alias("bid"), F.col("x.c").alias("bc"), "n")
+    met = attach(windows, materialize(first), "key", "n").filter("id <> bid")
+    hashes = F.size(F.collect_set(F.col("key").bitwiseAND(F.lit(3))))
+    pairs = met.groupBy("id", "bid").agg(F.sort_array(F.collect_set(F.struct("c", "bc"))).alias("seeds"), hashes.alias("k")).filter(F.col("k") >= LEAST_HASHES).drop("k")
+    pairs = materialize(pairs)
+    stars = materialize(pairs.groupBy("bid").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set(F.transform("seeds", lambda x: x["bc"])))).alias("at")))
+    dealt = attach(pairs, stars.select("bid", "n", F.ceil(F.col("n") / STAR).cast("int").alias("deal")), "bid", "n")
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
+    wanted = dealt.groupBy("id").agg(F.collect_list(F.struct("bid", "salt", "seeds")).alias("pairs"))
+
+    def only(ids: DataFrame) -> DataFrame:
+        """Rows of the texts whose id may be among ids (bucketed: at most BUCKETS rows are broadcast)."""
+        buckets = ids.select(_bucket(F.xxhash64("id")).alias("bucket")).distinct()
+        return src.join(F.broadcast(buckets), _bucket(F.xxhash64("id")) == F.col("bucket"), "left_semi")
+
+    def copies(batches):
+        memo, names = _hasher(), ["bid", "salt", "id", "rid", "seeds", "places", "tokens"]
+        for b in batches:
+            out: list[tuple] = []
+            for i, rid, text, pairs in zip(*(b.column(n).to_pylist() for n in ("id", "rid", "text", "pairs")), strict=True):
+                tokens = _tokens(text, memo)
+                for x in pairs:
+                    seeds = np.array([(y["c"], y["bc"]) for y in x["seeds"]], dtype=np.int32)
+                    seeds = seeds[seeds[:, 0] < len(tokens)]
+                    if len(seeds):
+                        at = _near(seeds[:, 0], len(tokens))
+                        out.append((x["bid"], x["salt"], i, rid, seeds.tobytes(), at.tobytes(), tokens[at].tobytes()))
+            kinds = b.schema.field("id").type, pa.int32(), b.schema.field("id").type, pa.int64(), *(pa.binary(),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    def sources(batches):
+        memo = _hasher()
+        for b in batches:
+            at, tok = [], []
+            for text, places in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
+                tokens = _tokens(text, memo)
+                places = np.array(places, dtype=np.int64)
+                near = _near(places[places < len(tokens)], len(tokens))
+                at.append(near.tobytes())
+                tok.append(tokens[near].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("deal"), pa.array(at, pa.binary()), pa.array(tok, pa.binary())], names=["bid", "deal", "bplaces", "btokens"])
+
+    mine = only(wanted.select("id")).withColumn("rid", F.xxhash64("id", "text")).join(wanted, "id").mapInArrow(copies, f"bid {kind}, salt int, id {kind}, rid long, seeds binary, places binary, tokens binary")
+    centres = stars.select(F.col("bid").alias("id"), "at", F.ceil(F.col("n") / STAR).cast("int").alias("deal"))
+    theirs = only(centres.select("id")).join(centres, "id").mapInArrow(sources, f"bid {kind}, deal int, bplaces binary, btokens binary")
+    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).drop("deal")
 
     def verify(batches):
-        memo = _hasher()
         names = ["id", "rid", "first_word", "n_words", "source", "source_word", "similarity"]
-        types = None
         for b in batches:
-            types = [b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), b.schema.field("bid").type, pa.int32(), pa.float64()]
             out: list[tuple] = []
-            for k in range(b.num_rows):
-                r = {n: b.column(n)[k].as_py() for n in b.schema.names}
-                seeds = [(x["c"], x["bc"]) for x in r["seeds"]]
-                for s, e, t, j in passages(_tokens(r["text"], memo), _tokens(r["btext"], memo), seeds):
-                    out.append((r["id"], r["rid"], s, e - s, r["bid"], t, j))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
+            for i, rid, seeds, at, tokens, bid, bat, btokens in zip(*(b.column(n).to_pylist() for n in ("id", "rid", "seeds", "places", "tokens", "bid", "bplaces", "btokens")), strict=True):
+                if not at or not bat:
+                    continue
+                (x, p), (y, q) = _dense(at, tokens, 0), _dense(bat, btokens, 1)
+                seeds = np.frombuffer(seeds, dtype="<i4").reshape(-1, 2) - (p, q)
+                for s, e, t, j in passages(x, y, seeds):
+                    out.append((i, rid, s + p, e - s, bid, t + q, j))
+            kinds = b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), b.schema.field("bid").type, pa.int32(), pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    return both.mapInArrow(verify, f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double")
+    found = mine.join(theirs, ["bid", "salt"]).mapInArrow(verify, f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double")
+    return found.distinct()
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; a document left without a word goes."""
     spans = find(docs).groupBy("rid").agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans"))
     spans = materialize(spans)
-    buckets = materialize(spans.select(_bucket().alias("bucket")).distinct())
+    buckets = spans.select(_bucket(F.col("rid")).alias("bucket")).distinct()  # at most BUCKETS rows
     rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    known = docs.withColumn("rid", rid).join(F.broadcast(buckets.withColumn("_hit", F.lit(1))), _bucket() == F.col("bucket"), "left").drop("bucket")
+    known = docs.withColumn("rid", rid).join(F.broadcast(buckets.withColumn("_hit", F.lit(1))), _bucket(F.col("rid")) == F.col("bucket"), "left").drop("bucket")
     clean = known.filter("_hit IS NULL").select(*docs.columns)
     dirty = known.filter("_hit = 1").join(spans, "rid", "left").select(*docs.columns, "spans")
     at = docs.columns.index("text")
