@@ -40,7 +40,7 @@ def quantized(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     got = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
     got = got.filter("id IS NOT NULL AND x IS NOT NULL AND size(x) > 0").filter(~bad)
-    return got.select("id", F.transform("x", lambda c: F.floor(c * SCALE).cast("double")).alias("v"))
+    return got.select("id", F.transform("x", lambda c: F.when(F.abs(c * SCALE) < 2.0**52, F.floor(c * SCALE).cast("double")).otherwise(c * SCALE)).alias("v"))
 
 
 def packed(df: DataFrame, size: int, block: str) -> DataFrame:
@@ -70,14 +70,20 @@ def _matrix(raw: bytes, n: int, dim: int) -> np.ndarray:
     return np.frombuffer(raw, dtype="<f8").reshape(n, dim)
 
 
-def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of whole-numbered rows, exact: float arithmetic only where it can't round."""
+def lists(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """Partial integer inner products, one list a part of the components.
+
+    Float arithmetic serves only where it can't round; beyond that there is one list of
+    whole scores, in Python's integers, and one that no 64-bit integer holds is cut to
+    the nearest that there is.
+    """
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
-    if most < 2**24:
-        return (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.int64)
     if most < 2**53:
-        return (q @ x.T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], dtype=object).astype(np.int64).reshape(len(q), len(x))
+        kind = np.float32 if most < 2**24 else np.float64
+        return [(q[:, s].astype(kind) @ x[:, s].astype(kind).T).astype(np.int64) for s in _parts(q.shape[1])]
+    end = (1 << 63) - 1
+    whole = [[min(max(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)), -end), end) for v in x] for u in q]
+    return [np.array(whole, dtype=np.int64).reshape(len(q), len(x))]
 
 
 def _parts(dim: int) -> list[slice]:
@@ -115,10 +121,10 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
         for r in (x for b in batches for x in b.to_pylist()):
             x, q = _matrix(r["data"], r["n"], r["dim"]), _matrix(r["q_data"], r["q_n"], r["dim"])
             ids, own = np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["q_ids"], dtype="<i8")
-            lists = [scores(q[:, s], x[:, s]) for s in _parts(r["dim"])]
+            parts = lists(q, x)
             m = min(k + 1, r["n"])  # the query itself may be among them
-            seen = np.concatenate([np.argpartition(-p, m - 1, axis=1)[:, :m] for p in lists], axis=1)
-            whole = sum(lists)
+            seen = np.concatenate([np.argpartition(-p, m - 1, axis=1)[:, :m] for p in parts], axis=1)
+            whole = sum(parts)
             qid, got = [], []
             for a in range(len(q)):
                 at = np.unique(seen[a])
@@ -137,21 +143,20 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
     told = queries.join(back, "query_block")
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.iinfo(np.int64).min // 2
+        low = 1 - (1 << 63)
         for r in (x for b in batches for x in b.to_pylist()):
             x, q = _matrix(r["data"], r["n"], r["dim"]), _matrix(r["q_data"], r["q_n"], r["dim"])
             ids, own = np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["q_ids"], dtype="<i8")
             cuts = np.array([low if c is None else c for c in r["q_cuts"]], dtype=np.int64)
-            parts = _parts(r["dim"])
-            lists = [scores(q[:, s], x[:, s]) for s in parts]
+            parts = lists(q, x)
             uniform = -((-cuts) // len(parts))  # a row at the cutoff has a part of at least this
-            enough = lists[0] >= uniform[:, None]
-            for p in lists[1:]:
+            enough = parts[0] >= uniform[:, None]
+            for p in parts[1:]:
                 enough |= p >= uniform[:, None]
             out = []
             for a in range(len(q)):
                 at = np.flatnonzero(enough[a])
-                score = sum(p[a, at] for p in lists)  # the missing parts
+                score = sum(p[a, at] for p in parts)  # the missing parts
                 ok = (score >= cuts[a]) & (ids[at] != own[a])
                 at, score = at[ok], score[ok]
                 best = _best(score, ids[at], k)

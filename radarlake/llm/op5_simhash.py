@@ -33,6 +33,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: A block value with more classes than this (or 1 in 65,536 of all) is dealt again.
 HOT_NODES = 65_536
 FRONTIER = 1 << 20
+#: A column name that documents do not use.
+KEPT = "__radarlake_kept"
 
 
 def fingerprint(text: str) -> int:
@@ -201,13 +203,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where rows repeat an id, those that aren't the same in every column all stay.
     """
     found = dedup(docs)
-    keep = found.filter("doc_id = component").select(F.col("doc_id").alias("_id")).distinct()
-    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"))
-    twice = materialize(twice)
-    kept = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    keep = found.filter("doc_id = component").select(F.col("doc_id").alias(KEPT)).distinct()
+    twice = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(KEPT)))
+    here = F.col("doc_id") == F.col(KEPT)
+    kept = docs.join(keep, here, "left_semi").unionByName(docs.filter("doc_id IS NULL"))
     if twice.isEmpty():
         return kept
-    return kept.join(twice, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(kept.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").distinct())
+    return kept.join(twice, here, "left_anti").unionByName(kept.join(twice, here, "left_semi").distinct())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
