@@ -232,7 +232,7 @@ def rules(w: list) -> dict:
         if x[2]:
             return 0
         path = f"{path}/{x[0]}"
-        inside = inside or x[3] == 2
+        inside = inside or x[3] > 0
         own = 0
         if x[4]:
             if constant(x[4]) and not inside:
@@ -253,7 +253,7 @@ def rules(w: list) -> dict:
     if not roots and dense:
         path, n = max(dense.items(), key=lambda x: (x[1], x[0]))
         roots = [path] if n * 2 >= whole > 0 else []
-    return {"roots": sorted(roots), "same": sorted(same)}
+    return {"roots": sorted(roots), "same": sorted(same) if whole else []}
 
 
 def main_text(page: str | None, rule: dict | None) -> str:
