@@ -43,6 +43,8 @@ BUCKETS = 1 << 20
 STAR = 1024
 BATCH_WORDS = 1 << 20
 WORD = re.compile(r"\S+")
+#: Column names that documents do not use.
+OWN = ("__radarlake_row", "__radarlake_bucket", "__radarlake_spans")
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -327,13 +329,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; a document left without a word goes."""
     spans = find(docs).groupBy("rid").agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans"))
     spans = materialize(spans)
-    buckets = spans.select(_bucket(F.col("rid")).alias("bucket")).distinct()  # at most BUCKETS rows
-    rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    known = docs.withColumn("rid", rid).join(F.broadcast(buckets.withColumn("_hit", F.lit(1))), _bucket(F.col("rid")) == F.col("bucket"), "left").drop("bucket")
-    clean = known.filter("_hit IS NULL").select(*docs.columns)
-    dirty = known.filter("_hit = 1").join(spans, "rid", "left").select(*docs.columns, "spans")
-    at = docs.columns.index("text")
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    buckets = spans.select(_bucket(F.col("rid")).alias(OWN[1])).distinct()  # at most BUCKETS rows
+    known = docs.withColumn(OWN[0], F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(F.broadcast(buckets), _bucket(F.col(OWN[0])) == F.col(OWN[1]), "left")
+    clean = known.filter(F.col(OWN[1]).isNull()).select(*docs.columns)
+    dirty = known.filter(F.col(OWN[1]).isNotNull()).join(spans.select(F.col("rid").alias(OWN[0]), F.col("spans").alias(OWN[2])), OWN[0], "left").select(*docs.columns, OWN[2])
+    names = docs.columns
+    at = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches):
         for b in batches:
@@ -343,7 +345,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             if count is not None:
                 cols[count] = pa.array([n if not s else len(t) for n, t, s in zip(b.column(count).to_pylist(), texts, b.column(b.num_columns - 1).to_pylist(), strict=True)], cols[count].type)
             cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
     return clean.unionByName(dirty.mapInArrow(cut, docs.schema))
 
