@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from radarlake.llm.common import attach, materialize, workers_can_import
 from radarlake.llm.op4_wrappers import host
-from radarlake.llm.op9_toxicity import Memo
 
 FIT_ROWS = 8_192
 MOST_GRAMS = 65_536
@@ -83,6 +82,40 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return langs, logs, [math.log(0.5 / (total[c] + 0.5 * size)) for c in langs]
 
 
+class WordScores:
+    """Log likelihoods of words, each worked out once and kept in a matrix of bounded size."""
+
+    def __init__(self, logs: dict[str, list[float]], unknown: list[float], most: int = 200_000):
+        self.gram = {g: k + 1 for k, g in enumerate(logs)}
+        self.table = np.array([unknown, *logs.values()]).reshape(len(logs) + 1, len(unknown))
+        self.most, self.place, self.rows = most, {}, np.zeros((most, len(unknown)))
+
+    def known(self, texts: list[list[str]]) -> list[list[str]]:
+        """The texts, once all their words are in the matrix."""
+        new = {w for t in texts for w in t if w not in self.place}
+        if len(self.place) + len(new) > self.most:
+            self.place.clear()
+            new = {w for t in texts for w in t}
+            if len(new) > len(self.rows):
+                self.rows = np.zeros((len(new), self.rows.shape[1]))
+        new = sorted(new)
+        grams_of = [[self.gram.get(g, 0) for x in WORD.findall(w) for g in grams(x)] for w in new]
+        full = [k for k, g in enumerate(grams_of) if g]
+        got = np.zeros((len(new), self.rows.shape[1]))
+        if full:
+            sizes = np.array([len(grams_of[k]) for k in full])
+            flat = np.fromiter((g for k in full for g in grams_of[k]), dtype=np.int64, count=int(sizes.sum()))
+            got[full] = np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes, axis=0)
+        at = len(self.place)
+        self.rows[at : at + len(new)] = got
+        self.place.update(zip(new, range(at, at + len(new)), strict=True))
+        return texts
+
+    def total(self, words: list[str]) -> np.ndarray:
+        place = self.place
+        return self.rows[np.fromiter((place[w] for w in words), dtype=np.int64, count=len(words))].sum(axis=0)
+
+
 def evidence(rows: DataFrame, model) -> DataFrame:
     """rows (table, id, host, domain, suffix, declared, text) -> the text replaced by ll and best."""
     spark = rows.sparkSession
@@ -91,26 +124,15 @@ def evidence(rows: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, unknown = shared.value
-        base = np.array(unknown)
-
-        def word(w: str) -> np.ndarray:
-            got = np.zeros(len(langs))
-            for x in WORD.findall(w):
-                for g in grams(x):
-                    got += logs.get(g, base)
-            return got - got.max() if len(langs) else got
-
-        memo = Memo(word, 200_000)
+        words = WordScores(logs, unknown)
         for b in batches:
+            texts = [(MARKUP.sub(" ", t) if m else t).split() if t else [] for t, m in zip(b.column("text").to_pylist(), b.column("markup").to_pylist(), strict=True)]
             ll, best = [], []
-            for text, markup in zip(b.column("text").to_pylist(), b.column("markup").to_pylist(), strict=True):
-                words = (MARKUP.sub(" ", text) if markup else text).split() if text else []
-                s = np.zeros(len(langs))
-                for k in range(0, len(words), 4096):
-                    s = s + np.add.reduce([memo[w] for w in words[k : k + 4096]])
-                s = TEMPER * (s - s.max()) if len(langs) else s
+            for text in words.known(texts):
+                s = words.total(text)
+                s = TEMPER * (s - s.max()) if langs else s
                 ll.append(s.tolist())
-                best.append(langs[int(s.argmax())] if len(langs) and s.any() else None)
+                best.append(langs[int(s.argmax())] if langs and s.any() else None)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(ll, pa.list_(pa.float64())), pa.array(best, pa.string())], names=[*kept, "ll", "best"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
