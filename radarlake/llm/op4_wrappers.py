@@ -49,7 +49,10 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = frozenset("table ul ol dl div section article main aside nav header footer body html td th select form".split())
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input iframe svg math canvas object audio video head title dialog menu map noembed noframes".split())
 #: Words of a class, id or role by which a block is no main text.
-NOISE = frozenset("ad ads adv advert advertisement advertisements advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright dialog discussion disclaimer disqus footer form gdpr header hidden legal links login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popular popup print promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
+NOISE = frozenset("ad ads adsense adv alert alerts announcement advert advertisement advertisements advertising adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright dialog discussion disclaimer disqus feedback footer form gdpr hidden legal links login menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popular popup print promo promoted promotion recommend recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
+#: Of a header in the article only the headings are kept; elsewhere it is none of the article.
+HEADER = frozenset("header masthead".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 MAIN = frozenset("article articlebody body content entry main post story text".split())
 
 
@@ -58,19 +61,21 @@ class Node:
 
     def __init__(self, tag: str, rest: str = ""):
         self.tag, self.kids = tag, []
-        self.noise, self.main, self.key = tag in DROPPED, 2 * (tag in ("article", "main")), tag
+        #: 1: no main text; 2: a header.
+        self.noise, self.main, self.key = 1 if tag in DROPPED else 2 * (tag == "header"), 2 * (tag in ("article", "main")), tag
         if rest and "=" in rest or "hidden" in rest:
             marks = []
             for name, a, b, c in ATTR.findall(rest):
                 name, value = name.lower(), a or b or c
                 if name in ("hidden", "aria-hidden"):
-                    self.noise |= (name == "hidden" and value.lower() != "until-found") or value.lower() == "true"
+                    if value.lower() == "true" or (name == "hidden" and value.lower() != "until-found"):
+                        self.noise = 1
                     continue
                 words = [w.lower().strip("0123456789") for w in SPLIT.split(value)]
                 marks += [w for w in words if w]
             found = frozenset(marks)
             if tag not in ("html", "body", "article", "main"):
-                self.noise |= bool(found & NOISE)
+                self.noise = 1 if self.noise == 1 or found & NOISE else 2 if self.noise or found & HEADER else 0
             if found & MAIN and not self.main:
                 self.main = 1
             if marks:
@@ -229,7 +234,7 @@ def rules(w: list) -> dict:
 
     def walk(x: list, path: str, inside: bool) -> int:
         """Characters of varying text that are no links."""
-        if x[2]:
+        if x[2] == 1 or (x[2] == 2 and not inside):
             return 0
         path = f"{path}/{x[0]}"
         inside = inside or x[3] > 0
@@ -262,32 +267,37 @@ def main_text(page: str | None, rule: dict | None) -> str:
         return ""
     tree = parse(page)
     rule = rule or {"roots": [], "same": []}
-    roots, same = set(rule["roots"]), set(rule["same"])
-    for own in (False, True):
-        if own:  # the host's article isn't here: the page's own wrapper tells
-            roots = set(rules(wrapper(tree))["roots"])
+    same = set(rule["same"])
+    for roots in (rule["roots"], None):
+        if roots is None:  # the host's article isn't here: the page's own wrapper tells
+            roots = rules(wrapper(tree))["roots"]
+        elif not roots:
+            continue
         out: list[str] = []
-        _collect(tree, "", not roots, roots, same, out)
+        _collect(tree, "", not roots, set(roots), same, out)
         text = " ".join("".join(out).split())
-        if text or not rule["roots"]:
-            return text
+        if text:
+            break
     return text
 
 
-def _collect(node: Node, path: str, inside: bool, roots: set, same: set, out: list[str]) -> None:
-    if node.noise or (inside and node.tag == "header" and path and not any(isinstance(k, Node) and k.tag in ("h1", "h2") for k in node.kids)):
+def _collect(node: Node, path: str, inside: bool, roots: set, same: set, out: list[str], named: bool = False, heads: bool = False) -> None:
+    """named: in an element marked as the article; heads: in a header there, of which only headings are kept."""
+    if node.noise == 1 or (node.noise == 2 and not named):
         return
     path = f"{path}/{node.key}"
     inside = inside or path in roots
+    named = named or (inside and node.main > 0)
+    heads = (heads or node.noise == 2) and node.tag not in HEADINGS
     gap = node.tag not in INLINE
     if gap:
         out.append(" ")
     for k in node.kids:
         if isinstance(k, str):
-            if inside and path not in same:
+            if inside and not heads and path not in same:
                 out.append(k)
         else:
-            _collect(k, path, inside, roots, same, out)
+            _collect(k, path, inside, roots, same, out, named, heads)
     if gap:
         out.append(" ")
 

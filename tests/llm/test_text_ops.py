@@ -379,6 +379,13 @@ def test_other_templates(spark):
     assert op4_wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_headers():
+    inner = "<article><div class='entry-header'><h1>Title</h1><span class=byline>By me</span><div>June</div></div><p>Text<section id=comments><p>Hi</section></article>"
+    assert op4_wrappers.main_text(f"<body><header><h1>Site</h1></header>{inner}<div class=masthead>x</div></body>", None) == "Title Text"
+    assert op4_wrappers.main_text("<body><header><h1>Site</h1></header><p>Only text, and some of it<p>in two parts</body>", None) == "Only text, and some of it in two parts"
+    assert op4_wrappers.main_text("<main><p hidden>no<p aria-hidden=true>no<p>yes &lt;&#228;&#x41;&nbsp;<!-- > --><script>'</p>'</script>", None) == "yes <äA"
+
+
 def test_wrappers_are_union_free():
     a = op4_wrappers.wrapper(op4_wrappers.parse("<ul><li>a<li>b</ul><p>x</p>"))
     b = op4_wrappers.wrapper(op4_wrappers.parse("<p>y</p><p>z</p><div class='ad'>q</div>"))
