@@ -11,7 +11,7 @@ from radarlake import testbed as tb
 from radarlake.functions import layers as la
 from radarlake.functions import transforms as tx
 from radarlake.functions.validity import finite, mask_ok
-from radarlake.operators import display, distribution, scan, speckle
+from radarlake.operators import chunked, display, distribution, scan, speckle
 from radarlake.plans import geometry as geo
 from radarlake.session import workers_can_import
 from radarlake.sources import catalog as cat
@@ -387,6 +387,32 @@ _kernel("speckle_kernel_boxcar_5", "boxcar", 5)
 _kernel("speckle_kernel_lee_5", "lee", 5)
 
 
+def _stored(spark, d) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """hhhh and its mask in chunks of 32 x 32."""
+    rows = tb.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // tb.WIDTH + 1
+    field, shape = tb.dense_hhhh(spark, d), (rows, tb.WIDTH)
+    return chunks.to_chunks(field, "hhhh", shape, (32, 32), ("hhhh",)), chunks.to_chunks(field, "mask", shape, (32, 32), ("mask",)), shape
+
+
+@query("chunk_transform", FIELD + ' SELECT "row", CAST(col AS BIGINT) AS col, v AS value FROM f')
+def _(spark, d):
+    layer, mask, _ = _stored(spark, d)
+    return chunks.to_pixels(chunked.transform(layer, "power_db", mask=mask))
+
+
+@query("chunk_percentiles", HIST + _quantiles())
+def _(spark, d):
+    layer, mask, _ = _stored(spark, d)
+    return chunked.summary(chunked.transform(layer, "power_db", mask=mask)).select(*(n for n, _ in distribution.QUANTILES))
+
+
+@query("chunk_speckle_lee_5")
+def _(spark, d):
+    layer, mask, shape = _stored(spark, d)
+    got = chunks.to_pixels(chunked.speckle(chunked.transform(layer, "linear", mask=mask), shape, (32, 32), "lee", 5, 3.0))
+    return got.select("row", "col", F.round(c("value").cast("double"), 4).alias("value"))
+
+
 @query("flagship")
 def _(spark, d):
     """Distribution of the Lee-filtered power-dB of a masked window."""

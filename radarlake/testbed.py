@@ -77,8 +77,8 @@ def gcov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_hhhh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hhhh and mask on the full grid, NULL where nothing is stored."""
     o = table(spark, sf_dir, "orders")
-    last = o.agg(F.max("o_orderkey").alias("k"))
-    cells = last.select(F.explode(F.sequence(F.lit(0).cast("long"), (F.expr(f"k div {WIDTH}") + 1) * WIDTH - 1)).alias("k"))
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    cells = spark.range((last // WIDTH + 1) * WIDTH).withColumnRenamed("id", "k")
     got = cells.join(o.select("o_orderkey", "o_totalprice"), F.col("k") == F.col("o_orderkey"), "left")
     return got.select(F.expr(f"k div {WIDTH}").alias("row"), (F.col("k") % WIDTH).cast("int").alias("col"), (F.col("o_totalprice") / F.lit(1e5)).cast("float").alias("hhhh"), F.when(F.col("o_orderkey").isNotNull(), (F.col("k") % 256).cast("smallint")).alias("mask"))
 

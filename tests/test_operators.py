@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radarlake.operators import display, scan, speckle
+from radarlake.operators import chunked, display, scan, speckle
 from radarlake.operators import distribution as dist
 from radarlake.plans.geometry import Window
 from radarlake.sources import chunks
@@ -217,3 +217,26 @@ def test_chunk_decoding():
     assert direct(("deflate",), 100) and not direct((), 100) and not direct(("deflate",), 1 << 25) and not direct(("shuffle",), 1)
     with pytest.raises(ValueError):
         decode_chunk(zlib.compress(b"x"), ("deflate",), "<f4", (4, 5), (4, 5))
+
+
+def test_chunk_form_equals_pixel_form(spark):
+    rng = np.random.default_rng(12)
+    f = rng.gamma(2.0, 1.0, (23, 31)).astype(np.float32)
+    f[rng.random(f.shape) < 0.05] = np.nan
+    f[0, 0] = -1
+    stored = chunks.to_chunks(pixels(spark, f), "x", f.shape, (8, 7))
+    for size in (3, 7):
+        got = grid(chunks.to_pixels(chunked.speckle(stored, f.shape, (8, 7), "lee", size, 3.0)), f.shape)
+        assert np.array_equal(got.astype(np.float32), speckle.kernel(f, "lee", size, 3.0), equal_nan=True)
+    field = chunked.transform(stored, "linear")
+    want = dist.summary(chunks.to_pixels(field)).first()
+    assert chunked.summary(field).first().asDict() == want.asDict()
+    none = chunked.summary(chunked.transform(chunks.to_chunks(pixels(spark, np.full((3, 3), np.nan, np.float32)), "n", (3, 3), (2, 2)), "linear")).first()
+    assert none["finite_count"] == 0 and none["invalid_count"] == 9 and none["p50"] is None
+    z = np.array([3, 4, 0, 0, np.nan, 1, 1, -1], dtype=np.float32)
+    assert np.array_equal(chunked.transform_array(z, "amplitude", True, np.array([1, 1, 1, 255])), np.array([5, 0, np.nan, np.nan], np.float32), equal_nan=True)
+    assert chunked.transform_array(z, "power_db", True)[1] == -200
+    with pytest.raises(ValueError):
+        chunked.transform_array(z, "phase", False)
+    with pytest.raises(ValueError):
+        chunked.speckle(stored, f.shape, (2, 2), "lee", 7, 3.0)
