@@ -270,3 +270,32 @@ def overview_mapping(p: OverviewPlan) -> PageMapping:
     """Samples sit in the middle of their texels, so the origin moves by half a stride less half a pixel."""
     w = p.window
     return PageMapping(w, (w.row + 0.5 - 0.5 * p.stride[0], w.col + 0.5 - 0.5 * p.stride[1]), p.stride, p.shape)
+
+
+@dataclass(frozen=True)
+class SampleUv:
+    """Where a raster range lies on a page: page coordinate = origin + window coordinate * extent."""
+
+    origin: tuple[float, float]
+    extent: tuple[float, float]
+
+
+def sample_uv(m: PageMapping, row0: float, col0: float, row1: float, col1: float) -> SampleUv | None:
+    """(x, y) of a raster range in a page's unit square, or None where they don't meet."""
+    if not all(map(math.isfinite, (row0, col0, row1, col1))) or row1 <= row0 or col1 <= col0 or min(m.stride) <= 0 or min(m.shape) <= 0:
+        return None
+    w = m.window
+    if row1 <= w.row or col1 <= w.col or row0 >= w.row + w.height or col0 >= w.col + w.width:
+        return None
+    height, width = m.shape[0] * m.stride[0], m.shape[1] * m.stride[1]
+    return SampleUv(((col0 - m.origin[1]) / width, (row0 - m.origin[0]) / height), ((col1 - col0) / width, (row1 - row0) / height))
+
+
+def window_uv(corners: tuple[tuple[float, float], ...], row0: float, col0: float, row1: float, col1: float) -> tuple[tuple[float, float], ...]:
+    """Origin, dx and dy of a screen in a range's unit square.
+
+    corners: (row, column) under the screen's top left, top right and bottom left.
+    """
+    (r, c), (rx, cx), (ry, cy) = corners
+    height, width = row1 - row0, col1 - col0
+    return ((c - col0) / width, (r - row0) / height), ((cx - c) / width, (rx - r) / height), ((cy - c) / width, (ry - r) / height)

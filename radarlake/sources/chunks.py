@@ -7,6 +7,7 @@ work stays in this form; pixel form is for windows and what comes after sampling
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -118,3 +119,29 @@ def statistics(chunks: DataFrame) -> DataFrame:
 
 def pixel_window(pixels: DataFrame, w: Window) -> DataFrame:
     return pixels.filter(in_window(w))
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of a stored table: its files with sizes and times, and its schema.
+
+    Taken before a plan is made and again before its result is used, it tells a stale
+    plan. It reads a listing through Hadoop, no data.
+    """
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(at, True)
+    rows = []
+    while files.hasNext():
+        f = files.next()
+        rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    schema = spark.read.parquet(path).schema.json()
+    return hashlib.sha256(repr((sorted(rows), schema)).encode()).hexdigest()
+
+
+class StalePlan(RuntimeError):
+    """A table changed after it was planned for."""
+
+
+def unchanged(spark: SparkSession, path: str, planned: str) -> None:
+    if fingerprint(spark, path) != planned:
+        raise StalePlan(f"{path} has changed since the plan was made")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bounds on what a file may make the catalog hold.
@@ -63,29 +64,134 @@ class Budget:
         return text
 
 
+def _varying(dtype: np.dtype) -> bool:
+    return bool(dtype.metadata and "vlen" in dtype.metadata)
+
+
+def checked(dataset: Any) -> Any:
+    """A dataset whose samples and attributes lie in the file itself."""
+    if getattr(dataset, "external", None) or getattr(dataset, "is_virtual", False):
+        raise ValueError(f"{dataset.name}: external or virtual storage is not read")
+    for name in dataset.attrs:
+        if _varying(dataset.attrs.get_id(name).dtype):
+            raise ValueError(f"{dataset.name}: variable-length attributes are not read")
+    return dataset
+
+
 def walk(group: Any, budget: Budget, depth: int = 0) -> Iterator[Any]:
     """Datasets below a group, by path, through hard links only."""
-    import h5py
-
     if depth > MOST_DEPTH:
         raise OverflowError("the file is nested too deep")
     for name in sorted(group):
-        link = group.get(name, getlink=True)
         path = f"{group.name.rstrip('/')}/{name}"
         budget.link(name, path)
-        if not isinstance(link, h5py.HardLink):
+        if type(group.get(name, getlink=True)).__name__ != "HardLink":
             raise ValueError(f"{path}: only hard links are read")
         item = group[name]
-        if isinstance(item, h5py.Group):
+        if hasattr(item, "shape"):
+            yield checked(item)
+        else:
             yield from walk(item, budget, depth + 1)
-        elif isinstance(item, h5py.Dataset):
-            plist = item.id.get_create_plist()
-            if plist.get_external_count() or item.is_virtual:
-                raise ValueError(f"{path}: external or virtual storage is not read")
-            for attr in item.attrs:
-                if h5py.check_string_dtype(item.attrs.get_id(attr).dtype) and h5py.check_string_dtype(item.attrs.get_id(attr).dtype).length is None:
-                    raise ValueError(f"{path}: variable-length attributes are not read")
-            yield item
+
+
+def dtype_info(dtype: np.dtype) -> tuple[str, str, int, bool]:
+    """(kind, description, bytes, readable) of a stored type."""
+    kind, size = dtype.kind, dtype.itemsize
+    if kind in "iu":
+        return ("int" if kind == "i" else "uint"), f"{'u' * (kind == 'u')}int{8 * size}", size, size in (1, 2, 4, 8)
+    if kind == "f":
+        return "float", f"float{8 * size}", size, size in (4, 8)
+    if kind == "c":
+        return "complex", f"complex{8 * size}", size, size in (8, 16)
+    if dtype.names and len(dtype.names) == 2:
+        members = {n.lower(): dtype[n] for n in dtype.names}
+        re = next((members[n] for n in ("r", "re", "real") if n in members), None)
+        im = next((members[n] for n in ("i", "im", "imag", "imaginary") if n in members), None)
+        if re is not None and im is not None and re == im and re.kind == "f" and re.itemsize in (4, 8):
+            return "complex", f"complex{16 * re.itemsize}", 2 * re.itemsize, True
+    return "unsupported", str(dtype), size, False
+
+
+def _text(value: Any, budget: Budget) -> str:
+    value = value.item() if hasattr(value, "item") else value
+    return budget.string(value.decode() if isinstance(value, bytes) else str(value)).rstrip("\0").strip()
+
+
+def _first(f: Any, *paths: str) -> Any | None:
+    return next((f[p] for p in paths if p in f), None)
+
+
+def _axis(d: Any, spacing: Any | None) -> dict:
+    n = d.shape[0] if len(d.shape) == 1 else 0
+    if not n:
+        raise ValueError(f"{d.name} is no coordinate axis")
+    first, last = float(d[0]), float(d[n - 1])
+    step = float(spacing[()]) if spacing is not None else float(d[1]) - first if n > 1 else 0.0
+    return {"path": d.name, "count": n, "first": first, "last": last, "spacing": step}
+
+
+def inspect(f: Any) -> dict[str, Any]:
+    """identification, frequencies and datasets (rank 2, by path) of an open file: all or an error."""
+    from radarlake.sources.catalog import INSTRUMENTS, identification
+
+    budget = Budget()
+    groups = [i for i in INSTRUMENTS if f"/science/{i}/identification" in f]
+    at = f"/science/{groups[0]}/identification" if groups else ""
+    names = ("productType", "granuleId", "productVersion", "productSpecificationVersion")
+    ident = identification({n: _text(checked(f[f"{at}/{n}"])[()], budget) for n in names if at and f"{at}/{n}" in f}, groups)
+    root = f"/science/{ident['instrument']}/{ident['product_type']}"
+    grids = f"{root}/grids"
+    if root not in f or grids not in f:
+        raise ValueError(f"{grids} is missing")
+    frequencies = []
+    for name in sorted(f[grids]):
+        path = f"{grids}/{name}"
+        if not name.startswith("frequency") or name == "frequency" or hasattr(f[path], "shape"):
+            continue
+
+        def near(leaf: str, path: str = path) -> Any | None:
+            return _first(f, f"{path}/{leaf}", f"{grids}/{leaf}")
+
+        x, y = near("xCoordinates"), near("yCoordinates")
+        if x is None or y is None:
+            raise ValueError(f"{path} has no coordinate axes")
+        projection, epsg = near("projection"), None
+        if projection is not None:
+            value = projection[()]
+            epsg = int(value) if np.ndim(value) == 0 and np.asarray(value).dtype.kind in "iu" else projection.attrs.get("epsg_code")
+        lists = {k: [_text(v, budget) for v in f[f"{path}/{n}"][()]] if f"{path}/{n}" in f else [] for k, n in (("polarizations", "listOfPolarizations"), ("covariance_terms", "listOfCovarianceTerms"))}
+        frequencies.append({"name": name.removeprefix("frequency"), "group_path": path, **lists, "x": _axis(checked(x), near("xCoordinateSpacing")), "y": _axis(checked(y), near("yCoordinateSpacing")), "epsg": None if epsg is None else int(epsg)})
+    if not frequencies:
+        raise ValueError(f"{grids} has no frequency")
+    datasets = []
+    for d in walk(f["/science"], budget):
+        if len(d.shape) != 2:
+            continue
+        kind, description, size, readable = dtype_info(d.dtype)
+        filters = [n for n, on in (("shuffle", getattr(d, "shuffle", False)), (getattr(d, "compression", None) or "", getattr(d, "compression", None))) if on]
+        fill = d.attrs.get("_FillValue")
+        datasets.append({
+            "path": d.name, "dtype": {"kind": kind, "description": description, "bytes": size, "readable": readable}, "rows": d.shape[0], "cols": d.shape[1],
+            "chunk_rows": d.chunks[0] if d.chunks else None, "chunk_cols": d.chunks[1] if d.chunks else None, "layout": "chunked" if d.chunks else "contiguous", "filters": ["deflate" if x == "gzip" else x for x in filters],
+            **{k: _text(d.attrs.get(k, ""), budget) for k in ("units", "long_name", "description", "grid_mapping")},
+            "fill_attr": None if fill is None or kind == "complex" else float(np.ravel(fill)[0]),
+        })
+    return {"identification": ident, "frequencies": frequencies, "datasets": sorted(datasets, key=lambda x: x["path"])}
+
+
+def open_product(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
+    """(identification, classified datasets, frequencies) of a file, as catalog DataFrames."""
+    import h5py
+
+    from radarlake.sources.catalog import classify
+
+    with h5py.File(path, "r") as f:
+        found = inspect(f)
+    axis = "struct<path: string, count: long, first: double, last: double, spacing: double>"
+    dtype = "struct<kind: string, description: string, bytes: int, readable: boolean>"
+    fr = spark.createDataFrame(found["frequencies"], f"name string, group_path string, polarizations array<string>, covariance_terms array<string>, x {axis}, y {axis}, epsg int")
+    ds = spark.createDataFrame(found["datasets"], f"path string, dtype {dtype}, rows long, cols long, chunk_rows long, chunk_cols long, layout string, filters array<string>, units string, long_name string, description string, grid_mapping string, fill_attr double")
+    return found["identification"], classify(ds, fr, found["identification"]["product_type"]).orderBy("path"), fr
 
 
 class ChunkRange(InputPartition):
