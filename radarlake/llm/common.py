@@ -3,25 +3,42 @@
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from radarlake.session import workers_can_import  # noqa: F401  used by the operators
+
 #: A key is hot when it holds more than one in so many rows; there are fewer such keys than this.
 HOT_SHARE = 256
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def workers_can_import(spark: SparkSession) -> None:
-    """Python workers find this package where the driver did (a cluster gets it with --py-files)."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
+def frugal(run: Callable, rows: int = 512) -> Callable:
+    """A mapInArrow function that sees at most ``rows`` rows at once and gives memory back at its end.
+
+    Spark's batches are counted in rows, whatever their texts' length; and a worker
+    that is used again would keep what the task before it had.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def shared_dir(spark: SparkSession) -> str:

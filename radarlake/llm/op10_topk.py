@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import materialize, workers_can_import
+from radarlake.llm.common import frugal, materialize, workers_can_import
 
 TOP = 20
 LISTS = 2
@@ -62,7 +62,7 @@ def packed(df: DataFrame, size: int, block: str) -> DataFrame:
         for d in list(ids):
             yield out(d)
 
-    got = df.mapInArrow(run, "dim int, n int, ids binary, data binary")
+    got = df.mapInArrow(frugal(run), "dim int, n int, ids binary, data binary")
     return got.withColumn(block, F.xxhash64("dim", "ids"))
 
 
@@ -134,11 +134,11 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
                 got.append(top)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(qid), pa.int64()), pa.array(np.concatenate(got), pa.int64())], names=["qid", "score"])
 
-    sent = pairs(queries).select("dim", "n", "ids", "data", "q_n", "q_ids", "q_data").mapInArrow(first, "qid long, score long")
+    sent = pairs(queries).select("dim", "n", "ids", "data", "q_n", "q_ids", "q_data").mapInArrow(frugal(first), "qid long, score long")
     rank = F.row_number().over(_window("qid", F.desc("score")))
     cut = sent.withColumn("r", rank).filter(f"r <= {k}").groupBy("qid").agg(F.min("score").alias("cut"), F.count(F.lit(1)).alias("n"))
     cut = cut.select("qid", F.when(F.col("n") >= k, F.col("cut")).alias("cut"))  # fewer than k rows: no cutoff
-    ids = queries.select("query_block", F.col("ids").alias("raw"), "n").mapInArrow(_spread, "query_block long, qid long, at int")
+    ids = queries.select("query_block", F.col("ids").alias("raw"), "n").mapInArrow(frugal(_spread), "query_block long, qid long, at int")
     back = ids.join(cut, "qid", "left").groupBy("query_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "cut"))), lambda s: s["cut"]).alias("cuts"))
     told = queries.join(back, "query_block")
 
@@ -163,7 +163,7 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embe
                 out.append((np.full(len(best), own[a]), ids[at[best]], score[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]), pa.int64()) for c in range(3)], names=["query_id", "id", "score"])
 
-    entries = pairs(told).select("dim", "n", "ids", "data", "q_n", "q_ids", "q_data", "q_cuts").mapInArrow(second, "query_id long, id long, score long")
+    entries = pairs(told).select("dim", "n", "ids", "data", "q_n", "q_ids", "q_data", "q_cuts").mapInArrow(frugal(second), "query_id long, id long, score long")
     order = F.row_number().over(_window("query_id", F.desc("score"), F.asc("id")))
     return entries.withColumn("rank", order).filter(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 

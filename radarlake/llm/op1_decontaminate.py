@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import workers_can_import
+from radarlake.llm.common import frugal, workers_can_import
 
 SEED_WORDS = 5
 COVERAGE = 0.8
@@ -185,7 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_
                 item = pa.array([x[0] for x in out], pa.int32() if kinds[1] == "int" else pa.int64() if kinds[1] == "bigint" else None)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), item, *cols], names=["doc_id", "item_id", "coverage", "n_tiles", "n_words", "longest", "first_word"])
 
-        return src.mapInArrow(run, schema)
+        return src.mapInArrow(frugal(run), schema)
 
     found = [search(part) for part in chunks(benchmark, item_col, "text")]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
@@ -204,7 +204,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not any(x[1] >= COVERAGE - 1e-12 for x in chunk.search(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(frugal(run), docs.schema)
     return out
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import attach, materialize, workers_can_import
+from radarlake.llm.common import attach, frugal, materialize, workers_can_import
 
 SHINGLE = 5
 SPAN = 46
@@ -259,7 +259,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for key, row, c in _windows(range(b.num_rows), b.column(1).to_pylist(), memo):
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(row)), pa.array(c)], names=["key", "id", "c"])
 
-    windows = materialize(src.mapInArrow(scan, f"key long, id {kind}, c int"))
+    windows = materialize(src.mapInArrow(frugal(scan), f"key long, id {kind}, c int"))
     first = windows.groupBy("key").agg(F.min(F.struct("id", "c")).alias("x"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.id < last").select("key", F.col("x.id").alias("bid"), F.col("x.c").alias("bc"), "n")
     met = attach(windows, materialize(first), "key", "n").filter("id <> bid")
     hashes = F.size(F.collect_set(F.col("key").bitwiseAND(F.lit(3))))
@@ -302,9 +302,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 tok.append(tokens[near].tobytes())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("deal"), pa.array(at, pa.binary()), pa.array(tok, pa.binary())], names=["bid", "deal", "bplaces", "btokens"])
 
-    mine = only(wanted.select("id")).withColumn("rid", F.xxhash64("id", "text")).join(wanted, "id").mapInArrow(copies, f"bid {kind}, salt int, id {kind}, rid long, seeds binary, places binary, tokens binary")
+    mine = only(wanted.select("id")).withColumn("rid", F.xxhash64("id", "text")).join(wanted, "id").mapInArrow(frugal(copies), f"bid {kind}, salt int, id {kind}, rid long, seeds binary, places binary, tokens binary")
     centres = stars.select(F.col("bid").alias("id"), "at", F.ceil(F.col("n") / STAR).cast("int").alias("deal"))
-    theirs = only(centres.select("id")).join(centres, "id").mapInArrow(sources, f"bid {kind}, deal int, bplaces binary, btokens binary")
+    theirs = only(centres.select("id")).join(centres, "id").mapInArrow(frugal(sources), f"bid {kind}, deal int, bplaces binary, btokens binary")
     theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).drop("deal")
 
     def verify(batches):
@@ -321,7 +321,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             kinds = b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), b.schema.field("bid").type, pa.int32(), pa.float64()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    found = mine.join(theirs, ["bid", "salt"]).mapInArrow(verify, f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double")
+    found = mine.join(theirs, ["bid", "salt"]).mapInArrow(frugal(verify), f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double")
     return found.distinct()
 
 
@@ -347,7 +347,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return clean.unionByName(dirty.mapInArrow(cut, docs.schema))
+    return clean.unionByName(dirty.mapInArrow(frugal(cut), docs.schema))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import workers_can_import
+from radarlake.llm.common import frugal, workers_can_import
 
 LEAF_CHARS = 32_768
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,10 +188,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                ids = [code.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_packed, ids), pa.binary()), pa.array([code.decode(x).decode("utf-8", "replace") for x in ids], pa.string())], names=["id", "ids_le", "decoded"])
+            ids = [code.encode(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_packed, ids), pa.binary()), pa.array([code.decode(x).decode("utf-8", "replace") for x in ids], pa.string())], names=["id", "ids_le", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, names = codec(tokenizer), ["id", "sha", "n", "leaf", "kind", "text", "raw", "cuts", "grp"]
@@ -239,10 +237,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         one = table.slice(0, 1)
         return pa.table([one.column("id"), one.column("n"), pa.array([_packed(ids)], pa.binary()), pa.array([code.decode(ids).decode("utf-8", "replace")], pa.string())], names=["id", "n", "ids_le", "decoded"])
 
-    few = src.filter(F.length("text") <= leaf_chars).mapInArrow(short, out_schema)
+    few = src.filter(F.length("text") <= leaf_chars).mapInArrow(frugal(short), out_schema)
     long = src.filter(F.length("text") > leaf_chars).groupBy("id", F.sha2("text", 256).alias("sha"), "text").agg(F.count(F.lit(1)).alias("n")).select("id", "sha", "text", "n")
-    pieces = long.mapInArrow(cut, f"id {kind}, sha string, n long, leaf int, kind int, text string, raw binary, cuts array<int>, grp int")
-    pieces = pieces.repartition("id", "sha", "leaf").mapInArrow(leaf_ids, f"id {kind}, sha string, n long, leaf int, kind int, grp int, ids binary")
+    pieces = long.mapInArrow(frugal(cut), f"id {kind}, sha string, n long, leaf int, kind int, text string, raw binary, cuts array<int>, grp int")
+    pieces = pieces.repartition("id", "sha", "leaf").mapInArrow(frugal(leaf_ids), f"id {kind}, sha string, n long, leaf int, kind int, grp int, ids binary")
     whole = pieces.groupBy("id", "sha").applyInArrow(joined, f"id {kind}, n long, ids_le binary, decoded string")
     whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("id", "ids_le", "decoded")
     return few.unionByName(whole).withColumnRenamed("id", id_col)

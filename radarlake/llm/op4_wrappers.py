@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import attach, materialize, workers_can_import
+from radarlake.llm.common import attach, frugal, materialize, workers_can_import
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 #: Rules go by broadcast up to so many characters in all, by a join beyond.
@@ -330,7 +330,7 @@ def infer(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> Dat
         return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(w)], "n": [sum(n for _, n in parts)]})
 
     schema = "host string, wrapper string, n long"
-    parts = src.mapInArrow(learn, schema)
+    parts = src.mapInArrow(frugal(learn), schema)
     some = parts.withColumn("bucket", F.pmod(F.xxhash64("wrapper"), F.lit(BUCKETS))).groupBy("host", "bucket").applyInArrow(merge, schema)
     return some.groupBy("host").applyInArrow(merge, schema)
 
@@ -348,7 +348,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(rules(json.loads(w))) for w in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["host", "rules", "n"])
 
-    known = materialize(infer(pages, html_col, url_col).mapInArrow(to_rules, "host string, rules string, n long"))
+    known = materialize(infer(pages, html_col, url_col).mapInArrow(frugal(to_rules), "host string, rules string, n long"))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
     size = known.agg(F.sum(F.length("rules") + F.length("host") + 16)).first()[0] or 0
     both = src.join(F.broadcast(known.drop("n")), "host", "left") if size <= BROADCAST_CHARS else attach(src, known, "host", "n")
@@ -366,7 +366,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
                 texts.append(main_text(page, seen[rule]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    return both.select("id", "url", "html", "rules").mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return both.select("id", "url", "html", "rules").mapInArrow(frugal(run), f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

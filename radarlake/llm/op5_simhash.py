@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import attach, components, materialize, workers_can_import
+from radarlake.llm.common import attach, components, frugal, materialize, workers_can_import
 
 BUDGET = 2
 SHINGLE = 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "fp"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(frugal(run), f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
 def trie_links(v: np.ndarray, front: tuple, depth: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -172,7 +172,7 @@ def links(classes: DataFrame) -> DataFrame:
     sizes = materialize(dealt.groupBy("blk", "node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_NODES))
     if sizes.isEmpty():
         cold = dealt.select("blk", "node", "fp", F.lit(0).alias("bits"), F.lit(0).alias("p"), F.lit(0).alias("q"))
-        return cold.repartition("blk", "node").select("blk", "fp", "bits", "p", "q").mapInArrow(_walk, "a long, b long")
+        return cold.repartition("blk", "node").select("blk", "fp", "bits", "p", "q").mapInArrow(frugal(_walk), "a long, b long")
     limit = max(HOT_NODES, classes.count() * len(BLOCKS) // 65_536)
     hot = sizes.filter(F.col("n") > limit).withColumn("bits", F.least(F.lit(12), F.ceil(F.log2(F.col("n") / limit)).cast("int") + 2))
     all_ = dealt.join(F.broadcast(hot.drop("n")), ["blk", "node"], "left")  # at most 65,536 rows
@@ -181,7 +181,7 @@ def links(classes: DataFrame) -> DataFrame:
     at = all_.filter("bits IS NOT NULL").withColumn("w", width).withColumn("u", F.expr("cast(shiftrightunsigned(rot, 64 - w - bits) & (shiftleft(1L, bits) - 1) as int)"))
     near = F.expr(f"transform(filter(sequence(0, cast(shiftleft(1, bits) as int) - 1), x -> bit_count(x) <= {BUDGET}), x -> struct(least(u, u ^ x) AS p, greatest(u, u ^ x) AS q))")
     deep = at.select("blk", "node", "fp", "bits", F.inline(near))
-    return cold.unionByName(deep).repartition("blk", "node", "p", "q").select("blk", "fp", "bits", "p", "q").mapInArrow(_walk, "a long, b long")
+    return cold.unionByName(deep).repartition("blk", "node", "p", "q").select("blk", "fp", "bits", "p", "q").mapInArrow(frugal(_walk), "a long, b long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import attach, materialize, workers_can_import
+from radarlake.llm.common import attach, frugal, materialize, workers_can_import
 from radarlake.llm.op4_wrappers import host
 
 FIT_ROWS = 8_192
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                         got[lang, g] += min(n, 4)  # a repeated line is not that much evidence
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(tally, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(frugal(tally), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).collect()
     langs = sorted({r["lang"] for r in rows})
     total = dict.fromkeys(langs, 0)
@@ -136,7 +136,7 @@ def evidence(rows: DataFrame, model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(ll, pa.list_(pa.float64())), pa.array(best, pa.string())], names=[*kept, "ll", "best"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
-    return rows.mapInArrow(run, f"{fields}, ll array<double>, best string")
+    return rows.mapInArrow(frugal(run), f"{fields}, ll array<double>, best string")
 
 
 def fuse(rows: DataFrame, model) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import workers_can_import
+from radarlake.llm.common import frugal, workers_can_import
 from radarlake.llm.op3_bpe import BORDER, Codec, codec, default_tokenizer
 
 SEGMENT = 1024
@@ -129,7 +129,7 @@ def build(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             trees = [TokenTree(code, t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tokens for t in trees], pa.int64()), pa.array([[{"chars": n, "tokens": c} for n, c in t.leaves()] for t in trees], leaf)], names=["id", "n_tokens", "leaves"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, leaves array<struct<chars: int, tokens: int>>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"id {kind}, n_tokens long, leaves array<struct<chars: int, tokens: int>>").withColumnRenamed("id", id_col)
 
 
 def _edited(src: DataFrame, tokenizer: str, edits_of: Callable) -> DataFrame:
@@ -140,20 +140,18 @@ def _edited(src: DataFrame, tokenizer: str, edits_of: Callable) -> DataFrame:
         code = codec(tokenizer)
         leaf = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                rows = []
-                part = b.slice(k, 256)
-                for text, leaves, edits in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                    text = text or ""
-                    tree = TokenTree(code, text, None if leaves is None else [(x["chars"], x["tokens"]) for x in leaves])
-                    before, seen, todo = tree.tokens, tree.encoded, edits_of(text, edits)
-                    for s, e, new in todo:
-                        tree.edit(s, e, new)
-                    rows.append((before, len(todo), tree.tokens, tree.encoded - seen, [{"chars": n, "tokens": c} for n, c in tree.leaves()]))
-                kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), leaf
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds))], names=["id", "n_tokens", "n_edits", "n_tokens_after", "chars_reencoded", "leaves"])
-
-    return src.mapInArrow(run, f"id {kind}, n_tokens long, n_edits int, n_tokens_after long, chars_reencoded long, leaves array<struct<chars: int, tokens: int>>")
+            rows = []
+            for text, leaves, edits in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                text = text or ""
+                tree = TokenTree(code, text, None if leaves is None else [(x["chars"], x["tokens"]) for x in leaves])
+                before, seen, todo = tree.tokens, tree.encoded, edits_of(text, edits)
+                for s, e, new in todo:
+                    tree.edit(s, e, new)
+                rows.append((before, len(todo), tree.tokens, tree.encoded - seen, [{"chars": n, "tokens": c} for n, c in tree.leaves()]))
+            kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), leaf
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds))], names=["id", "n_tokens", "n_edits", "n_tokens_after", "chars_reencoded", "leaves"])
+
+    return src.mapInArrow(frugal(run), f"id {kind}, n_tokens long, n_edits int, n_tokens_after long, chars_reencoded long, leaves array<struct<chars: int, tokens: int>>")
 
 
 def update(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

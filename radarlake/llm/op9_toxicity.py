@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import materialize, workers_can_import
+from radarlake.llm.common import frugal, materialize, workers_can_import
 
 FIT_ROWS = 16_384
 MOST_TERMS = 4_096
@@ -61,7 +61,7 @@ def terms(token: str) -> tuple[str, ...]:
 class Memo(dict):
     """token -> what make gives for it; emptied when it grows large."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in m], pa.int64()), pa.array([x[1] for x in m], pa.int64())], names=["doc_id", "text", "y", "m1", "m2"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    sample = materialize(sample.mapInArrow(keyed, f"doc_id {kind}, text string, y int, m1 long, m2 long"))
+    sample = materialize(sample.mapInArrow(frugal(keyed), f"doc_id {kind}, text string, y int, m1 long, m2 long"))
     ids = sample.select("doc_id", "y", "m1", "m2")
     ids = ids.groupBy("m1").agg(F.min(F.struct("doc_id", "y", "m2")).alias("s")).select("s.*")
     ids = ids.groupBy("m2").agg(F.min(F.struct("doc_id", "y")).alias("s")).select("s.*")
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
                     got.clear()
         yield flush()
 
-    found = sample.select("text", "y").mapInArrow(tally, "term string, y int, n long").groupBy("term").agg(F.sum(F.expr("CASE WHEN y = 1 THEN n ELSE 0 END")).alias("n1"), F.sum(F.expr("CASE WHEN y = 0 THEN n ELSE 0 END")).alias("n0"))
+    found = sample.select("text", "y").mapInArrow(frugal(tally), "term string, y int, n long").groupBy("term").agg(F.sum(F.expr("CASE WHEN y = 1 THEN n ELSE 0 END")).alias("n1"), F.sum(F.expr("CASE WHEN y = 0 THEN n ELSE 0 END")).alias("n0"))
     best = found.filter(F.col("n1") + F.col("n0") >= LEAST_DF).withColumn("x", _chi_square(F.col("n1"), F.col("n0"), all1, all0)).filter(F.col("x") >= CHI_SQUARE)
     vocab = {r["term"]: k for k, r in enumerate(best.orderBy(F.desc("x"), "term").limit(MOST_TERMS).select("term").collect())}
 
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
         got[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(list(got.values()), pa.int64())], names=["t", "n"])
 
-    df = dict(docs.select("text").mapInArrow(df_counts, "t int, n long").groupBy("t").agg(F.sum("n")).collect())  # at most MOST_TERMS + 1 rows
+    df = dict(docs.select("text").mapInArrow(frugal(df_counts), "t int, n long").groupBy("t").agg(F.sum("n")).collect())  # at most MOST_TERMS + 1 rows
     n = df.get(-1, 0)
     idf = np.array([math.log((1 + n) / (1 + df.get(k, 0))) + 1 for k in range(len(vocab))])
 
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
             got = [scorer.counts(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.int32()))], names=["doc_id", "y", "at", "tf"])
 
-    rows = sample.mapInArrow(vectors, f"doc_id {kind}, y int, at array<int>, tf array<int>").collect()  # at most fit_rows
+    rows = sample.mapInArrow(frugal(vectors), f"doc_id {kind}, y int, at array<int>, tf array<int>").collect()  # at most fit_rows
     return build(vocab, idf, sorted((tuple(r) for r in rows), key=lambda r: r[0]))
 
 
@@ -296,7 +296,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in got], pa.float64()), pa.array([int(x[0] >= THRESHOLD) for x in got], pa.int32()), pa.array([[dict(zip(("doc_id", "cosine", "toxic"), e, strict=True)) for e in x[1]] for x in got], proof)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(frugal(run), f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -309,7 +309,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.score(t)[0] < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
