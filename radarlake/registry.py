@@ -54,12 +54,21 @@ def slc(spark, d):
 
 # --- scans
 
-WINDOW, CHUNK, SHAPE = geo.Window(40, 4, 200, 24), (16, 8), (500, 32)
+CHUNK = (16, 8)
+#: The middle of the image, and that window grown to chunk borders.
+MIDDLE = ', n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT n, n // 10 AS r0, n // 10 + n * 8 // 10 AS r1 FROM n)'
+IN_MIDDLE = '"row" >= r0 AND "row" < r1 AND col >= 4 AND col < 28'
 
 
-@query("scan_window", 'SELECT "row", col, re, im, "row" >= 40 AND "row" < 240 AND col >= 4 AND col < 28 AS requested FROM slc WHERE "row" >= 32 AND "row" < 240 AND col >= 0 AND col < 32')
+def middle(spark, d) -> tuple[geo.Window, tuple[int, int]]:
+    n = tb.table(spark, d, "embeddings").count()
+    return geo.Window(n // 10, 4, n * 8 // 10, 24), (n, 32)
+
+
+@query("scan_window", MIDDLE + f' SELECT "row", col, re, im, {IN_MIDDLE} AS requested FROM slc, w WHERE "row" >= r0 // 16 * 16 AND "row" < least((r1 + 15) // 16 * 16, n)')
 def _(spark, d):
-    return scan.planned(tb.slc(spark, d), geo.read_plan(WINDOW, SHAPE, CHUNK, 8)).select("row", "col", "re", "im", "requested")
+    w, shape = middle(spark, d)
+    return scan.planned(tb.slc(spark, d), geo.read_plan(w, shape, CHUNK, 8)).select("row", "col", "re", "im", "requested")
 
 
 MOSAIC = "r AS (SELECT (max(\"row\") + 1 + 7) // 8 AS n FROM px)"
@@ -92,18 +101,27 @@ def _(spark, d):
     return spark.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in values.items()))
 
 
-LOD, STRIDE = geo.Window(10, 2, 480, 28), (7, 3)
-IN_LOD = '"row" >= 10 AND "row" < 490 AND col >= 2 AND col < 30 AND ("row" - 10) % 7 = 0 AND (col - 2) % 3 = 0'
+STRIDE = (7, 3)
+ON_LATTICE = '"row" % 7 = 0 AND col % 3 = 0'
+
+
+def whole(spark, d) -> geo.Window:
+    return geo.Window(0, 0, tb.table(spark, d, "embeddings").count(), 32)
+
+
+@query("lod_sample", f'SELECT "row" // 7 AS r, CAST(col // 3 AS BIGINT) AS c, re, im FROM slc WHERE {ON_LATTICE}')
+def _(spark, d):
+    return scan.sample(tb.slc(spark, d), whole(spark, d), STRIDE)
 
 
-@query("lod_sample", f'SELECT ("row" - 10) // 7 AS r, CAST((col - 2) // 3 AS BIGINT) AS c, re, im FROM slc WHERE {IN_LOD}')
+@query("lod_sample_masked", f'SELECT "row" // 7 AS r, CAST(col // 3 AS BIGINT) AS c, re, im, CASE WHEN mask NOT IN (0, 255) THEN 1 ELSE 0 END AS valid FROM slc WHERE {ON_LATTICE}')
 def _(spark, d):
-    return scan.sample(tb.slc(spark, d), LOD, STRIDE)
+    return scan.sample(slc(spark, d), whole(spark, d), STRIDE).select("r", "c", "re", "im", mask_ok(c("mask")).cast("int").alias("valid"))
 
 
-@query("lod_sample_masked", f'SELECT ("row" - 10) // 7 AS r, CAST((col - 2) // 3 AS BIGINT) AS c, re, im, CASE WHEN mask NOT IN (0, 255) THEN 1 ELSE 0 END AS valid FROM slc WHERE {IN_LOD}')
+@query("lod_window", MIDDLE + ' SELECT ("row" - r0) // 5 AS r, CAST((col - 4) // 2 AS BIGINT) AS c, re, im FROM slc, w WHERE ' + IN_MIDDLE + ' AND ("row" - r0) % 5 = 0 AND (col - 4) % 2 = 0')
 def _(spark, d):
-    return scan.sample(slc(spark, d), LOD, STRIDE).select("r", "c", "re", "im", mask_ok(c("mask")).cast("int").alias("valid"))
+    return scan.sample(tb.slc(spark, d), middle(spark, d)[0], (5, 2))
 
 
 @query("aligned_join_4", 'SELECT "row", col, hhhh, hvhv, vvvv, re, im, mask FROM gcov')
@@ -112,9 +130,10 @@ def _(spark, d):
     return scan.aligned([tb.orders_layer(spark, d), cov["hvhv"], cov["vvvv"], cov["hhvv"]], {"mask": tb.mask(spark, d)}).select("row", "col", "hhhh", "hvhv", "vvvv", "re", "im", "mask")
 
 
-@query("aligned_join_lod", 'SELECT "row", col, hhhh, vvvv FROM gcov WHERE "row" % 3 = 0 AND col >= 5 AND (col - 5) % 5 = 0 AND "row" < 100000')
+@query("aligned_join_lod", 'SELECT "row", col, hhhh, vvvv FROM gcov WHERE "row" % 3 = 0 AND col >= 5 AND (col - 5) % 5 = 0')
 def _(spark, d):
-    where = scan.lattice(geo.Window(0, 5, 100_000, 123), (3, 5))
+    rows = tb.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // tb.WIDTH + 1
+    where = scan.lattice(geo.Window(0, 5, rows, 123), (3, 5))
     return scan.aligned([tb.orders_layer(spark, d), tb.covariance(spark, d)["vvvv"]], where=where).select("row", "col", "hhhh", "vvvv")
 
 
@@ -126,11 +145,11 @@ def _(spark, d):
     return chunks.statistics(stored).drop("layer")
 
 
-@query("chunk_window", 'SELECT "row", CAST(col AS BIGINT) AS col, re AS value FROM slc WHERE "row" >= 40 AND "row" < 240 AND col >= 4 AND col < 28')
+@query("chunk_window", MIDDLE + f' SELECT "row", CAST(col AS BIGINT) AS col, re AS value FROM slc, w WHERE {IN_MIDDLE}')
 def _(spark, d):
-    n = tb.table(spark, d, "embeddings").count()
-    stored = chunks.to_chunks(tb.slc(spark, d).withColumnRenamed("re", "value"), "slc", (n, 32), CHUNK)
-    return chunks.to_pixels(stored.filter(scan.in_chunks(WINDOW, CHUNK)), WINDOW)
+    w, shape = middle(spark, d)
+    stored = chunks.to_chunks(tb.slc(spark, d).withColumnRenamed("re", "value"), "slc", shape, CHUNK)
+    return chunks.to_pixels(stored.filter(scan.in_chunks(w, CHUNK)), w)
 
 
 # --- predicates
@@ -440,22 +459,21 @@ def _(spark, d):
     return display.colorize(got, "n", display.CYCLIC, display.palettes(spark)).drop("n")
 
 
-HEIGHT, SIDE = 64, 32
-PAGE = ', pg AS (SELECT "row" AS pr, CAST(col AS BIGINT) AS pc, CASE WHEN mask NOT IN (0, 255) AND (CAST("row" AS BIGINT)*7 + col) % 5 <> 0 THEN {v} END AS value FROM slc WHERE "row" < 64)'
-POINTS = ", pt AS (SELECT id, ((id*37) % 1000)/1000e0*64 AS y, ((id*91) % 997)/997e0*32 AS x FROM (SELECT unnest(range(1000)) AS id) i), n AS (SELECT *, least(CAST(floor(y) AS BIGINT), 63) AS nr, least(CAST(floor(x) AS BIGINT), 31) AS nc FROM pt)"
-CORNERS = """, cn AS (SELECT id, nr, nc, greatest(least(CAST(floor(y-0.5e0) AS BIGINT)+a, 63), 0) AS pr, greatest(least(CAST(floor(x-0.5e0) AS BIGINT)+b, 31), 0) AS pc,
+SIDE = 32
+PAGE = ', pg AS (SELECT "row" AS pr, CAST(col AS BIGINT) AS pc, CASE WHEN mask NOT IN (0, 255) AND ("row"*7 + col) % 5 <> 0 THEN {v} END AS value FROM slc)'
+POINTS = ", ht AS (SELECT count(*) AS h FROM embeddings), pt AS (SELECT id, h, ((id*37) % (3*h))/CAST(3*h AS DOUBLE)*h AS y, ((id*91) % 997)/997e0*32 AS x FROM (SELECT h, unnest(range(3*h)) AS id FROM ht) i), n AS (SELECT *, least(CAST(floor(y) AS BIGINT), h-1) AS nr, least(CAST(floor(x) AS BIGINT), 31) AS nc FROM pt)"
+CORNERS = """, cn AS (SELECT id, nr, nc, greatest(least(CAST(floor(y-0.5e0) AS BIGINT)+a, h-1), 0) AS pr, greatest(least(CAST(floor(x-0.5e0) AS BIGINT)+b, 31), 0) AS pc,
   (CASE WHEN a = 1 THEN (y-0.5e0)-floor(y-0.5e0) ELSE 1-((y-0.5e0)-floor(y-0.5e0)) END)*(CASE WHEN b = 1 THEN (x-0.5e0)-floor(x-0.5e0) ELSE 1-((x-0.5e0)-floor(x-0.5e0)) END) AS w
   FROM n, (SELECT unnest([0,0,1,1]) AS a, unnest([0,1,0,1]) AS b) k),
   g AS (SELECT id, max(CASE WHEN cn.pr = nr AND cn.pc = nc THEN value END) AS v0, sum(CASE WHEN value IS NOT NULL THEN w END) AS sw, sum(w*value) AS sv, sum(w*cos(value)) AS sc, sum(w*sin(value)) AS ss FROM cn LEFT JOIN pg USING (pr, pc) GROUP BY id)"""
 
 
-def _points(spark) -> DataFrame:
-    return spark.range(1000).select("id", (((c("id") * 37) % 1000) / F.lit(1000e0) * HEIGHT).alias("y"), (((c("id") * 91) % 997) / F.lit(997e0) * SIDE).alias("x"))
-
-
-def _page(spark, d, f: Callable) -> DataFrame:
-    s = slc(spark, d).filter(c("row") < HEIGHT)
-    return s.select("row", c("col").cast("long").alias("col"), F.when((c("row") * 7 + c("col")) % 5 != 0, f(c("re"), c("im"), c("mask"))).cast("double").alias("value"))
+def _sampled(spark, d, f: Callable, mode: str) -> DataFrame:
+    """Three points a row of the image, sampled from it with some pixels taken out."""
+    h = tb.table(spark, d, "embeddings").count()
+    points = spark.range(3 * h).select("id", (((c("id") * 37) % (3 * h)) / F.lit(3.0 * h) * h).alias("y"), (((c("id") * 91) % 997) / F.lit(997e0) * SIDE).alias("x"))
+    page = slc(spark, d).select("row", c("col").cast("long").alias("col"), F.when((c("row") * 7 + c("col")) % 5 != 0, f(c("re"), c("im"), c("mask"))).cast("double").alias("value"))
+    return display.sample_points(points, page, h, SIDE, mode)
 
 
 _AMP = f"CAST(CAST(sqrt({P}) AS FLOAT) AS DOUBLE)"
@@ -464,18 +482,18 @@ _PHASE = "CAST(CAST(atan2(CAST(im AS DOUBLE), CAST(re AS DOUBLE)) AS FLOAT) AS D
 
 @query("disp_nearest", PAGE.format(v=_AMP) + POINTS + " SELECT id, value FROM n LEFT JOIN pg ON pr = nr AND pc = nc")
 def _(spark, d):
-    return display.sample_points(_points(spark), _page(spark, d, tx.amplitude), HEIGHT, SIDE, "nearest")
+    return _sampled(spark, d, tx.amplitude, "nearest")
 
 
 @query("disp_bilinear", PAGE.format(v=_AMP) + POINTS + CORNERS + " SELECT id, round(CAST(CAST(CASE WHEN v0 IS NOT NULL THEN CASE WHEN sw > 0 THEN sv/sw ELSE v0 END END AS FLOAT) AS DOUBLE), 5) AS value FROM g")
 def _(spark, d):
-    got = display.sample_points(_points(spark), _page(spark, d, tx.amplitude), HEIGHT, SIDE, "bilinear")
+    got = _sampled(spark, d, tx.amplitude, "bilinear")
     return got.select("id", F.round(c("value").cast("double"), 5).alias("value"))
 
 
 @query("disp_phase_interp", PAGE.format(v=_PHASE) + POINTS + CORNERS + " SELECT id, round(CAST(CAST(CASE WHEN v0 IS NOT NULL THEN CASE WHEN sw > 0 AND sc*sc+ss*ss > 1e-12*sw*sw THEN atan2(ss, sc) ELSE v0 END END AS FLOAT) AS DOUBLE), 5) AS value FROM g")
 def _(spark, d):
-    got = display.sample_points(_points(spark), _page(spark, d, tx.phase), HEIGHT, SIDE, "phase")
+    got = _sampled(spark, d, tx.phase, "phase")
     return got.select("id", F.round(c("value").cast("double"), 5).alias("value"))
 
 
@@ -492,11 +510,12 @@ def _(spark, d):
     return pair(spark, d).select("row", "col", display.swipe((c("col") + 0.5) / 128.0, c("a"), c("b"), 0.4).alias("value"))
 
 
-@query("disp_crossfade", """, a AS (SELECT "row", col, CAST(hhhh AS DOUBLE) AS a FROM gcov WHERE "row" < 60), b AS (SELECT "row", col, CAST(vvvv AS DOUBLE) AS b FROM gcov WHERE "row" >= 4)
+@query("disp_crossfade", """, a AS (SELECT "row", col, CAST(hhhh AS DOUBLE) AS a FROM gcov WHERE col < 100), b AS (SELECT "row", col, CAST(vvvv AS DOUBLE) AS b FROM gcov WHERE col >= 20)
   SELECT "row", col, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a*0.75e0 + b*0.25e0 ELSE coalesce(a, b) END AS value FROM a FULL JOIN b USING ("row", col) WHERE coalesce(a, b) IS NOT NULL""")
 def _(spark, d):
+    """Two pages that overlap in columns 20 to 99."""
     g = tb.gcov(spark, d)
-    a, b = g.filter("row < 60").select("row", "col", c("hhhh").alias("value")), g.filter("row >= 4").select("row", "col", c("vvvv").alias("value"))
+    a, b = g.filter("col < 100").select("row", "col", c("hhhh").alias("value")), g.filter("col >= 20").select("row", "col", c("vvvv").alias("value"))
     return display.crossfade(a, b, (3.0, 1.0))
 
 
