@@ -173,14 +173,17 @@ class Scorer:
 
     def __init__(self, vocab: dict[str, int], ix: Index | None = None):
         self.ix = ix
+        #: How terms begin: a token of one word that begins otherwise has none.
+        self.heads = frozenset(t.rstrip("*")[:4] for t in vocab)
         self.memo = Memo(lambda token: tuple(vocab[x] for x in terms(token) if x in vocab))
         self.known = Memo(self._score, 100_000)
 
     def counts(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        got = Counter()
-        memo = self.memo
-        for found in [f for t in (text or "").lower().split() if (f := memo[t])]:
-            got.update(found)
+        got: dict[int, int] = {}
+        heads, memo = self.heads, self.memo
+        for token in [t for t in (text or "").lower().split() if t[:4] in heads or not t.isalnum()]:
+            for t in memo[token]:
+                got[t] = got.get(t, 0) + 1
         at = sorted(got)
         return tuple(at), tuple(got[t] for t in at)
 
