@@ -188,8 +188,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
         for b in batches:
-            ids = [code.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_packed, ids), pa.binary()), pa.array([code.decode(x).decode("utf-8", "replace") for x in ids], pa.string())], names=["id", "ids_le", "decoded"])
+            packed, decoded = [], []
+            for text in b.column(1):
+                ids = code.encode(text.as_py())
+                packed.append(_packed(ids))
+                decoded.append(code.decode(ids).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=["id", "ids_le", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, names = codec(tokenizer), ["id", "sha", "n", "leaf", "kind", "text", "raw", "cuts", "grp"]
@@ -206,16 +210,16 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             ids = []
             for k, text, raw, cuts in zip(*(b.column(c).to_pylist() for c in ("kind", "text", "raw", "cuts")), strict=True):
                 if k == TEXT:
-                    ids.append(code.encode(text))
+                    got = code.encode(text)
                 elif k == PART:
-                    ids.append(code.piece(raw))
+                    got = code.piece(raw)
                 else:
                     got, at = [], 0
                     for n in cuts:
                         got += code.piece(text[at : at + n].encode())
                         at += n
-                    ids.append(got)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "sha", "n", "leaf", "kind", "grp")), pa.array(map(_packed, ids), pa.binary())], names=["id", "sha", "n", "leaf", "kind", "grp", "ids"])
+                ids.append(_packed(got))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "sha", "n", "leaf", "kind", "grp")), pa.array(ids, pa.binary())], names=["id", "sha", "n", "leaf", "kind", "grp", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -237,10 +241,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         one = table.slice(0, 1)
         return pa.table([one.column("id"), one.column("n"), pa.array([_packed(ids)], pa.binary()), pa.array([code.decode(ids).decode("utf-8", "replace")], pa.string())], names=["id", "n", "ids_le", "decoded"])
 
-    few = src.filter(F.length("text") <= leaf_chars).mapInArrow(frugal(short), out_schema)
+    few = src.filter(F.length("text") <= leaf_chars).mapInArrow(frugal(short, 256), out_schema)
     long = src.filter(F.length("text") > leaf_chars).groupBy("id", F.sha2("text", 256).alias("sha"), "text").agg(F.count(F.lit(1)).alias("n")).select("id", "sha", "text", "n")
-    pieces = long.mapInArrow(frugal(cut), f"id {kind}, sha string, n long, leaf int, kind int, text string, raw binary, cuts array<int>, grp int")
-    pieces = pieces.repartition("id", "sha", "leaf").mapInArrow(frugal(leaf_ids), f"id {kind}, sha string, n long, leaf int, kind int, grp int, ids binary")
+    pieces = long.mapInArrow(frugal(cut, 16), f"id {kind}, sha string, n long, leaf int, kind int, text string, raw binary, cuts array<int>, grp int")
+    pieces = pieces.repartition("id", "sha", "leaf").mapInArrow(frugal(leaf_ids, 32), f"id {kind}, sha string, n long, leaf int, kind int, grp int, ids binary")
     whole = pieces.groupBy("id", "sha").applyInArrow(joined, f"id {kind}, n long, ids_le binary, decoded string")
     whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("id", "ids_le", "decoded")
     return few.unionByName(whole).withColumnRenamed("id", id_col)
