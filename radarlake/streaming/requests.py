@@ -25,12 +25,23 @@ def latest_in_windows(requests: DataFrame, window: str = "10 seconds", delay: st
 
 
 class PageWorker:
-    """One page at a time; a newer request interrupts the running one."""
+    """One page at a time; a newer request interrupts the running one.
+
+    While the foreground is active, no background page is started.
+    """
 
     def __init__(self, spark: SparkSession, build: Callable[[Any], Any]):
         self._spark, self._build = spark, build
         self._lock, self._serial, self._done = threading.Lock(), 0, None
         self._thread: threading.Thread | None = None
+        self._idle = threading.Event()
+        self._idle.set()
+
+    def foreground(self, active: bool) -> None:
+        if active:
+            self._idle.clear()
+        else:
+            self._idle.set()
 
     def _tag(self, serial: int) -> str:
         return f"page-{id(self)}-{serial}"
@@ -45,6 +56,7 @@ class PageWorker:
         def run() -> None:
             if before is not None:
                 before.join()
+            self._idle.wait()
             with self._lock:
                 if serial != self._serial:
                     return

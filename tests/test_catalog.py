@@ -92,6 +92,16 @@ def test_page_worker(spark):
     w.request(5)
     w.supersede()
     assert w.take(60) is None
+    w.foreground(True)
+    held = w.request(7)
+    assert w.take(0.5) is None
+    w.foreground(False)
+    assert w.take(60) == (held, 7)
+    w.request(-1)
+    failing = PageWorker(spark, lambda n: spark.sql("SELECT raise_error('no')").collect())
+    failing.request(1)
+    with pytest.raises(Exception, match="no"):
+        failing.take(60)
 
 
 def test_scene(spark):
