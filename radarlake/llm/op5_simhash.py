@@ -33,8 +33,9 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: A block value with more classes than this (or 1 in 65,536 of all) is dealt again.
 HOT_NODES = 65_536
 FRONTIER = 1 << 20
-#: A column name that documents do not use.
-KEPT = "__radarlake_kept"
+BUCKETS = 1 << 20
+#: Column names that documents do not use.
+OTHER, BUCKET, OTHER_BUCKET = "__radarlake_id", "__radarlake_bucket", "__radarlake_id_bucket"
 
 
 def fingerprint(text: str) -> int:
@@ -202,14 +203,20 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where rows repeat an id, those that aren't the same in every column all stay.
     """
-    found = dedup(docs)
-    keep = found.filter("doc_id = component").select(F.col("doc_id").alias(KEPT)).distinct()
-    twice = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(KEPT)))
-    here = F.col("doc_id") == F.col(KEPT)
-    kept = docs.join(keep, here, "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    if twice.isEmpty():
-        return kept
-    return kept.join(twice, here, "left_anti").unionByName(kept.join(twice, here, "left_semi").distinct())
+    per = materialize(dedup(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(OTHER)).agg(F.max("component").alias("c"), F.count(F.lit(1)).alias("n")))
+    # Only rows in hash buckets with such an id are moved; at most BUCKETS rows are broadcast. The bucket
+    # is part of the later joins' keys, else the optimizer would put them below the broadcast join.
+    per = per.withColumn(OTHER_BUCKET, F.xxhash64(OTHER).bitwiseAND(F.lit(BUCKETS - 1)))
+    gone = per.filter(F.col("c") < F.col(OTHER)).select(OTHER, OTHER_BUCKET)
+    twice = per.filter("n > 1").select(OTHER, OTHER_BUCKET)
+    hit = gone.union(twice).select(F.col(OTHER_BUCKET).alias(BUCKET)).distinct()
+    known = docs.join(F.broadcast(hit), F.xxhash64("doc_id").bitwiseAND(F.lit(BUCKETS - 1)) == F.col(BUCKET), "left")
+    clean = known.filter(F.col(BUCKET).isNull()).select(*docs.columns)
+    here = (F.col("doc_id") == F.col(OTHER)) & (F.col(BUCKET) == F.col(OTHER_BUCKET))
+    kept = known.filter(F.col(BUCKET).isNotNull()).join(gone, here, "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(twice, here, "left_anti").unionByName(kept.join(twice, here, "left_semi").distinct())
+    return clean.unionByName(kept.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

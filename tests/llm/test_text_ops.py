@@ -164,6 +164,8 @@ def test_simhash_edge_cases(spark, frame):
     kept = op5_simhash.stage(spark, frame(ODD), SMALL)
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(6) == 1 and 7 not in ids and None in ids and kept.columns == frame([]).columns
+    two = frame([(3, "one text of its own"), (5, "one text of its own"), (5, "quite another one here")])
+    assert sorted(r["doc_id"] for r in op5_simhash.stage(spark, two, SMALL).collect()) == [3, 5, 5]  # 5 still stands for its other text
 
 
 # --- 7: token trees
