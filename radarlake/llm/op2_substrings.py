@@ -6,13 +6,19 @@ hash functions, the Cartesian tree over a text's token hashes gives its compact
 at least ``SPAN`` tokens wide (a passage of 50 words) are kept, about 2 per ``SPAN``
 tokens; their centres are the minima of sliding windows, found for whole batches at
 once. Windows of equal min-hash are joined in a star around the first text that has it,
-never all pairs. Pairs of texts in which two hash functions or more met are verified on
-the tokens around the meeting places: windows of 50 words whose tokens have a Jaccard
-similarity of 0.8 or more (tokens matched one to one) make up the passages. A passage
-of exactly 50 words at similarity 0.8 meets in two of four hashes with a chance of 0.97;
-an exact repeat always does.
+never all pairs. A text is verified against the first texts around places where two
+hash functions or more met, be it with different texts: windows of 50 words on the
+diagonals of all meeting places whose tokens have a Jaccard similarity of 0.8 or more
+(tokens matched one to one inside the two windows) make up the passages.
 
-Only the windows, and of texts in a pair the tokens around their windows, are moved.
+Exact repeats don't depend on the star: an exact passage meets in all four hashes, so
+the passages of 50 words near which all four met with any text are joined by a hash of
+their whole content to the first text that has it, at each place where they occur. A
+repeat that is near but not exact is found where one of the first texts has it; it is
+not linked to a later text when the first texts only hold parts of it.
+
+Only the windows, the hashes of passages that may be repeats, and of texts in a pair
+the tokens around their windows are moved.
 
 Edge cases: null, empty and short texts (under 50 words) have no passage; rows that
 share an id are one document, which is no copy of itself; rows with a null id are
@@ -36,12 +42,15 @@ SHINGLE = 5
 SPAN = 46
 SIMILAR = 0.8
 HASHES = 4
-#: A pair of texts is verified where so many hash functions met.
+#: Texts are verified near places where so many hash functions met, be it with different texts.
 LEAST_HASHES = 2
+#: Of a key that a text has more than once, one place in so many tokens is kept.
+CELL = 16
 BUCKETS = 1 << 20
 #: More pairs than this around one text are dealt to several tasks.
 STAR = 1024
 BATCH_WORDS = 1 << 20
+ROWS = 1 << 16
 WORD = re.compile(r"\S+")
 #: Column names that documents do not use.
 OWN = ("__radarlake_row", "__radarlake_bucket", "__radarlake_spans")
@@ -111,8 +120,8 @@ def compact_windows(h: np.ndarray, doc: np.ndarray, end: np.ndarray, span: int =
     return left, c, right
 
 
-def _windows(rid: range, texts: list[str | None], memo) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, rid, c) of batches of texts; each key once a text."""
+def _windows(rid: range, texts: list[str | None], memo) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, rid, offsets, places) of batches of texts; each key once a text, with its places."""
     todo, size = [], 0
     for k, text in enumerate(texts):
         words = (text or "").split()
@@ -127,7 +136,7 @@ def _windows(rid: range, texts: list[str | None], memo) -> Iterator[tuple[np.nda
         yield from _keys(todo, memo)
 
 
-def _keys(todo: list[tuple[int, list[str]]], memo) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _keys(todo: list[tuple[int, list[str]]], memo) -> Iterator[tuple[np.ndarray, ...]]:
     part, size = [], 0
     for x in todo:  # a batch of one very long text is cut with an overlap
         if size + len(x[1]) > (1 << 22) - 1 and part:
@@ -144,7 +153,7 @@ def _keys(todo: list[tuple[int, list[str]]], memo) -> Iterator[tuple[np.ndarray,
         yield _batch_keys(part, memo)
 
 
-def _batch_keys(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _batch_keys(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(w) for _, w, _ in part])
     words = np.fromiter((memo[w] for _, ws, _ in part for w in ws), dtype=np.uint64, count=int(sizes.sum()))
     ends = np.cumsum(sizes)
@@ -163,53 +172,73 @@ def _batch_keys(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarra
     key, d, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(at)
     order = np.lexsort((at, key, d))
     key, d, at = key[order], d[order], at[order]
-    once = np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])] if len(key) else np.array([], dtype=bool)
+    same = (key[1:] == key[:-1]) & (d[1:] == d[:-1])
+    kept = np.r_[True, ~same | (at[1:] // CELL != at[:-1] // CELL)] if len(key) else np.array([], dtype=bool)
+    key, d, at = key[kept], d[kept], at[kept]
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])]) if len(key) else np.array([], dtype=np.int64)
     rid = np.array([r for r, _, _ in part], dtype=np.int64)
-    return key[once].view(np.int64), rid[d[once]], at[once].astype(np.int32)
+    return key[new].view(np.int64), rid[d[new]], np.r_[new, len(key)].astype(np.int32), at.astype(np.int32)
 
 
 def _tokens(text: str, memo) -> np.ndarray:
-    """Shingle hashes, the k-th one of a kind told from the others."""
+    """Shingle hashes."""
     words = np.fromiter((memo[w] for w in text.split()), dtype=np.uint64)
-    h = shingles(words)[: max(len(words) - SHINGLE + 1, 0)]
-    order = np.argsort(h, kind="stable")
-    new = np.r_[True, h[order][1:] != h[order][:-1]] if len(h) else np.array([], dtype=bool)
-    place = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.array([], dtype=np.int64)
-    nth = np.empty(len(h), dtype=np.uint64)
-    nth[order] = place.astype(np.uint64)
-    return h + nth * np.uint64(_MIX[1])
+    return shingles(words)[: max(len(words) - SHINGLE + 1, 0)]
+
+
+def _numbered(w: np.ndarray) -> np.ndarray:
+    """Windows (one a row) whose k-th token of a kind is told from the others of the window."""
+    w = np.sort(w, axis=1)
+    at = np.broadcast_to(np.arange(w.shape[1]), w.shape)
+    new = np.ones(w.shape, dtype=bool)
+    new[:, 1:] = w[:, 1:] != w[:, :-1]
+    nth = at - np.maximum.accumulate(np.where(new, at, 0), axis=1)
+    return w + nth.astype(np.uint64) * np.uint64(_MIX[1])
 
 
 def passages(a: np.ndarray, b: np.ndarray, seeds, span: int = SPAN, similar: float = SIMILAR) -> list[tuple[int, int, int, float]]:
     """(first word, end, first word in b, similarity) of the passages of a that b has.
 
     seeds: places (in a, in b) where compact windows met. A window of a is compared
-    with the window of b on the diagonal of its first and of its last seed.
+    with the windows of b on the diagonals of all its seeds.
     """
     n = len(a) - span + 1
     if n <= 0 or len(b) < span:
         return []
     order = np.argsort(b, kind="stable")
-    at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
-    match = np.where(b[order][at] == a, order[at], -(1 << 40))
+    kinds = b[order]
+    at = np.minimum(np.searchsorted(kinds, a), len(b) - 1)
+    match = np.where(kinds[at] == a, order[at], -(1 << 40))
+    # tokens that one of the two has more than once are matched window by window
+    own = np.sort(a)
+    often = np.searchsorted(kinds, a, "right") - np.searchsorted(kinds, a) > 1
+    often |= np.searchsorted(own, a, "right") - np.searchsorted(own, a) > 1
+    often = np.r_[0, np.cumsum(often & (match >= 0))]
+    often = often[span:] > often[:-span]
     seeds = np.unique(np.asarray(seeds, dtype=np.int64).reshape(-1, 2), axis=0)
     far = seeds[:, 1] - seeds[:, 0]
+    seeds, far = seeds[np.argsort(far, kind="stable")], np.sort(far)
     best, shift = np.zeros(n), np.zeros(n, dtype=np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(match, span)
-    for lo in range(0, n, 50_000):
-        i = np.arange(lo, min(lo + 50_000, n))
-        one, two = np.searchsorted(seeds[:, 0], i), np.searchsorted(seeds[:, 0], i + span) - 1
-        has = one <= two
-        i, one, two = i[has], one[has], two[has]
-        for pick in (one, two):
-            if not len(i):
-                break
-            d = np.clip(i + far[pick], 0, len(b) - span) - i
-            got = view[i] - (i + d)[:, None]
+    view = np.lib.stride_tricks.sliding_window_view
+    places, tokens, others = view(match, span), view(a, span), view(b, span)
+    cuts = np.r_[0, np.flatnonzero(np.diff(far)) + 1, len(far)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        mark = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(mark, np.clip(seeds[lo:hi, 0] - span + 1, 0, n), 1)
+        np.add.at(mark, np.clip(seeds[lo:hi, 0] + 1, 0, n), -1)
+        todo = np.flatnonzero((np.cumsum(mark[:n]) > 0) & (best < 1.0))
+        for k in range(0, len(todo), 20_000):
+            i = todo[k : k + 20_000]
+            j = np.clip(i + far[lo], 0, len(b) - span)
+            got = places[i] - j[:, None]
             common = ((got >= 0) & (got < span)).sum(axis=1)
+            slow = often[i]
+            if slow.any():
+                both = np.sort(np.concatenate((_numbered(tokens[i[slow]]), _numbered(others[j[slow]])), axis=1), axis=1)
+                common[slow] = (both[:, 1:] == both[:, :-1]).sum(axis=1)
             jac = common / (2 * span - common)
             up = jac > best[i]
-            best[i[up]], shift[i[up]] = jac[up], d[up]
+            best[i[up]], shift[i[up]] = jac[up], (j - i)[up]
     good = np.flatnonzero(best >= similar - 1e-12)
     out = []
     if not len(good):
@@ -223,6 +252,41 @@ def passages(a: np.ndarray, b: np.ndarray, seeds, span: int = SPAN, similar: flo
     return out
 
 
+def _whole(h: np.ndarray, met: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of each passage of exactly 50 words near whose tokens all hash functions met.
+
+    A passage that another text has meets in all of them, so no other one can be a repeat.
+    """
+    n = len(h) - SPAN + 1
+    if n <= 0:
+        return np.array([], dtype=np.int64), np.array([], dtype=np.int32)
+    near = np.ones(n, dtype=bool)
+    for k in range(HASHES):
+        at = np.array([c for f, cs in met if f == k for c in cs], dtype=np.int64)
+        mark = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(mark, np.clip(at - SPAN - CELL + 1, 0, n), 1)
+        np.add.at(mark, np.clip(at + CELL + 1, 0, n), -1)
+        near &= np.cumsum(mark[:n]) > 0
+    out = np.zeros(n, dtype=np.uint64)
+    for k in [*range(0, SPAN - 1, SHINGLE), SPAN - 1]:
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(_MIX[2]) + h[k : k + n]
+    i = np.flatnonzero(near)
+    return out[i].view(np.int64), i.astype(np.int32)
+
+
+def _agreeing(met: list[dict]) -> list[dict]:
+    """Places near which LEAST_HASHES hash functions met, whichever texts they met."""
+    met = sorted(met, key=lambda x: x["k"])
+    flat = np.array([(c, x["k"], j) for j, x in enumerate(met) for c in x["c"]], dtype=np.int64).reshape(-1, 3)
+    flat = flat[np.argsort(flat[:, 0], kind="stable")]
+    seen = np.zeros(len(flat), dtype=np.int64)
+    for k in range(HASHES):
+        at = flat[flat[:, 1] == k, 0]
+        seen += np.searchsorted(at, flat[:, 0] + SPAN) > np.searchsorted(at, flat[:, 0] - SPAN, "right")
+    good = set(flat[seen >= LEAST_HASHES, 2].tolist())
+    return [x for j, x in enumerate(met) if j in good]
+
+
 def _bucket(hashed):
     return hashed.bitwiseAND(F.lit(BUCKETS - 1))
 
@@ -256,15 +320,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def scan(batches):
         memo = _hasher()
         for b in batches:
-            for key, row, c in _windows(range(b.num_rows), b.column(1).to_pylist(), memo):
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(row)), pa.array(c)], names=["key", "id", "c"])
+            for key, row, cut, c in _windows(range(b.num_rows), b.column(1).to_pylist(), memo):
+                for lo in range(0, len(key), ROWS):
+                    hi = min(lo + ROWS, len(key))
+                    at = pa.ListArray.from_arrays(pa.array(cut[lo : hi + 1] - cut[lo]), pa.array(c[cut[lo] : cut[hi]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi]), b.column(0).take(pa.array(row[lo:hi])), at], names=["key", "id", "c"])
 
-    windows = materialize(src.mapInArrow(frugal(scan), f"key long, id {kind}, c int"))
+    windows = materialize(src.mapInArrow(frugal(scan), f"key long, id {kind}, c array<int>"))
     first = windows.groupBy("key").agg(F.min(F.struct("id", "c")).alias("x"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.id < last").select("key", F.col("x.id").alias("bid"), F.col("x.c").alias("bc"), "n")
-    met = attach(windows, materialize(first), "key", "n").filter("id <> bid")
-    hashes = F.size(F.collect_set(F.col("key").bitwiseAND(F.lit(3))))
-    pairs = met.groupBy("id", "bid").agg(F.sort_array(F.collect_set(F.struct("c", "bc"))).alias("seeds"), hashes.alias("k")).filter(F.col("k") >= LEAST_HASHES).drop("k")
-    pairs = materialize(pairs)
+    met = attach(windows, materialize(first), "key", "n").select("id", F.col("key").bitwiseAND(F.lit(3)).cast("int").alias("k"), "c", "bid", F.when(F.col("id") != F.col("bid"), F.col("bc")).alias("bc"))
+    met = materialize(met.groupBy("id").agg(F.collect_list(F.struct("k", "c", "bid", "bc")).alias("met")))
+
+    def pair(batches):
+        for b in batches:
+            for i, met in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                seeds: dict = {}
+                for x in _agreeing([x for x in met if x["bc"] is not None]):
+                    seeds.setdefault(x["bid"], set()).update((c, bc) for c in x["c"] for bc in x["bc"])
+                if seeds:
+                    kinds = b.schema.field(0).type, b.schema.field(0).type, pa.list_(pa.struct([("c", pa.int32()), ("bc", pa.int32())]))
+                    rows = [[i.as_py()] * len(seeds), list(seeds), [[{"c": c, "bc": bc} for c, bc in sorted(x)] for x in seeds.values()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["id", "bid", "seeds"])
+
+    pairs = materialize(met.mapInArrow(frugal(pair), f"id {kind}, bid {kind}, seeds array<struct<c:int,bc:int>>"))
     stars = materialize(pairs.groupBy("bid").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set(F.transform("seeds", lambda x: x["bc"])))).alias("at")))
     dealt = attach(pairs, stars.select("bid", "n", F.ceil(F.col("n") / STAR).cast("int").alias("deal")), "bid", "n")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
@@ -321,8 +399,41 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             kinds = b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), b.schema.field("bid").type, pa.int32(), pa.float64()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    found = mine.join(theirs, ["bid", "salt"]).mapInArrow(frugal(verify), f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double")
-    return found.distinct()
+    spans = f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double"
+    near = materialize(mine.join(theirs, ["bid", "salt"]).mapInArrow(frugal(verify), spans).distinct())
+
+    def whole(batches):
+        memo = _hasher()
+        for b in batches:
+            for i, rid, text, met in zip(b.column("id"), b.column("rid").to_pylist(), b.column("text").to_pylist(), b.column("met").to_pylist(), strict=True):
+                h, c = _whole(_tokens(text, memo), [(x["k"], x["c"]) for x in met])
+                for k in range(0, len(h), ROWS):
+                    n = len(h[k : k + ROWS])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[k : k + ROWS]), pa.array([i.as_py()] * n, b.schema.field("id").type), pa.array([rid] * n, pa.int64()), pa.array(c[k : k + ROWS])], names=["key", "id", "rid", "c"])
+
+    able = met.filter(F.size(F.array_distinct("met.k")) == HASHES)
+    exact = only(able.select("id")).withColumn("rid", F.xxhash64("id", "text")).join(able, "id").mapInArrow(frugal(whole), f"key long, id {kind}, rid long, c int")
+    exact = materialize(exact)
+    first = exact.groupBy("key").agg(F.min(F.struct("id", "c")).alias("x"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.id < last").select("key", F.col("x.id").alias("bid"), F.col("x.c").alias("bc"), "n")
+    again = attach(exact, materialize(first), "key", "n").filter("id <> bid")
+    lost = again.groupBy("id", "rid", "bid", (F.col("bc") - F.col("c")).alias("far")).agg(F.array_sort(F.collect_set("c")).alias("c"))
+
+    def runs(batches):
+        names = ["id", "rid", "first_word", "n_words", "source", "source_word", "similarity"]
+        for b in batches:
+            out: list[tuple] = []
+            for i, rid, bid, far, c in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                c = np.array(c)
+                cut = np.flatnonzero(np.diff(c) > 1)
+                for lo, hi in zip(c[np.r_[0, cut + 1]].tolist(), c[np.r_[cut, len(c) - 1]].tolist(), strict=True):
+                    out.append((i, rid, lo, hi - lo + SPAN + SHINGLE - 1, bid, lo + far, 1.0))
+            kinds = b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), b.schema.field("bid").type, pa.int32(), pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    known = near.groupBy(F.col("rid").alias("at")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans"))
+    lost = lost.mapInArrow(frugal(runs), spans).join(known, F.col("rid") == F.col("at"), "left")
+    inside = F.exists("spans", lambda x: (x["first_word"] <= F.col("first_word")) & (x["first_word"] + x["n_words"] >= F.col("first_word") + F.col("n_words")))
+    return near.unionByName(lost.filter(~F.coalesce(inside, F.lit(False))).select(*near.columns))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

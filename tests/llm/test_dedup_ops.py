@@ -246,3 +246,33 @@ def test_stages_keep_columns(spark, frame):
             assert got.schema.names == frame([]).schema.names, name
             assert got.count() <= len(rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "bpe_encoding"]
+
+
+def exact_repeats(docs, n=50):
+    """(doc, first word) of the passages of n words that an earlier text has, by brute force."""
+    seen, out = {}, set()
+    for i, text in sorted(docs):
+        w = text.lower().split()
+        for k in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[k : k + n]), i) < i:
+                out.add((i, k))
+    return out
+
+
+def missed(found, docs):
+    return [(i, k) for i, k in sorted(exact_repeats(docs)) if covers(found, i, k, k + 50) < 1]
+
+
+def test_passage_whose_parts_are_in_earlier_texts(frame):
+    """Earlier texts hold halves and pieces of a passage that only two later ones share."""
+    for seed in range(3):
+        rng = random.Random(70 + seed)
+        docs, i = [], 0
+        for _ in range(12):
+            p = words(rng, 50)
+            for lo, hi in ((0, 25), (20, 45), (25, 50), (5, 15), (12, 34)):
+                docs.append((i := i + 1, " ".join(words(rng, 60) + p[lo:hi] + words(rng, 60))))
+            for _ in range(2):
+                docs.append((i := i + 1, " ".join(words(rng, 60) + p + words(rng, 60))))
+        found = op2.find(frame(docs)).collect()
+        assert exact_repeats(docs) and not missed(found, docs)
