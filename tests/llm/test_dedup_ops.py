@@ -276,3 +276,22 @@ def test_passage_whose_parts_are_in_earlier_texts(frame):
                 docs.append((i := i + 1, " ".join(words(rng, 60) + p + words(rng, 60))))
         found = op2.find(frame(docs)).collect()
         assert exact_repeats(docs) and not missed(found, docs)
+
+
+def test_repeats_inside_a_text(frame):
+    """A passage twice in one text, and one of which a line also occurs earlier in its text."""
+    rng = random.Random(8)
+    p, q = words(rng, 50), words(rng, 50)
+    docs = [(1, " ".join(words(rng, 40) + p + words(rng, 40))), (2, " ".join(words(rng, 30) + p + words(rng, 90) + p + words(rng, 30)))]
+    docs += [(3, " ".join(words(rng, 40) + q + words(rng, 40))), (4, " ".join(q[15:27] + words(rng, 90) + q[15:27] + words(rng, 70) + q + words(rng, 9)))]
+    docs += [(5, " ".join(p[:20] * 30)), (6, " ".join(words(rng, 60) + p[:20] * 9)), (7, "a b " * 900), (8, "a b " * 500)]
+    found = op2.find(frame(docs)).collect()
+    assert {i for i, _ in exact_repeats(docs)} == {2, 4, 6, 8} and not missed(found, docs)
+
+
+def test_near_repeat_numbered_inside_its_window():
+    """A line of the passage that occurs before it doesn't change the tokens of the window."""
+    rng, memo = random.Random(9), op2._hasher()
+    p = words(rng, 50)
+    a, b = (op2._tokens(" ".join(x), memo) for x in (p[10:24] + words(rng, 80) + p, words(rng, 30) + p))
+    assert [x[3] for x in op2.passages(a, b, [(94, 30), (0, 40)])] == [1.0]
