@@ -3,11 +3,13 @@
 Text is lower-cased (A-Z) and reduced to its words, each between single spaces, so a
 phrase is a substring. The base labels come from such phrases. The method: words of
 licence templates (without stop words) are the index terms, their IDF counted over all
-documents. Of each document, the places of its rarest licence words are joined to the
+documents. The places of all of a document's licence words are joined to the
 templates' postings; places with an equal difference (place in document minus place in
-template) belong to one reading of the template. A template is found where half of the
-weight of its terms, and two terms or more, line up, and all its key phrases are there.
-The score is the best weight share of a found template, 0.5 at least with a base label.
+template) belong to one reading of the template, in which rare words weigh most. A
+template is found where half of the weight of its terms, and two terms or more, line up,
+and its key phrase is there. The score is the best weight share of a found template, 0.5
+at least with a base label. The SQL looks up 12 words of a document only, so it may find
+less in a text that has more of them.
 
 Only documents with a licence word are exploded; only their few hits are shuffled.
 
@@ -20,11 +22,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A document's rarest licence words that are looked up.
+#: Of the SQL alone, which looks up a document's rarest licence words only.
 RAREST = 12
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Notices by which licences are applied, and their key phrases.
@@ -81,10 +82,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = some.select(F.explode("licence_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     terms = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, '{w}', {p})" for t, w, p in POSTINGS) + " AS v(tpl, word, place)")
     terms = terms.join(F.broadcast(df), "word", "left").withColumn("idf", F.log((F.lit(1.0) + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0)  # as many rows as POSTINGS
-    rank = F.dense_rank().over(Window.partitionBy("rid").orderBy(F.desc("idf"), "word"))
     spots = some.select("rid", keys.alias("keys"), F.posexplode(F.split(F.trim("s"), " ")).alias("at", "word"))
     hits = spots.join(F.broadcast(terms.select("word", "tpl", "place", "idf")), "word")
-    once = hits.groupBy("rid", "keys", "tpl", (F.col("at") - F.col("place")).alias("shift"), "word", "idf").agg(F.count(F.lit(1)).alias("c")).withColumn("r", rank).filter(f"r <= {RAREST}")
+    once = hits.groupBy("rid", "keys", "tpl", (F.col("at") - F.col("place")).alias("shift"), "word", "idf").agg(F.count(F.lit(1)).alias("c"))
     read = once.groupBy("rid", "keys", "tpl", "shift").agg(F.count("word").alias("k"), F.sum("idf").alias("w"))
     whole = terms.select("tpl", "word", "idf").distinct().groupBy("tpl").agg(F.sum("idf").alias("all_w"))
     names = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, '{label}', {1 << KEYS.index(key)})" for t, (label, _, key) in enumerate(TEMPLATES)) + " AS v(tpl, label, bit)")

@@ -245,6 +245,16 @@ def test_licences(frame):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_several_notices_in_one_text(frame):
+    full = [" ".join(text for label, text, _ in op8_licenses.TEMPLATES if label in some) for some in (("mit", "bsd", "apache"), ("gpl", "mpl", "cc-by"))]
+    every = " filler ".join(text for _, text, _ in op8_licenses.TEMPLATES)
+    stray = " ".join(f"{w} x y" for w in op8_licenses.VOCABULARY) + " " + op8_licenses.TEMPLATES[3][1]
+    got = {r["doc_id"]: r for r in op8_licenses.scan(frame(list(enumerate([*full, every, stray])))).collect()}
+    assert got[0]["labels"] == "apache,bsd,mit" and got[1]["labels"] == "cc-by,gpl,mpl" and got[3]["labels"] == "mit"
+    assert got[2]["labels"].split(",") == sorted({label for label, _, _ in op8_licenses.TEMPLATES})
+    assert all(r["score"] == 1.0 for r in got.values())
+
+
 # --- 9: toxicity
 
 
