@@ -12,7 +12,11 @@ host, so no task holds a host's pages.
 The host's wrapper tells the article: the element named or marked as such that holds
 most varying text, else the one whose repeated paragraphs do; and the template: text
 slots that are equal on all of three or more pages. A page's blocks inside the article,
-less menus, adverts, forms, comments and the like, are its main text.
+less menus, adverts, forms, comments and the like, are its main text. These are told by
+words of a class or role, or by an id of such words alone. An id that has other words
+too may be a heading's slug: inside the article its block goes only if most of its text
+is linked or all of it is equal on all of three or more pages, and headings aren't
+judged by their ids.
 
 Edge cases: null or empty html gives an empty text; a null or odd url is the host '';
 repeated rows are extracted alike; an empty table gives an empty table; other columns
@@ -53,6 +57,9 @@ NOISE = frozenset("ad ads adsense adv alert alerts announcement advert advertise
 #: Of a header in the article only the headings are kept; elsewhere it is none of the article.
 HEADER = frozenset("header masthead".split())
 HEADINGS = frozenset("h1 h2 h3".split())
+SLUGGED = HEADINGS | frozenset("h4 h5 h6".split())
+#: Words of an id that say nothing of its contents.
+LAYOUT = frozenset("area bar block body bottom box button buttons column container content div field group holder icon icons inner item items left list main outer page panel post posts right row section site top wrap wrapper".split())
 MAIN = frozenset("article articlebody body content entry main post story text".split())
 
 
@@ -61,10 +68,10 @@ class Node:
 
     def __init__(self, tag: str, rest: str = ""):
         self.tag, self.kids = tag, []
-        #: 1: no main text; 2: a header.
+        #: 1: no main text; 2: a header; 3: one of these by some words of an id, which may be a heading's slug.
         self.noise, self.main, self.key = 1 if tag in DROPPED else 2 * (tag == "header"), 2 * (tag in ("article", "main")), tag
         if rest and "=" in rest or "hidden" in rest:
-            marks = []
+            marks, slug, told = [], [], []
             for name, a, b, c in ATTR.findall(rest):
                 name, value = name.lower(), a or b or c
                 if name in ("hidden", "aria-hidden"):
@@ -72,10 +79,15 @@ class Node:
                         self.noise = 1
                     continue
                 words = [w.lower().strip("0123456789") for w in SPLIT.split(value)]
-                marks += [w for w in words if w]
-            found = frozenset(marks)
+                words = [w for w in words if w]
+                marks += words
+                slug += words if name == "id" else ()
+                if name != "id" or not frozenset(words) - NOISE - HEADER - LAYOUT:
+                    told += words if name != "id" or tag not in SLUGGED else ()
+            found, told = frozenset(marks), frozenset(told)
             if tag not in ("html", "body", "article", "main"):
-                self.noise = 1 if self.noise == 1 or found & NOISE else 2 if self.noise or found & HEADER else 0
+                weak = tag not in SLUGGED and not told >= frozenset(slug) and frozenset(slug) & (NOISE | HEADER)
+                self.noise = 1 if self.noise == 1 or told & NOISE else 2 if self.noise or told & HEADER else 3 if weak else 0
             if found & MAIN and not self.main:
                 self.main = 1
             if marks:
@@ -179,7 +191,7 @@ def align(a: list, b: list, pages: bool = True) -> list:
     if a[4] and b[4]:
         x, y = a[4], b[4]
         slot = [x[0] + y[0] if pages else max(x[0], y[0]), x[1] + y[1], x[2] + y[2], min(x[3], y[3]), max(x[4], y[4])]
-    return [a[0], _quantifier(a[1], b[1]), a[2], a[3], slot, _align_kids(a[5], b[5], pages)]
+    return [a[0], _quantifier(a[1], b[1]), min(a[2], b[2]), a[3], slot, _align_kids(a[5], b[5], pages)]
 
 
 def _maybe(w: list) -> list:
@@ -232,11 +244,17 @@ def rules(w: list) -> dict:
     def constant(slot) -> bool:
         return slot[0] >= ALIKE_PAGES and slot[3] == slot[4]
 
+    def fixed(x: list) -> bool:
+        return (not x[4] or constant(x[4])) and all(fixed(k) for k in x[5])
+
     def walk(x: list, path: str, inside: bool) -> int:
         """Characters of varying text that are no links."""
-        if x[2] == 1 or (x[2] == 2 and not inside):
+        if x[2] == 1 or (x[2] > 1 and not inside):
             return 0
         path = f"{path}/{x[0]}"
+        if x[2] == 3 and fixed(x):
+            same.append(path)
+            return 0
         inside = inside or x[3] > 0
         own = 0
         if x[4]:
@@ -281,11 +299,22 @@ def main_text(page: str | None, rule: dict | None) -> str:
     return text
 
 
+def _letters(node: Node, link: bool = False) -> tuple[int, int]:
+    """Characters that aren't spaces, and those of them in links."""
+    link = link or node.tag == "a"
+    got = [(n := len("".join(k.split())), n * link) if isinstance(k, str) else _letters(k, link) for k in node.kids]
+    return sum(n for n, _ in got), sum(n for _, n in got)
+
+
 def _collect(node: Node, path: str, inside: bool, roots: set, same: set, out: list[str], named: bool = False, heads: bool = False) -> None:
     """named: in an element marked as the article; heads: in a header there, of which only headings are kept."""
-    if node.noise == 1 or (node.noise == 2 and not named):
+    if node.noise == 1 or (node.noise == 2 and not named) or (node.noise == 3 and not inside):
         return
     path = f"{path}/{node.key}"
+    if node.noise == 3:
+        n, linked = _letters(node)
+        if path in same or linked * 2 > n:
+            return
     inside = inside or path in roots
     named = named or (inside and node.main > 0)
     heads = (heads or node.noise == 2) and node.tag not in HEADINGS

@@ -410,3 +410,20 @@ def test_joined_rules_equal_broadcast_ones(spark, monkeypatch):
     want = {tuple(r) for r in op4_wrappers.extract(pages).collect()}
     monkeypatch.setattr(op4_wrappers, "BROADCAST_CHARS", 0)
     assert {tuple(r) for r in op4_wrappers.extract(pages).collect()} == want
+
+
+def test_slugs_are_no_noise():
+    text = op4_wrappers.main_text
+    page = (
+        '<body><nav>menu</nav><article><h1 id="search">Title</h1><h2 id="search-and-rescue">Search</h2><p>One.</p>'
+        '<section id="discussion-of-results"><h3>Results</h3><p>Two.</p></section><section id="related-work"><p>Three.</p></section>'
+        '<section id="http-header-fields"><p>Four.</p></section><h4 id="print-header">Five</h4>'
+        '<div id="related-reading-elsewhere"><a href=x>Another page</a> and</div><div id="comments-list">first</div><div id="comments">no</div><div class="share-buttons">no</div><section role="search">no</section></article>'
+        '<div id="notice-of-site">outside</div></body>'
+    )
+    assert text(page, None) == "Title Search One. Results Two. Three. Four. Five"
+    pages = [f'<body><article><p>Some varying text number {k}</p><section id="join-our-newsletter"><p>Write to us</p></section><section id="related-work"><h2>Related</h2><p>Work {k}</p></section></article></body>' for k in range(4)]
+    w = op4_wrappers.wrapper(op4_wrappers.parse(pages[0]))
+    for p in pages[1:]:
+        w = op4_wrappers.align(w, op4_wrappers.wrapper(op4_wrappers.parse(p)))
+    assert text(pages[1], op4_wrappers.rules(w)) == "Some varying text number 1 Related Work 1"
