@@ -434,9 +434,9 @@ def _(spark, d):
 
 @query("flagship")
 def _(spark, d):
-    """Distribution of the Lee-filtered power-dB of a masked window."""
+    """Distribution of the Lee-filtered power-dB of the whole masked raster."""
     rows = tb.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // tb.WIDTH + 1
-    w = geo.Window(0, 0, max(1, rows * 3 // 4), 120)
+    w = geo.Window(0, 0, rows, tb.WIDTH)
     got = scan.window(tb.dense_hhhh(spark, d), geo.read_plan(w, (rows, tb.WIDTH), (32, 32), 4).requested)
     got = got.select("row", "col", tx.linear_db(c("hhhh"), c("mask")).alias("value"))
     return distribution.summary(speckle.filtered(got, "lee", 5, 3.0, "power_db"))

@@ -27,3 +27,10 @@ def test_entry_works_without_the_optional_subpackage(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     row = e.entry(spark).first()
     assert row["finite_count"] > 0 and len(row["bins"]) == 256 and sum(row["bins"]) == row["finite_count"]
+
+
+def test_flagship_takes_the_whole_raster(spark):
+    from radarlake import testbed
+
+    row = QUERIES["flagship"](spark, SMALL).first()
+    assert row["finite_count"] + row["invalid_count"] == testbed.dense_hhhh(spark, SMALL).count()
