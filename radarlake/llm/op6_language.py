@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from radarlake.llm.common import attach, frugal, materialize, workers_can_import
 from radarlake.llm.op4_wrappers import host
@@ -70,7 +71,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(frugal(tally), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).collect()
+    # each language's trigrams in turn, so the bound takes none of the languages
+    counts = counts.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    rows = counts.orderBy("turn", F.desc("n"), "lang", "gram").limit(MOST_GRAMS).collect()
     langs = sorted({r["lang"] for r in rows})
     total = dict.fromkeys(langs, 0)
     table: dict[str, dict[str, int]] = {}

@@ -427,3 +427,11 @@ def test_slugs_are_no_noise():
     for p in pages[1:]:
         w = op4_wrappers.align(w, op4_wrappers.wrapper(op4_wrappers.parse(p)))
     assert text(pages[1], op4_wrappers.rules(w)) == "Some varying text number 1 Related Work 1"
+
+
+def test_rare_language_is_kept(frame, monkeypatch):
+    monkeypatch.setattr(op6_language, "MOST_GRAMS", 40)
+    docs = frame([(k, " ".join(f"{a}{b}cde" for a in "abcdefgh" for b in "abcdefgh")) for k in range(30)] + [(99, "zzyzx")])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") == 99, "eo").otherwise("en"))
+    langs, logs, _ = op6_language.fit(docs)
+    assert langs == ["en", "eo"] and len(logs) <= 40
