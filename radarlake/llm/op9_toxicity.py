@@ -40,6 +40,8 @@ CHI_SQUARE = 30.0
 LEAST_DF = 3
 NEIGHBOURS = 15
 BLOCK = 64
+#: Jaccard similarity of the 5-word shingles of near copies.
+NEAR = 0.8
 PRIOR_WEIGHT = 0.25
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
@@ -202,15 +204,35 @@ class Scorer:
         return self.known[self.counts(text)]
 
 
-def _min_shingles(text: str) -> tuple[int, int]:
-    """Two min-hashes of the 5-word shingles, by which near copies among the examples are told."""
+def _unlike(table: pa.Table) -> pa.Table:
+    """Of examples with one label and one equal min-hash, those that are no near copy of an earlier kept one."""
+    table = table.sort_by("doc_id")
+    shingles = table.column("shingles").combine_chunks()
+    sizes = np.diff(shingles.offsets.to_numpy())
+    flat, owner = shingles.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    kept, cuts = np.zeros(len(sizes), dtype=bool), np.cumsum(sizes) - sizes
+    own = np.empty(len(order), dtype=np.int64)  # places in flat, text by text
+    own[order] = np.arange(len(order))
+    first = np.maximum.accumulate(np.where(np.r_[True, flat[1:] != flat[:-1]], np.arange(len(flat)), 0))
+    for k, n in enumerate(sizes):
+        at = own[cuts[k] : cuts[k] + n]
+        # earlier texts that have a shingle stand between its first place and this text's
+        shared = np.bincount(np.concatenate([owner[first[x] : x] for x in at]), minlength=k)[:k]
+        kept[k] = not (kept[:k] & (shared >= NEAR * (n + sizes[:k] - shared) - 1e-9)).any()
+    return table.filter(pa.array(kept))
+
+
+def _min_shingles(text: str) -> tuple[int, int, list[int]]:
+    """Two min-hashes of the 5-word shingles, by which near copies among the examples are looked up, and the shingles."""
     import xxhash
 
     words = text.lower().split()
     got = [xxhash.xxh64_intdigest(" ".join(x)) for x in zip(*(words[k:] for k in range(5)), strict=False)] or [xxhash.xxh64_intdigest(" ".join(words))]
     h = np.array(got, dtype=np.uint64)
     one, two = int(h.min()), int((h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29))).min())
-    return one - (1 << 63), two - (1 << 63)
+    return one - (1 << 63), two - (1 << 63), np.unique(h).view(np.int64).tolist()
 
 
 def _chi_square(n1, n0, all1: int, all0: int):
@@ -232,13 +254,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
     def keyed(batches):
         for b in batches:
             m = [_min_shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in m], pa.int64()), pa.array([x[1] for x in m], pa.int64())], names=["doc_id", "text", "y", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in m], pa.int64()), pa.array([x[1] for x in m], pa.int64()), pa.array([x[2] for x in m], pa.list_(pa.int64()))], names=["doc_id", "text", "y", "m1", "m2", "shingles"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    sample = materialize(sample.mapInArrow(frugal(keyed), f"doc_id {kind}, text string, y int, m1 long, m2 long"))
-    ids = sample.select("doc_id", "y", "m1", "m2")
-    ids = ids.groupBy("m1").agg(F.min(F.struct("doc_id", "y", "m2")).alias("s")).select("s.*")
-    ids = ids.groupBy("m2").agg(F.min(F.struct("doc_id", "y")).alias("s")).select("s.*")
+    sample = materialize(sample.mapInArrow(frugal(keyed), f"doc_id {kind}, text string, y int, m1 long, m2 long, shingles array<long>"))
+    ids = sample.select("doc_id", "y", "m1", "m2", "shingles")
+    for m in ("m1", "m2"):
+        many = F.broadcast(ids.groupBy("y", m).count().filter("count > 1").select("y", m))  # at most fit_rows / 2
+        alike = ids.join(many, ["y", m], "left_semi").groupBy("y", m).applyInArrow(_unlike, ids.schema)
+        ids = materialize(ids.join(many, ["y", m], "left_anti").select(*ids.columns).unionByName(alike))
     one = ids.select("doc_id").distinct()  # at most fit_rows
     sample = materialize(sample.select("doc_id", "text", "y").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]))
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}

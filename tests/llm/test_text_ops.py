@@ -429,6 +429,20 @@ def test_slugs_are_no_noise():
     assert text(pages[1], op4_wrappers.rules(w)) == "Some varying text number 1 Related Work 1"
 
 
+def test_examples_that_share_a_line_are_no_copies(frame, spark, monkeypatch):
+    """Only near copies (Jaccard 0.8) of one label are merged, whatever min-hash they share."""
+    rng = random.Random(12)
+    line = [f"line{k}" for k in range(30)]
+    docs = [(k, " ".join(line + [f"w{rng.randrange(10**6)}" for _ in range(12)])) for k in range(80)]
+    docs += [(100 + k, " ".join(line + ["same", "end", "of", "all", str(k // 10)])) for k in range(20)]
+    monkeypatch.setattr(op9_toxicity, "build", lambda vocab, idf, rows: rows)
+    lab = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    monkeypatch.setattr(op9_toxicity, "held_out", lambda: F.lit(False))
+    got = [(r[0], r[1]) for r in op9_toxicity.fit(frame(docs), lab)]
+    assert {i for i, _ in got if i < 100} == set(range(80))
+    assert [(i, y) for i, y in got if i >= 100] == [(100, 0), (101, 1)]
+
+
 def test_rare_language_is_kept(frame, monkeypatch):
     monkeypatch.setattr(op6_language, "MOST_GRAMS", 40)
     docs = frame([(k, " ".join(f"{a}{b}cde" for a in "abcdefgh" for b in "abcdefgh")) for k in range(30)] + [(99, "zzyzx")])
