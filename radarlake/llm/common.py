@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +20,22 @@ from radarlake.session import workers_can_import  # noqa: F401  used by the oper
 #: A key is hot when it holds more than one in so many rows; there are fewer such keys than this.
 HOT_SHARE = 256
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_own: dict[str, str] = {}
+
+
+class Memo(dict):
+    """token -> what make gives for it; emptied when it grows large."""
+
+    def __init__(self, make, most: int = 150_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, token):
+        if len(self) >= self.most:
+            self.clear()
+        got = self[token] = self.make(token)
+        return got
 
 
 def frugal(run: Callable, rows: int = 512) -> Callable:
@@ -42,11 +58,17 @@ def frugal(run: Callable, rows: int = 512) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or that of setCheckpointDir.
+
+    Where neither is set, a session in this one process gets a temporary folder (tests);
+    on a cluster, whose machines share no such folder, that is an error.
+    """
+    context = spark.sparkContext
+    got = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _own.get(context.applicationId)
     if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="radarlake-")
-        spark.conf.set("spark.checkpoint.dir", got)
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        got = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="radarlake-")
     return got.rstrip("/")
 
 
@@ -58,17 +80,33 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/radarlake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    got._radarlake_path = path
+    return got
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize() wrote of frames that nothing reads any more, and let shuffle files go."""
+    for df in frames:
+        path = getattr(df, "_radarlake_path", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()  # Spark removes shuffle files once their plans are collected
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: the folder's owner cleans it
             pass
 
@@ -88,12 +126,13 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
     return one.unionByName(rest).drop(weight)
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the smallest node reached.
 
-    Alternating large-star and small-star rounds over a distributed edge list; no
-    link or component reaches the driver, only a count and a checksum. A centre with
-    many neighbours is joined by broadcast, so no task gets all of a large star.
+    Alternating large-star and small-star rounds over a distributed edge list until
+    nothing changes; no link or component reaches the driver, only a count and a
+    checksum. A centre with many neighbours is joined by broadcast, so no task gets all
+    of a large star. What a round has written goes once the next one is.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
 
@@ -104,19 +143,17 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = mark(now)
-    for _ in range(most_rounds):
+    while True:
         both = materialize(now.union(now.select("b", "a")))
         star = least(both).withColumn("m", F.least("a", "m"))
         big = attach(both, star, "a", "_n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         big = materialize(big.filter("a <> b").distinct())
         star = least(big)
         small = attach(big, star, "a", "_n")
-        now = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, now = now, small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(now.union(star.select("a", F.col("m").alias("b"))).distinct())
+        discard(last, both, big)
         after = mark(now)
         if after == before:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

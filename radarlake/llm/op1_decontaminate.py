@@ -105,7 +105,7 @@ class Chunk:
     """Items with the sorted hashes of their seeds."""
 
     def __init__(self, items: list[tuple[int, list[str]]]):
-        from radarlake.llm.op9_toxicity import Memo
+        from radarlake.llm.common import Memo
 
         import xxhash
 

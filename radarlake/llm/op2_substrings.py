@@ -1,29 +1,36 @@
 """Substring dedup with compact windows.
 
-The tokens are 5-word shingles (lower case, split at white space). For each of four
-hash functions, the Cartesian tree over a text's token hashes gives its compact windows
-(l, c, r): every subsequence within l..r that holds c has its min-hash at c. Only those
-at least ``SPAN`` tokens wide (a passage of 50 words) are kept, about 2 per ``SPAN``
-tokens; their centres are the minima of sliding windows, found for whole batches at
-once. Windows of equal min-hash are joined in a star around the first text that has it,
-never all pairs. A text is verified against the first texts around places where two
-hash functions or more met, be it with different texts: windows of 50 words on the
-diagonals of all meeting places whose tokens have a Jaccard similarity of 0.8 or more
-(tokens matched one to one inside the two windows) make up the passages.
-
-Exact repeats don't depend on the star: an exact passage meets in all four hashes, so
-the passages of 50 words near which all four met with any text are joined by a hash of
-their whole content to the first text that has it, at each place where they occur. A
-repeat that is near but not exact is found where one of the first texts has it; it is
-not linked to a later text when the first texts only hold parts of it.
-
-Only the windows, the hashes of passages that may be repeats, and of texts in a pair
-the tokens around their windows are moved.
+The tokens are 5-word shingles (lower case, split at white space); a passage is
+``SPAN`` tokens (50 words), and two are the same if their tokens have a Jaccard
+similarity of 0.8 or more, which takes 41 tokens in common. One insertion, deletion,
+substitution or cut inside a passage costs 4 or 5 neighbouring tokens, so there is at
+most one, and one of the two sides that it leaves has ``RUN`` (21) tokens that both
+passages have word for word.
+
+For each of two hash functions, the Cartesian tree over a text's token hashes gives its
+compact windows (l, c, r): every subsequence within l..r that holds c has its min-hash
+at c. An interval join of the two lists, by position, gives the subsequences of RUN
+tokens in groups (first, last) that share both min-hashes, so a run that two texts share
+lies in groups of equal signature. Members of a signature are linked in a star around
+the first place that has it, never all pairs: a signature that many texts of a batch
+hold first among these, and batches among each other, so one that a third of all texts
+hold is one row a batch. Every place of a signature in a text is a member of its own. Each link is verified by tokens,
+on its diagonal, for all passages that hold the shared run.
+
+What no star can lose: an exact repeat whose first text holds only a part of the passage
+fails against it. So passages that were tried and aren't exact give a hash of their
+whole content (128 bits), of the text and of the first text, and are linked by that to
+the first text which has it, at each place. A repeat that is near but not exact is found
+where a text that begins one of its signatures has it; it may be lost when all of these
+hold only parts of it. The README gives the recall against brute force.
+
+What moves is 20 bytes a signature (0.18 a token), each text once, to be met with its
+links, and of texts in a link the tokens around them.
 
 Edge cases: null, empty and short texts (under 50 words) have no passage; rows that
 share an id are one document, which is no copy of itself; rows with a null id are
-neither copies nor sources; an empty table gives an empty table; other columns are
-ignored.
+neither copies nor sources; ids that aren't integers are ordered by a hash; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,35 +43,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import attach, frugal, materialize, workers_can_import
+from radarlake.llm.common import Memo, attach, discard, frugal, materialize, workers_can_import
 
 SHINGLE = 5
 SPAN = 46
+RUN = 21
 SIMILAR = 0.8
-HASHES = 4
-#: Texts are verified near places where so many hash functions met, be it with different texts.
-LEAST_HASHES = 2
-#: Of a key that a text has more than once, one place in so many tokens is kept.
-CELL = 16
-BUCKETS = 1 << 20
-#: More pairs than this around one text are dealt to several tasks.
+#: Tokens that two passages of SPAN tokens need in common.
+COMMON = -int(-(2 * SPAN * SIMILAR / (1 + SIMILAR)) // 1)
+HASHES = 2
+#: More pairs than this around one text are dealt to several rows.
 STAR = 1024
 BATCH_WORDS = 1 << 20
+#: A signature that more places of a batch have is sent once, with links to its first place.
+LOCAL = 16
 ROWS = 1 << 16
 WORD = re.compile(r"\S+")
 #: Column names that documents do not use.
-OWN = ("__radarlake_row", "__radarlake_bucket", "__radarlake_spans")
+OWN = ("__radarlake_row", "__radarlake_spans")
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+KEYS = ("<u8", "<i8", "<i4", "i1", "i1")  # signature, text, centre, first and last start from the centre
+LINKS = ("<i8", "<i8", "<i4", "<i4", "<i4")  # text, other text, diagonal, first and last passage
 
 
 def _hasher():
     import xxhash
 
-    from radarlake.llm.op9_toxicity import Memo
-
     return Memo(lambda w: xxhash.xxh64_intdigest(w.lower()))
 
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    g = (h ^ np.uint64(_MIX[k + 1])) * np.uint64(_MIX[0])
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(_MIX[k + 1] | 1)
+    return g ^ (g >> np.uint64(28))
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of each 5 consecutive words (the last four places are not valid)."""
     h = np.zeros(len(words), dtype=np.uint64)
@@ -78,7 +91,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def compact_windows(h: np.ndarray, doc: np.ndarray, end: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(h: np.ndarray, doc: np.ndarray, end: np.ndarray, span: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of the Cartesian trees of texts laid end to end, all at least span wide.
 
     h: token hashes, at most 2^22; doc: number of each token's text; end: first place
@@ -120,64 +133,108 @@ def compact_windows(h: np.ndarray, doc: np.ndarray, end: np.ndarray, span: int =
     return left, c, right
 
 
-def _windows(rid: range, texts: list[str | None], memo) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, rid, offsets, places) of batches of texts; each key once a text, with its places."""
-    todo, size = [], 0
-    for k, text in enumerate(texts):
-        words = (text or "").split()
+def signatures(h: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, centre, first, last): the interval join of the compact windows of all hash functions.
+
+    Every subsequence of RUN tokens that starts at first..last has the signature's min-hashes.
+    """
+    none = np.array([], dtype=np.int64)
+    at, value, starts = [], [], none
+    for k in range(HASHES):
+        g = _mixed(h, k)
+        left, c, right = compact_windows(g, doc, end)
+        first, last = np.maximum(left, c - RUN + 1), np.minimum(c, right - RUN + 1)
+        many = last - first + 1
+        starts = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at.append(np.repeat(c, many))
+        value.append(g)
+    if not len(starts):
+        return none.astype(np.uint64), none, none, none
+    cut = np.flatnonzero(np.r_[True, (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1])])
+    first, last = starts[cut], starts[np.r_[cut[1:] - 1, len(starts) - 1]]
+    a, b = at[0][cut], at[1][cut]
+    key = _mixed(value[0][a] * np.uint64(_MIX[2]) + value[1][b] + (b - a).astype(np.uint64) * np.uint64(_MIX[3]), 2)
+    return key, a, first, last
+
+
+def star(key, text, centre, lo, hi, few: int = 0) -> tuple[np.ndarray, tuple]:
+    """(places of the first member of each signature, links of the others to it).
+
+    Members of signatures that have at most ``few`` are all given, without a link.
+    """
+    order = np.lexsort((centre, text, key))
+    if not len(order):
+        return order, (order,) * 5
+    key, text, centre, lo, hi = (x[order] for x in (key, text, centre, lo, hi))
+    new = np.r_[True, key[1:] != key[:-1]]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    size = np.diff(np.r_[np.flatnonzero(new), len(key)])
+    new |= np.repeat(size <= few, size)
+    rest = np.flatnonzero(~new)
+    head, c = first[rest], centre[rest].astype(np.int64)
+    # a passage that holds a run which starts at t starts at t - (SPAN - RUN) .. t
+    links = text[rest], text[head], (centre[head] - c).astype(np.int64), c + lo[rest] - (SPAN - RUN), c + hi[rest]
+    return order[new], links
+
+
+def merged(text, other, far, lo, hi) -> tuple:
+    """Links on one diagonal of two texts, their intervals united."""
+    if not len(text):
+        return text, other, far, lo, hi
+    order = np.lexsort((lo, far, other, text))
+    text, other, far, lo, hi = (x[order].astype(np.int64) for x in (text, other, far, lo, hi))
+    new = np.r_[True, (text[1:] != text[:-1]) | (other[1:] != other[:-1]) | (far[1:] != far[:-1])]
+    group = np.cumsum(new) << 40
+    reach = np.maximum.accumulate(hi + group)
+    new[1:] |= (lo + group)[1:] > reach[:-1] + 1
+    cut = np.flatnonzero(new)
+    return text[cut], other[cut], far[cut], lo[cut], np.maximum.reduceat(hi, cut)
+
+
+def pack(columns, kinds) -> bytes:
+    """Columns as bytes, the first byte of all values before the second, which packs well."""
+    return b"".join(np.ascontiguousarray(np.asarray(c).astype(k)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, k in zip(columns, kinds, strict=True))
+
+
+def unpack(raws: list[bytes], kinds) -> list[np.ndarray]:
+    size = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list] = [[] for _ in kinds]
+    for raw in raws:
+        n, at = len(raw) // size, 0
+        for k, kind in enumerate(kinds):
+            wide = np.dtype(kind).itemsize
+            out[k].append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).ravel())
+            at += n * wide
+    return [np.concatenate(x) if x else np.array([], dtype=k) for x, k in zip(out, kinds, strict=True)]
+
+
+def _pieces(texts: Iterator[tuple[int, str | None]]) -> Iterator[list[tuple[int, list[str], int]]]:
+    """Batches of (text, words, place of the first); a very long text is cut with an overlap."""
+    part, size, step = [], 0, 1 << 21
+    for text, raw in texts:
+        words = (raw or "").split()
         if len(words) < SPAN + SHINGLE - 1:
             continue
-        todo.append((rid[k], words))
-        size += len(words)
-        if size >= BATCH_WORDS:
-            yield from _keys(todo, memo)
-            todo, size = [], 0
-    if todo:
-        yield from _keys(todo, memo)
-
-
-def _keys(todo: list[tuple[int, list[str]]], memo) -> Iterator[tuple[np.ndarray, ...]]:
-    part, size = [], 0
-    for x in todo:  # a batch of one very long text is cut with an overlap
-        if size + len(x[1]) > (1 << 22) - 1 and part:
-            yield _batch_keys(part, memo)
-            part, size = [], 0
-        step = (1 << 22) - 1
-        for at in range(0, max(len(x[1]) - SPAN - SHINGLE + 2, 1), step - SPAN - SHINGLE):
-            part.append((x[0], x[1][at : at + step], at))
+        for at in range(0, max(len(words) - RUN - SHINGLE + 2, 1), step - RUN - SHINGLE):
+            part.append((text, words[at : at + step], at))
             size += len(part[-1][1])
-            if size > 1 << 21:
-                yield _batch_keys(part, memo)
+            if size >= BATCH_WORDS:
+                yield part
                 part, size = [], 0
     if part:
-        yield _batch_keys(part, memo)
+        yield part
 
 
-def _batch_keys(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarray, ...]:
+def _members(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarray, ...]:
+    """(signature, text, centre, first and last start from the centre) of a batch."""
     sizes = np.array([len(w) for _, w, _ in part])
     words = np.fromiter((memo[w] for _, ws, _ in part for w in ws), dtype=np.uint64, count=int(sizes.sum()))
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(part)), sizes)
-    h, end = shingles(words), (ends - SHINGLE + 1)[doc]
+    key, c, first, last = signatures(shingles(words), doc, (ends - SHINGLE + 1)[doc])
     begin, shift = ends - sizes, np.array([at for _, _, at in part])
-    keys, docs, at = [], [], []
-    for k in range(HASHES):
-        g = (h ^ np.uint64(_MIX[k + 1])) * np.uint64(_MIX[0])
-        g = (g ^ (g >> np.uint64(31))) * np.uint64(_MIX[k + 1] | 1)
-        g ^= g >> np.uint64(28)
-        _, c, _ = compact_windows(g, doc, end)
-        keys.append(g[c] & ~np.uint64(3) | np.uint64(k))
-        docs.append(doc[c])
-        at.append(c - begin[doc[c]] + shift[doc[c]])
-    key, d, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(at)
-    order = np.lexsort((at, key, d))
-    key, d, at = key[order], d[order], at[order]
-    same = (key[1:] == key[:-1]) & (d[1:] == d[:-1])
-    kept = np.r_[True, ~same | (at[1:] // CELL != at[:-1] // CELL)] if len(key) else np.array([], dtype=bool)
-    key, d, at = key[kept], d[kept], at[kept]
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])]) if len(key) else np.array([], dtype=np.int64)
-    rid = np.array([r for r, _, _ in part], dtype=np.int64)
-    return key[new].view(np.int64), rid[d[new]], np.r_[new, len(key)].astype(np.int32), at.astype(np.int32)
+    text = np.array([t for t, _, _ in part], dtype=np.int64)[doc[c]]
+    return key, text, c - begin[doc[c]] + shift[doc[c]], first - c, last - c
 
 
 def _tokens(text: str, memo) -> np.ndarray:
@@ -196,116 +253,154 @@ def _numbered(w: np.ndarray) -> np.ndarray:
     return w + nth.astype(np.uint64) * np.uint64(_MIX[1])
 
 
-def passages(a: np.ndarray, b: np.ndarray, seeds, span: int = SPAN, similar: float = SIMILAR) -> list[tuple[int, int, int, float]]:
-    """(first word, end, first word in b, similarity) of the passages of a that b has.
+def similarities(a: np.ndarray, b: np.ndarray, tries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tried, best, shift) of each passage of a: the best Jaccard similarity on the diagonals tried.
 
-    seeds: places (in a, in b) where compact windows met. A window of a is compared
-    with the windows of b on the diagonals of all its seeds.
+    tries: (diagonal, first, last) of passages of a to be compared with b. Similarities
+    of passages that can't reach SIMILAR are given as 0.
     """
-    n = len(a) - span + 1
-    if n <= 0 or len(b) < span:
-        return []
+    n = max(len(a) - SPAN + 1, 0)
+    tried, best, shift = np.zeros(n, dtype=bool), np.zeros(n), np.zeros(n, dtype=np.int64)
+    if not n or len(b) < SPAN:
+        return tried, best, shift
     order = np.argsort(b, kind="stable")
     kinds = b[order]
     at = np.minimum(np.searchsorted(kinds, a), len(b) - 1)
     match = np.where(kinds[at] == a, order[at], -(1 << 40))
+    able = np.r_[0, np.cumsum(match >= 0)]
+    able = able[SPAN:] - able[:-SPAN] >= COMMON
     # tokens that one of the two has more than once are matched window by window
     own = np.sort(a)
     often = np.searchsorted(kinds, a, "right") - np.searchsorted(kinds, a) > 1
     often |= np.searchsorted(own, a, "right") - np.searchsorted(own, a) > 1
     often = np.r_[0, np.cumsum(often & (match >= 0))]
-    often = often[span:] > often[:-span]
-    seeds = np.unique(np.asarray(seeds, dtype=np.int64).reshape(-1, 2), axis=0)
-    far = seeds[:, 1] - seeds[:, 0]
-    seeds, far = seeds[np.argsort(far, kind="stable")], np.sort(far)
-    best, shift = np.zeros(n), np.zeros(n, dtype=np.int64)
+    often = often[SPAN:] > often[:-SPAN]
     view = np.lib.stride_tricks.sliding_window_view
-    places, tokens, others = view(match, span), view(a, span), view(b, span)
-    cuts = np.r_[0, np.flatnonzero(np.diff(far)) + 1, len(far)]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+    places, tokens, others = view(match, SPAN), view(a, SPAN), view(b, SPAN)
+    marks: dict[int, list] = {}
+    for far, lo, hi in tries:
+        marks.setdefault(far, []).append((lo, hi))
+    for far, spans in sorted(marks.items()):
         mark = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(mark, np.clip(seeds[lo:hi, 0] - span + 1, 0, n), 1)
-        np.add.at(mark, np.clip(seeds[lo:hi, 0] + 1, 0, n), -1)
-        todo = np.flatnonzero((np.cumsum(mark[:n]) > 0) & (best < 1.0))
+        for lo, hi in spans:
+            mark[min(max(lo, 0), n)] += 1
+            mark[min(max(hi + 1, 0), n)] -= 1
+        todo = np.flatnonzero(np.cumsum(mark[:n]) > 0)
+        tried[todo] = True
+        # word for word
+        lo, hi = max(0, -far), min(len(a), len(b) - far)
+        if hi - lo >= SPAN:
+            same = np.r_[0, np.cumsum(a[lo:hi] == b[lo + far : hi + far])]
+            whole = np.zeros(n, dtype=bool)
+            whole[lo : hi - SPAN + 1] = same[SPAN:] - same[:-SPAN] == SPAN
+            done = todo[whole[todo] & (best[todo] < 1.0)]
+            best[done], shift[done] = 1.0, far
+        todo = todo[(best[todo] < 1.0) & able[todo]]
         for k in range(0, len(todo), 20_000):
             i = todo[k : k + 20_000]
-            j = np.clip(i + far[lo], 0, len(b) - span)
+            j = np.clip(i + far, 0, len(b) - SPAN)
             got = places[i] - j[:, None]
-            common = ((got >= 0) & (got < span)).sum(axis=1)
+            common = ((got >= 0) & (got < SPAN)).sum(axis=1)
             slow = often[i]
             if slow.any():
                 both = np.sort(np.concatenate((_numbered(tokens[i[slow]]), _numbered(others[j[slow]])), axis=1), axis=1)
                 common[slow] = (both[:, 1:] == both[:, :-1]).sum(axis=1)
-            jac = common / (2 * span - common)
+            jac = common / (2 * SPAN - common)
             up = jac > best[i]
             best[i[up]], shift[i[up]] = jac[up], (j - i)[up]
+    return tried, best, shift
+
+
+def passages(a: np.ndarray, b: np.ndarray, best: np.ndarray, shift: np.ndarray, similar: float = SIMILAR) -> list[tuple[int, int, int, float]]:
+    """(first word, end, first word in b, similarity) of the stretches of a that b has."""
     good = np.flatnonzero(best >= similar - 1e-12)
     out = []
     if not len(good):
         return out
-    cut = np.flatnonzero(np.diff(good) > span)
+    has = np.isin(a, b)
+    cut = np.flatnonzero(np.diff(good) > SPAN)
     for lo, hi in zip(np.r_[0, cut + 1], np.r_[cut, len(good) - 1], strict=True):
-        s, e = good[lo], good[hi] + span
-        hit = np.flatnonzero(match[s:e] >= 0)
+        s, e = good[lo], good[hi] + SPAN
+        hit = np.flatnonzero(has[s:e])
         first, last = s + int(hit[0]), s + int(hit[-1]) + SHINGLE
         out.append((first, last, max(int(first + shift[good[lo]]), 0), float(best[good[lo : hi + 1]].max())))
     return out
 
 
-def _whole(h: np.ndarray, met: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first word) of each passage of exactly 50 words near whose tokens all hash functions met.
-
-    A passage that another text has meets in all of them, so no other one can be a repeat.
-    """
-    n = len(h) - SPAN + 1
-    if n <= 0:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.int32)
-    near = np.ones(n, dtype=bool)
-    for k in range(HASHES):
-        at = np.array([c for f, cs in met if f == k for c in cs], dtype=np.int64)
-        mark = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(mark, np.clip(at - SPAN - CELL + 1, 0, n), 1)
-        np.add.at(mark, np.clip(at + CELL + 1, 0, n), -1)
-        near &= np.cumsum(mark[:n]) > 0
-    out = np.zeros(n, dtype=np.uint64)
-    for k in [*range(0, SPAN - 1, SHINGLE), SPAN - 1]:
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(_MIX[2]) + h[k : k + n]
-    i = np.flatnonzero(near)
-    return out[i].view(np.int64), i.astype(np.int32)
-
-
-def _agreeing(met: list[dict]) -> list[dict]:
-    """Places near which LEAST_HASHES hash functions met, whichever texts they met."""
-    met = sorted(met, key=lambda x: x["k"])
-    flat = np.array([(c, x["k"], j) for j, x in enumerate(met) for c in x["c"]], dtype=np.int64).reshape(-1, 3)
-    flat = flat[np.argsort(flat[:, 0], kind="stable")]
-    seen = np.zeros(len(flat), dtype=np.int64)
-    for k in range(HASHES):
-        at = flat[flat[:, 1] == k, 0]
-        seen += np.searchsorted(at, flat[:, 0] + SPAN) > np.searchsorted(at, flat[:, 0] - SPAN, "right")
-    good = set(flat[seen >= LEAST_HASHES, 2].tolist())
-    return [x for j, x in enumerate(met) if j in good]
-
-
-def _bucket(hashed):
-    return hashed.bitwiseAND(F.lit(BUCKETS - 1))
-
-
-def _near(places: np.ndarray, n: int) -> np.ndarray:
-    """The places of all windows that hold one of ``places``, in a text of n tokens."""
-    lo, hi = np.maximum(places - SPAN + 1, 0), np.minimum(places + SPAN, n)
-    mark = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(mark, lo, 1)
-    np.add.at(mark, hi, -1)
-    return np.flatnonzero(np.cumsum(mark[:n]) > 0).astype(np.int32)
+def contents(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the tokens of the passages that start at ``at``."""
+    out = []
+    for mix in (_MIX[2], _MIX[3]):
+        x = np.zeros(len(at), dtype=np.uint64)
+        for k in range(SPAN):
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(mix) + h[at + k]
+        out.append((x ^ (x >> np.uint64(32))).view(np.int64))
+    return out[0], out[1]
+
+
+def cut_out(tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, bytes]:
+    """(places, tokens) of the passages that start at lo..hi: united stretches, and their tokens one after the other."""
+    lo, hi = np.clip(lo, 0, len(tokens)), np.clip(hi + SPAN, 0, len(tokens))
+    kept = hi > lo
+    order = np.argsort(lo[kept], kind="stable")
+    lo, hi = lo[kept][order], hi[kept][order]
+    if not len(lo):
+        return b"", b""
+    reach = np.maximum.accumulate(hi)
+    new = np.flatnonzero(np.r_[True, lo[1:] > reach[:-1]])
+    lo, hi = lo[new], np.r_[reach[new[1:] - 1], reach[-1]]
+    short = (tokens >> np.uint64(32)).astype("<u4")
+    return np.stack([lo, hi]).astype("<i4").tobytes(), np.concatenate([short[a:b] for a, b in zip(lo, hi, strict=True)]).tobytes()
+
+
+def _dense(places: bytes, tokens: bytes, gap: int) -> tuple[np.ndarray, int]:
+    """Tokens at their places, from the first one on; ``gap`` (0 or 1, no token) between."""
+    lo, hi = np.frombuffer(places, dtype="<i4").reshape(2, -1).astype(np.int64)
+    tokens = np.frombuffer(tokens, dtype="<u4").astype(np.uint64) + np.uint64(2)
+    out = np.full(int(hi[-1] - lo[0]), gap, dtype=np.uint64)
+    sizes = hi - lo
+    out[np.repeat(lo - lo[0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(tokens))] = tokens
+    return out, int(lo[0])
+
+
+def _rows(kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def _links(src: DataFrame) -> DataFrame:
+    """(text, pairs array<(other, tries array<(far, lo, hi)>)>) of the texts (num, text) that share a signature."""
+    buckets = 16 * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(kinds, where, columns, links: bool):
+        order = np.argsort(where, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(where[order]) != 0])[: len(order)]
+        rows = [pack([c[order[a:b]] for c in columns], kinds) for a, b in zip(cut, [*cut[1:], len(order)], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(where[order[cut]].astype(np.int32)), pa.array([links] * len(rows), pa.bool_()), pa.array(rows, pa.binary())], names=["bucket", "links", "data"])
 
+    def scan(batches):
+        memo = _hasher()
+        for part in _pieces((t, x) for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            cols = _members(part, memo)
+            first, links = star(*cols, few=LOCAL)
+            links = merged(*links)
+            yield dealt(KEYS, (cols[0][first] % np.uint64(buckets)).astype(np.int64), [c[first] for c in cols], False)
+            yield dealt(LINKS, (_mixed(links[0].astype(np.int64).view(np.uint64), 1) % np.uint64(buckets)).astype(np.int64), links, True)
+
+    def meet(batches):
+        keys, links = [], []
+        for b in batches:
+            for is_link, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                (links if is_link else keys).append(raw)
+        _, new = star(*unpack(keys, KEYS))
+        keys.clear()
+        text, other, far, lo, hi = merged(*(np.concatenate(x) for x in zip(unpack(links, LINKS), new, strict=True)))
+        for k in range(0, len(text), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + ROWS].astype(t)) for x, t in ((text, "i8"), (other, "i8"), (far, "i4"), (lo, "i4"), (hi, "i4"))], names=["num", "other", "far", "lo", "hi"])
 
-def _dense(at: bytes, tokens: bytes, gap: int) -> tuple[np.ndarray, int]:
-    """Tokens at their places, from the first one on; ``gap`` between."""
-    at, tokens = np.frombuffer(at, dtype="<i4"), np.frombuffer(tokens, dtype="<u8")
-    out = np.full(int(at[-1] - at[0]) + 1, gap, dtype=np.uint64)
-    out[at - at[0]] = tokens
-    return out, int(at[0])
+    met = src.select("num", "text").mapInArrow(frugal(scan), "bucket int, links boolean, data binary").repartition("bucket")
+    met = met.mapInArrow(frugal(meet, 1 << 20), "num long, other long, far int, lo int, hi int")
+    pairs = met.repartition("num").groupBy("num", "other").agg(F.collect_list(F.struct("far", "lo", "hi")).alias("tries"))
+    return pairs.groupBy("num").agg(F.collect_list(F.struct("other", "tries")).alias("pairs"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,150 +410,137 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     workers_can_import(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id IS NOT NULL")
+    whole = src.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    src = src.withColumn("num", F.col("id").cast("long") if whole else F.xxhash64("id"))
     kind = src.schema["id"].dataType.simpleString()
+    linked = materialize(_links(src))
 
-    def scan(batches):
+    texts = src.select("num", "id", F.xxhash64("id", "text").alias("rid"), "text")
+    names = ["num", "other", "id", "rid", "places", "tokens"]
+
+    def mine(batches):
         memo = _hasher()
         for b in batches:
-            for key, row, cut, c in _windows(range(b.num_rows), b.column(1).to_pylist(), memo):
-                for lo in range(0, len(key), ROWS):
-                    hi = min(lo + ROWS, len(key))
-                    at = pa.ListArray.from_arrays(pa.array(cut[lo : hi + 1] - cut[lo]), pa.array(c[cut[lo] : cut[hi]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi]), b.column(0).take(pa.array(row[lo:hi])), at], names=["key", "id", "c"])
-
-    windows = materialize(src.mapInArrow(frugal(scan), f"key long, id {kind}, c array<int>"))
-    first = windows.groupBy("key").agg(F.min(F.struct("id", "c")).alias("x"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.id < last").select("key", F.col("x.id").alias("bid"), F.col("x.c").alias("bc"), "n")
-    met = attach(windows, materialize(first), "key", "n").select("id", F.col("key").bitwiseAND(F.lit(3)).cast("int").alias("k"), "c", "bid", F.when(F.col("id") != F.col("bid"), F.col("bc")).alias("bc"))
-    met = materialize(met.groupBy("id").agg(F.collect_list(F.struct("k", "c", "bid", "bc")).alias("met")))
-
-    def pair(batches):
-        for b in batches:
-            for i, met in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                seeds: dict = {}
-                for x in _agreeing([x for x in met if x["bc"] is not None]):
-                    seeds.setdefault(x["bid"], set()).update((c, bc) for c in x["c"] for bc in x["bc"])
-                if seeds:
-                    kinds = b.schema.field(0).type, b.schema.field(0).type, pa.list_(pa.struct([("c", pa.int32()), ("bc", pa.int32())]))
-                    rows = [[i.as_py()] * len(seeds), list(seeds), [[{"c": c, "bc": bc} for c, bc in sorted(x)] for x in seeds.values()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["id", "bid", "seeds"])
-
-    pairs = materialize(met.mapInArrow(frugal(pair), f"id {kind}, bid {kind}, seeds array<struct<c:int,bc:int>>"))
-    stars = materialize(pairs.groupBy("bid").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set(F.transform("seeds", lambda x: x["bc"])))).alias("at")))
-    dealt = attach(pairs, stars.select("bid", "n", F.ceil(F.col("n") / STAR).cast("int").alias("deal")), "bid", "n")
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
-    wanted = dealt.groupBy("id").agg(F.collect_list(F.struct("bid", "salt", "seeds")).alias("pairs"))
-
-    def only(ids: DataFrame) -> DataFrame:
-        """Rows of the texts whose id may be among ids (bucketed: at most BUCKETS rows are broadcast)."""
-        buckets = ids.select(_bucket(F.xxhash64("id")).alias("bucket")).distinct()
-        return src.join(F.broadcast(buckets), _bucket(F.xxhash64("id")) == F.col("bucket"), "left_semi")
-
-    def copies(batches):
-        memo, names = _hasher(), ["bid", "salt", "id", "rid", "seeds", "places", "tokens"]
-        for b in batches:
-            out: list[tuple] = []
-            for i, rid, text, pairs in zip(*(b.column(n).to_pylist() for n in ("id", "rid", "text", "pairs")), strict=True):
+            types = dict(zip([*names, "tries"], (pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))
+            rows = []
+            for num, i, rid, text, pairs in zip(*(b.column(n).to_pylist() for n in ("num", "id", "rid", "text", "pairs")), strict=True):
                 tokens = _tokens(text, memo)
                 for x in pairs:
-                    seeds = np.array([(y["c"], y["bc"]) for y in x["seeds"]], dtype=np.int32)
-                    seeds = seeds[seeds[:, 0] < len(tokens)]
-                    if len(seeds):
-                        at = _near(seeds[:, 0], len(tokens))
-                        out.append((x["bid"], x["salt"], i, rid, seeds.tobytes(), at.tobytes(), tokens[at].tobytes()))
-            kinds = b.schema.field("id").type, pa.int32(), b.schema.field("id").type, pa.int64(), *(pa.binary(),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-
-    def sources(batches):
+                    tries = np.array([(t["far"], t["lo"], t["hi"]) for t in x["tries"]], dtype=np.int64)
+                    places, own = cut_out(tokens, tries[:, 1], tries[:, 2])
+                    if places:
+                        rows.append((num, x["other"], i, rid, places, own, tries.astype("<i4").tobytes()))
+            yield _rows(types, rows)
+
+    def theirs(batches):
         memo = _hasher()
         for b in batches:
-            at, tok = [], []
-            for text, places in zip(b.column("text").to_pylist(), b.column("at").to_pylist(), strict=True):
+            types = dict(zip(names, (pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), pa.binary(), pa.binary()), strict=True))
+            rows = []
+            for num, i, rid, text, asked in zip(*(b.column(n).to_pylist() for n in ("num", "id", "rid", "text", "asked")), strict=True):
                 tokens = _tokens(text, memo)
-                places = np.array(places, dtype=np.int64)
-                near = _near(places[places < len(tokens)], len(tokens))
-                at.append(near.tobytes())
-                tok.append(tokens[near].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("deal"), pa.array(at, pa.binary()), pa.array(tok, pa.binary())], names=["bid", "deal", "bplaces", "btokens"])
-
-    mine = only(wanted.select("id")).withColumn("rid", F.xxhash64("id", "text")).join(wanted, "id").mapInArrow(frugal(copies), f"bid {kind}, salt int, id {kind}, rid long, seeds binary, places binary, tokens binary")
-    centres = stars.select(F.col("bid").alias("id"), "at", F.ceil(F.col("n") / STAR).cast("int").alias("deal"))
-    theirs = only(centres.select("id")).join(centres, "id").mapInArrow(frugal(sources), f"bid {kind}, deal int, bplaces binary, btokens binary")
-    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).drop("deal")
+                for x in asked:
+                    tries = np.array([(t["far"], t["lo"], t["hi"]) for t in x["tries"]], dtype=np.int64)
+                    places, own = cut_out(tokens, tries[:, 1] + tries[:, 0], tries[:, 2] + tries[:, 0])
+                    if places:
+                        rows.append((x["num"], num, i, rid, places, own))
+            yield _rows(types, rows)
+
+    schema = f"num long, other long, id {kind}, rid long, places binary, tokens binary"
+    own = texts.join(linked, "num").mapInArrow(frugal(mine, 64), schema + ", tries binary")
+    asked = linked.select("num", F.explode("pairs").alias("p")).select("num", F.col("p.other").alias("other"), F.col("p.tries").alias("tries"))
+    many = materialize(asked.groupBy("other").agg(F.count(F.lit(1)).alias("n")).select("other", "n", F.ceil(F.col("n") / STAR).cast("int").alias("deal")))
+    asked = attach(asked, many, "other", "n").groupBy("other", F.pmod(F.xxhash64("num"), F.col("deal")).alias("salt")).agg(F.collect_list(F.struct("num", "tries")).alias("asked"))
+    others = texts.join(asked.withColumnRenamed("other", "num"), "num").mapInArrow(frugal(theirs, 16), schema)
+    others = others.select("num", "other", *(F.col(c).alias(f"b_{c}") for c in ("id", "rid", "places", "tokens")))
 
     def verify(batches):
-        names = ["id", "rid", "first_word", "n_words", "source", "source_word", "similarity"]
+        """kind 0: a passage that the other text has; 1: the content of one that isn't word for word there."""
         for b in batches:
-            out: list[tuple] = []
-            for i, rid, seeds, at, tokens, bid, bat, btokens in zip(*(b.column(n).to_pylist() for n in ("id", "rid", "seeds", "places", "tokens", "bid", "bplaces", "btokens")), strict=True):
-                if not at or not bat:
-                    continue
-                (x, p), (y, q) = _dense(at, tokens, 0), _dense(bat, btokens, 1)
-                seeds = np.frombuffer(seeds, dtype="<i4").reshape(-1, 2) - (p, q)
-                for s, e, t, j in passages(x, y, seeds):
-                    out.append((i, rid, s + p, e - s, bid, t + q, j))
-            kinds = b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), b.schema.field("bid").type, pa.int32(), pa.float64()
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
-
-    spans = f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double"
-    near = materialize(mine.join(theirs, ["bid", "salt"]).mapInArrow(frugal(verify), spans).distinct())
-
-    def whole(batches):
-        memo = _hasher()
-        for b in batches:
-            for i, rid, text, met in zip(b.column("id"), b.column("rid").to_pylist(), b.column("text").to_pylist(), b.column("met").to_pylist(), strict=True):
-                h, c = _whole(_tokens(text, memo), [(x["k"], x["c"]) for x in met])
-                for k in range(0, len(h), ROWS):
-                    n = len(h[k : k + ROWS])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[k : k + ROWS]), pa.array([i.as_py()] * n, b.schema.field("id").type), pa.array([rid] * n, pa.int64()), pa.array(c[k : k + ROWS])], names=["key", "id", "rid", "c"])
-
-    able = met.filter(F.size(F.array_distinct("met.k")) == HASHES)
-    exact = only(able.select("id")).withColumn("rid", F.xxhash64("id", "text")).join(able, "id").mapInArrow(frugal(whole), f"key long, id {kind}, rid long, c int")
-    exact = materialize(exact)
-    first = exact.groupBy("key").agg(F.min(F.struct("id", "c")).alias("x"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.id < last").select("key", F.col("x.id").alias("bid"), F.col("x.c").alias("bc"), "n")
-    again = attach(exact, materialize(first), "key", "n").filter("id <> bid")
-    lost = again.groupBy("id", "rid", "bid", (F.col("bc") - F.col("c")).alias("far")).agg(F.array_sort(F.collect_set("c")).alias("c"))
+            i_kind = b.schema.field("id").type
+            types = {"kind": pa.int32(), "num": pa.int64(), "id": i_kind, "rid": pa.int64(), "first_word": pa.int32(), "n_words": pa.int32(), "source": i_kind, "source_word": pa.int32(), "similarity": pa.float64(), "w": pa.int64(), "v": pa.int64()}
+            rows, spots = [], []
+            for r in b.to_pylist():
+                (x, p), (y, q) = _dense(r["places"], r["tokens"], 0), _dense(r["b_places"], r["b_tokens"], 1)
+                tries = [(far + p - q, lo - p, hi - p) for far, lo, hi in np.frombuffer(r["tries"], dtype="<i4").reshape(-1, 3).tolist()]
+                tried, best, shift = similarities(x, y, tries)
+                if r["num"] != r["other"]:
+                    for s, e, t, j in passages(x, y, best, shift):
+                        rows.append((0, r["num"], r["id"], r["rid"], s + p, e - s, r["b_id"], t + q, j, None, None))
+                # not word for word: found by its content, in whichever text
+                for h, at, o, num, i, rid in ((x, np.flatnonzero(tried & (best < 1.0)), p, r["num"], r["id"], r["rid"]), (y, _shifted(tries, tried & (best < 1.0), len(y)), q, r["other"], r["b_id"], r["b_rid"])):
+                    gaps = np.r_[0, np.cumsum(h < 2)]
+                    at = at[gaps[at + SPAN] == gaps[at]]
+                    if len(at):
+                        w, v = contents(h, at)
+                        spots += zip(w.tolist(), v.tolist(), (at + o).tolist(), [num] * len(at), [i] * len(at), [rid] * len(at), strict=True)
+                if len(spots) > ROWS:
+                    yield _rows(types, rows + [(1, num, i, rid, c, None, None, None, None, w, v) for w, v, c, num, i, rid in spots])
+                    rows, spots = [], []
+            yield _rows(types, rows + [(1, num, i, rid, c, None, None, None, None, w, v) for w, v, c, num, i, rid in spots])
+
+    fields = f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double"
+    seen = materialize(own.join(others, ["num", "other"]).mapInArrow(frugal(verify), f"kind int, num long, {fields}, w long, v long"))
+    discard(linked, many)
+    near = seen.filter("kind = 0").select("id", "rid", "first_word", "n_words", "source", "source_word", "similarity").distinct()
+
+    spots = seen.filter("kind = 1").select(F.struct("w", "v").alias("key"), "num", "id", "rid", F.col("first_word").alias("c"))
+    spots = materialize(spots.distinct())
+    first = spots.groupBy("key").agg(F.min(F.struct("num", "id", "c")).alias("x"), F.max("num").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.num < last")
+    first = materialize(first.select("key", F.col("x.num").alias("other"), F.col("x.id").alias("source"), F.col("x.c").alias("bc"), "n"))
+    again = attach(spots, first, "key", "n").filter("num <> other")
+    again = again.groupBy("id", "rid", "source", (F.col("bc") - F.col("c")).alias("far")).agg(F.array_sort(F.collect_set("c")).alias("c"))
 
     def runs(batches):
-        names = ["id", "rid", "first_word", "n_words", "source", "source_word", "similarity"]
         for b in batches:
-            out: list[tuple] = []
-            for i, rid, bid, far, c in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            i_kind = b.schema.field("id").type
+            types = {"id": i_kind, "rid": pa.int64(), "first_word": pa.int32(), "n_words": pa.int32(), "source": i_kind, "source_word": pa.int32(), "similarity": pa.float64()}
+            rows = []
+            for i, rid, source, far, c in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 c = np.array(c)
                 cut = np.flatnonzero(np.diff(c) > 1)
                 for lo, hi in zip(c[np.r_[0, cut + 1]].tolist(), c[np.r_[cut, len(c) - 1]].tolist(), strict=True):
-                    out.append((i, rid, lo, hi - lo + SPAN + SHINGLE - 1, bid, lo + far, 1.0))
-            kinds = b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), b.schema.field("bid").type, pa.int32(), pa.float64()
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+                    rows.append((i, rid, lo, hi - lo + SPAN + SHINGLE - 1, source, lo + far, 1.0))
+            yield _rows(types, rows)
 
+    again = again.mapInArrow(frugal(runs), fields)
     known = near.groupBy(F.col("rid").alias("at")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans"))
-    lost = lost.mapInArrow(frugal(runs), spans).join(known, F.col("rid") == F.col("at"), "left")
+    lost = again.join(known, F.col("rid") == F.col("at"), "left")
     inside = F.exists("spans", lambda x: (x["first_word"] <= F.col("first_word")) & (x["first_word"] + x["n_words"] >= F.col("first_word") + F.col("n_words")))
     return near.unionByName(lost.filter(~F.coalesce(inside, F.lit(False))).select(*near.columns))
 
 
+def _shifted(tries, failed: np.ndarray, n: int) -> np.ndarray:
+    """Passages of the other text that the failed ones were compared with."""
+    mark = np.zeros(max(n - SPAN + 1, 0), dtype=bool)
+    for far, lo, hi in tries:
+        lo, hi = max(lo, -far, 0), min(hi, len(failed) - 1, len(mark) - 1 - far)
+        if hi >= lo:
+            mark[lo + far : hi + far + 1] |= failed[lo : hi + 1]
+    return np.flatnonzero(mark)
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; a document left without a word goes."""
-    spans = find(docs).groupBy("rid").agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans"))
-    spans = materialize(spans)
-    buckets = spans.select(_bucket(F.col("rid")).alias(OWN[1])).distinct()  # at most BUCKETS rows
-    known = docs.withColumn(OWN[0], F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(F.broadcast(buckets), _bucket(F.col(OWN[0])) == F.col(OWN[1]), "left")
-    clean = known.filter(F.col(OWN[1]).isNull()).select(*docs.columns)
-    dirty = known.filter(F.col(OWN[1]).isNotNull()).join(spans.select(F.col("rid").alias(OWN[0]), F.col("spans").alias(OWN[2])), OWN[0], "left").select(*docs.columns, OWN[2])
+    spans = materialize(find(docs).groupBy("rid").agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans")))
+    spans = spans.select(F.col("rid").alias(OWN[0]), F.col("spans").alias(OWN[1]))
+    known = docs.withColumn(OWN[0], F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(spans, OWN[0], "left").select(*docs.columns, OWN[1])
     names = docs.columns
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches):
         for b in batches:
-            texts = [t if not spans else without(t, [(x["first_word"], x["n_words"]) for x in spans]) for t, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            keep = [not spans or bool(t.strip()) for t, spans in zip(texts, b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            found = b.column(b.num_columns - 1).to_pylist()
+            texts = [t if not spans else without(t, [(x["first_word"], x["n_words"]) for x in spans]) for t, spans in zip(b.column(at).to_pylist(), found, strict=True)]
+            keep = [not spans or bool(t.strip()) for t, spans in zip(texts, found, strict=True)]
             cols = [b.column(k) for k in range(b.num_columns - 1)]
             if count is not None:
-                cols[count] = pa.array([n if not s else len(t) for n, t, s in zip(b.column(count).to_pylist(), texts, b.column(b.num_columns - 1).to_pylist(), strict=True)], cols[count].type)
+                cols[count] = pa.array([n if not s else len(t) for n, t, s in zip(b.column(count).to_pylist(), texts, found, strict=True)], cols[count].type)
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return clean.unionByName(dirty.mapInArrow(frugal(cut), docs.schema))
+    return known.mapInArrow(frugal(cut), docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

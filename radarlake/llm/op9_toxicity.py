@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import frugal, materialize, workers_can_import
+from radarlake.llm.common import Memo, frugal, materialize, workers_can_import
 
 FIT_ROWS = 16_384
 MOST_TERMS = 4_096
@@ -60,20 +60,6 @@ def terms(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-class Memo(dict):
-    """token -> what make gives for it; emptied when it grows large."""
-
-    def __init__(self, make, most: int = 150_000):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, token):
-        if len(self) >= self.most:
-            self.clear()
-        got = self[token] = self.make(token)
-        return got
-
-
 class Index(NamedTuple):
     """Examples by term, cut into blocks. Arrays are parallel to the postings."""
 

@@ -202,6 +202,37 @@ def test_leak_query_equals_brute_force(spark, documents):
 # --- pipeline
 
 
+def slow_spans(left):
+    """Passages of 50 words that an earlier text has at 0.8 or more, by words alone: first and last shared word of runs of such."""
+    out: dict = {}
+    texts = {i: t.lower().split() for i, t in left.items()}
+    for i, w in texts.items():
+        for j, v in texts.items():
+            if j >= i or len(w) < 50 or len(v) < 50:
+                continue
+            where: dict = {}
+            for k in range(len(v) - 4):
+                where.setdefault(tuple(v[k : k + 5]), []).append(k)
+            fars: dict = {}
+            for k in range(len(w) - 4):
+                for q in where.get(tuple(w[k : k + 5]), ()):
+                    fars.setdefault(q - k, set()).add(k)
+            good = set()
+            for far, mine in fars.items():
+                if len(mine) >= 20:
+                    for s in range(max(0, -far), min(len(w) - 49, len(v) - 49 - far)):
+                        if s not in good and sum(k in mine for k in range(s, s + 46)) >= 20 and jaccard(w[s : s + 50], v[s + far : s + far + 50]) >= 0.8:
+                            good.add(s)
+            run: list = []
+            for s in [*sorted(good), None]:
+                if run and (s is None or s - run[-1] > 46):
+                    hit = [k for k in range(run[0], run[-1] + 46) if tuple(w[k : k + 5]) in where]
+                    out.setdefault(i, []).append((hit[0], hit[-1] + 5 - hit[0]))
+                    run = []
+                run.append(s)
+    return out
+
+
 def test_pipeline_equals_brute_force(spark, documents):
     """Every stage again, by plain means, on what its predecessor kept."""
     from llm.test_text_ops import slow_components, slow_fingerprint
@@ -213,15 +244,7 @@ def test_pipeline_equals_brute_force(spark, documents):
     root = slow_components({i: slow_fingerprint(t) for i, t in left.items()})
     left = {i: t for i, t in left.items() if root[i] == i}
 
-    memo = op2._hasher()
-    tokens = {i: op2._tokens(t, memo) for i, t in left.items()}
-    spans: dict = {}
-    for i in left:
-        for j in (j for j in left if j < i):
-            common, a, b = np.intersect1d(tokens[i], tokens[j], return_indices=True)
-            if len(common) >= 40:
-                seeds = list(zip(a.tolist(), b.tolist(), strict=True))
-                spans.setdefault(i, []).extend((s, e - s) for s, e, _, _ in op2.passages(tokens[i], tokens[j], seeds))
+    spans = slow_spans(left)
     cut = {i: op2.without(t, spans.get(i, [])) for i, t in left.items()}
     cut = {i: t for i, t in cut.items() if t.strip() or not spans.get(i)}
     bench = [op1.words_of(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
@@ -294,4 +317,87 @@ def test_near_repeat_numbered_inside_its_window():
     rng, memo = random.Random(9), op2._hasher()
     p = words(rng, 50)
     a, b = (op2._tokens(" ".join(x), memo) for x in (p[10:24] + words(rng, 80) + p, words(rng, 30) + p))
-    assert [x[3] for x in op2.passages(a, b, [(94, 30), (0, 40)])] == [1.0]
+    _, best, shift = op2.similarities(a, b, [(30 - 94, 94, 94), (40, 0, 0)])
+    assert [x[3] for x in op2.passages(a, b, best, shift)] == [1.0]
+
+
+def jaccard(a, b):
+    """Of two passages' 5-word shingles, repeats numbered."""
+    from collections import Counter
+
+    x, y = (Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (a, b))
+    both = sum((x & y).values())
+    return both / (sum(x.values()) + sum(y.values()) - both)
+
+
+def near_repeats(docs):
+    """(doc, first word) of the 50-word passages that an earlier text has at 0.8 or more: all pairs of windows with a word run in common."""
+    out, held = set(), {}
+    for i, text in sorted(docs):
+        w = text.lower().split()
+        if len(w) < 50:
+            continue
+        at: dict = {}
+        for k in range(len(w) - 4):
+            for j, q in held.get(tuple(w[k : k + 5]), ()):
+                at.setdefault(j, set()).add((k, q))
+        for j, met in at.items():
+            other = dict_of[j]
+            for far in {q - k for k, q in met}:
+                mine = {k for k, q in met if q - k == far}
+                for s in range(max(0, -far), min(len(w) - 49, len(other) - 49 - far)):
+                    if (i, s) not in out and sum(k in mine for k in range(s, s + 46)) >= 20 and jaccard(w[s : s + 50], other[s + far : s + far + 50]) >= 0.8:
+                        out.add((i, s))
+        for k in range(len(w) - 4):
+            held.setdefault(tuple(w[k : k + 5]), []).append((i, k))
+        dict_of[i] = w
+    return out
+
+
+dict_of: dict = {}
+
+
+def test_first_holders_of_single_shingles_steal_nothing(frame):
+    """Four earlier texts each hold one shingle of a passage that only two later ones share."""
+    for seed in range(4):
+        rng = random.Random(300 + seed)
+        p = words(rng, 50)
+        docs = [(k, " ".join(words(rng, 60) + p[k * 11 : k * 11 + 5] + words(rng, 60))) for k in range(4)]
+        docs += [(100, " ".join(words(rng, 40) + p + words(rng, 40))), (101, " ".join(words(rng, 70) + p + words(rng, 10)))]
+        docs += [(102, " ".join(p + words(rng, 60) + p))]
+        found = op2.find(frame(docs)).collect()
+        assert exact_repeats(docs) and not missed(found, docs)
+
+
+def test_near_repeats_are_found(frame):
+    """Passages with one word changed, put in or left out, at any place: recall against all windows."""
+    rng = random.Random(77)
+    docs, i = [], 0
+    for case in range(90):
+        p = words(rng, rng.randint(50, 90))
+        q, k = list(p), rng.randrange(len(p))
+        q[k : k + (case % 3 != 2)] = [] if case % 3 == 1 else [f"new{case}"]
+        for x in (p, q):
+            docs.append((i := i + 1, " ".join(words(rng, rng.randint(0, 60)) + x + words(rng, rng.randint(0, 60)))))
+    dict_of.clear()
+    need = near_repeats(docs)
+    found = op2.find(frame(docs)).collect()
+    lost = [(i, k) for i, k in need if covers(found, i, k + 5, k + 45) < 1]
+    assert len(need) > 500 and len(lost) <= 0.01 * len(need)
+
+
+def test_hubs_dealt_to_several_rows(frame, monkeypatch):
+    monkeypatch.setattr(op2, "STAR", 4)
+    monkeypatch.setattr(op2, "BATCH_WORDS", 300)
+    rng = random.Random(5)
+    p = words(rng, 70)
+    docs = [(i, " ".join(words(rng, 20) + p[: 50 + i % 20] + words(rng, 20))) for i in range(40)]
+    found = op2.find(frame(docs)).collect()
+    assert not missed(found, docs) and all(r["source"] < r["id"] for r in found)
+
+
+def test_string_ids(spark):
+    rng = random.Random(6)
+    p = " ".join(words(rng, 80))
+    found = op2.find(spark.createDataFrame([("a", p), ("b", p), (None, p), ("c", None)], "doc_id string, text string")).collect()
+    assert len(found) == 1 and {found[0]["id"], found[0]["source"]} == {"a", "b"}
