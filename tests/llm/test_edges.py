@@ -16,7 +16,7 @@ def test_every_operator_is_registered():
     assert "pipeline" in names and {"op8_license_scan", "op10_topk_search"} <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("page", ["<p>" * 50_000 + "x", "<div>" * 900 + "deep" + "</div>" * 900, "<p>" + "word " * 200_000, "<" * 20_000, "<a " * 5_000, "&amp;" * 50_000, "<!--" + "x" * 100_000, "<script>" + "a<b" * 50_000, "<b" + "'" * 3_001 + ">t"])
+@pytest.mark.parametrize("page", ["<p>" * 50_000 + "x", "<div>" * 900 + "deep" + "</div>" * 900, "<div>" * 100_000 + "deep" + "</div>" * 100_000, "<ul><li>" * 30_000 + "deep", "<p>" + "word " * 200_000, "<" * 20_000, "<a " * 5_000, "&amp;" * 50_000, "<!--" + "x" * 100_000, "<script>" + "a<b" * 50_000, "<b" + "'" * 3_001 + ">t"])
 def test_long_and_broken_pages(page):
     text = op4_wrappers.main_text(page, None)
     assert text == " ".join(text.split())
