@@ -342,23 +342,57 @@ def test_topk_oracle(spark):
 def test_topk_of_ties_and_bad_rows(spark, monkeypatch, scale):
     monkeypatch.setattr(op10_topk, "ROW_BLOCK", 40)
     monkeypatch.setattr(op10_topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(op10_topk, "CELL", 8)
     rng = np.random.default_rng(10)
     rows = [(i, (rng.integers(-3, 4, 6) * (0.3 if scale == 1 else scale / 64)).tolist()) for i in range(180)]
-    rows += [(i, rows[20][1]) for i in range(180, 240)] + [(300, None), (301, [None] * 6), (302, [float("nan")] + [0.0] * 5), (303, [float("inf")] + [0.0] * 5), (304, []), (None, rows[0][1]), (0, rows[0][1])]
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, id int, score string")
-    want = {}
-    good = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows[:240]}
-    for q in (i for i in good if i % 20 == 0):
-        s = sorted((-min(max(sum(a * b for a, b in zip(good[q], good[i], strict=True)), 1 - (1 << 63)), (1 << 63) - 1), i) for i in good if i != q)[:20]
-        want[q] = [(r + 1, i, -x) for r, (x, i) in enumerate(s)]
-    got = {}
-    for r in op10_topk.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
-    assert got == want
+    rows += [(i, rows[20][1]) for i in range(180, 240)] + [(0, rows[0][1]), (7, rows[0][1]), (400, []), (401, [])]
+    odd = [(300, None), (301, [None] * 6), (302, [float("nan")] + [0.0] * 5), (303, [float("inf")] + [0.0] * 5), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows + odd], "vec_id long, embedding array<double>, id int, score string")
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, v) in enumerate(good):
+        if q % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for j, (i, w) in enumerate(good) if j != at and len(w) == len(v))[:20]
+            want += [(q, r + 1, i, min(max(-x, 1 - (1 << 63)), (1 << 63) - 1)) for r, (x, i) in enumerate(s)]
+    for chunk in (65_536, 8):
+        monkeypatch.setattr(op10_topk, "CHUNK", chunk)
+        got = [(r["query_id"], r["rank"], r["id"], r["score"]) for r in op10_topk.search(df, F.col("vec_id") % 20 == 0).collect()]
+        assert sorted(got) == sorted(want)
     few = op10_topk.search(df.limit(5), F.col("vec_id") % 20 == 0)
     assert few.count() == 4 and op10_topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_equal_rows_as_the_sql_has_it(spark, tmp_path):
+    from parity import compare, connect
+
+    rows = [(1, [1.0, 1.0]), (1, [1.0, 1.0]), (20, [0.5, 2.0]), (20, [0.5, 2.0]), (40, [-1.0, 0.0]), (60, []), (61, []), (None, [1.0, 1.0]), (5, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/made")
+    (next((tmp_path / "made").glob("part-*"))).rename(tmp_path / "embeddings.parquet")
+    con = connect(SMALL)
+    con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    compare(op10_topk.query(spark, str(tmp_path)), con, op10_topk.SQL)
+
+
+def test_topk_scores_few_pairs():
+    """Lists are walked by falling bounds: of vectors in groups, most are never scored."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64)) * 60
+    x = np.floor(centres[rng.integers(40, size=8000)] + rng.normal(size=(8000, 64)) * 4)
+    block = op10_topk.Block(x, np.arange(8000), np.arange(8000))
+    q, own = x[::100], np.arange(8000)[::100]
+    a, s = block.first(q, own, 20)
+    cut = np.array([np.sort(s[a == i])[-20] for i in range(len(q))])
+    assert block.scored <= len(q) * op10_topk.CELL
+    block.scored = 0
+    a, j, s = block.second(q, own, cut, 20)
+    full = (q @ x.T).astype(np.int64)
+    full[np.arange(len(q)), own] = op10_topk.LOW
+    for i in range(len(q)):
+        best = np.lexsort((np.arange(8000), -full[i]))[:20]
+        assert j[a == i].tolist() == best.tolist() and s[a == i].tolist() == full[i, best].tolist()
+    assert block.scored < 0.4 * len(q) * len(x)
+
+
 # --- 4: main text
 
 
