@@ -17,10 +17,10 @@ hold first among these, and batches among each other, so one that a third of all
 hold is one row a batch. Every place of a signature in a text is a member of its own. Each link is verified by tokens,
 on its diagonal, for all passages that hold the shared run.
 
-What no star can lose: an exact repeat whose first text holds only a part of the passage
-fails against it. So passages that were tried and aren't exact give a hash of their
-whole content (128 bits), of the text and of the first text, and are linked by that to
-the first text which has it, at each place. A repeat that is near but not exact is found
+An exact repeat whose first text holds only a part of the passage fails against it. So
+passages that were tried and aren't exact, all of whose runs have links, give a hash of
+their whole content (128 bits), of the text and of the first text, and are linked by
+that to the first text which has it, at each place: no star loses an exact repeat. A repeat that is near but not exact is found
 where a text that begins one of its signatures has it; it may be lost when all of these
 hold only parts of it. The README gives the recall against brute force.
 
@@ -52,6 +52,8 @@ SIMILAR = 0.8
 #: Tokens that two passages of SPAN tokens need in common.
 COMMON = -int(-(2 * SPAN * SIMILAR / (1 + SIMILAR)) // 1)
 HASHES = 2
+#: A stretch of so many passages is compared word for word before it is compared by tokens.
+LONG = 128
 #: More pairs than this around one text are dealt to several rows.
 STAR = 1024
 BATCH_WORDS = 1 << 20
@@ -277,37 +279,40 @@ def similarities(a: np.ndarray, b: np.ndarray, tries) -> tuple[np.ndarray, np.nd
     often = often[SPAN:] > often[:-SPAN]
     view = np.lib.stride_tricks.sliding_window_view
     places, tokens, others = view(match, SPAN), view(a, SPAN), view(b, SPAN)
-    marks: dict[int, list] = {}
+    starts, fars = [], []
     for far, lo, hi in tries:
-        marks.setdefault(far, []).append((lo, hi))
-    for far, spans in sorted(marks.items()):
-        mark = np.zeros(n + 1, dtype=np.int64)
-        for lo, hi in spans:
-            mark[min(max(lo, 0), n)] += 1
-            mark[min(max(hi + 1, 0), n)] -= 1
-        todo = np.flatnonzero(np.cumsum(mark[:n]) > 0)
-        tried[todo] = True
-        # word for word
-        lo, hi = max(0, -far), min(len(a), len(b) - far)
-        if hi - lo >= SPAN:
-            same = np.r_[0, np.cumsum(a[lo:hi] == b[lo + far : hi + far])]
-            whole = np.zeros(n, dtype=bool)
-            whole[lo : hi - SPAN + 1] = same[SPAN:] - same[:-SPAN] == SPAN
-            done = todo[whole[todo] & (best[todo] < 1.0)]
+        lo, hi = max(lo, 0), min(hi, n - 1)
+        if hi < lo:
+            continue
+        tried[lo : hi + 1] = True
+        s, e = max(lo, -far), min(hi, len(b) - SPAN - far)
+        if e - s >= LONG:  # word for word, at once
+            same = np.r_[0, np.cumsum(a[s : e + SPAN] == b[s + far : e + SPAN + far])]
+            done = s + np.flatnonzero(same[SPAN:] - same[:-SPAN] == SPAN)
             best[done], shift[done] = 1.0, far
-        todo = todo[(best[todo] < 1.0) & able[todo]]
-        for k in range(0, len(todo), 20_000):
-            i = todo[k : k + 20_000]
-            j = np.clip(i + far, 0, len(b) - SPAN)
-            got = places[i] - j[:, None]
-            common = ((got >= 0) & (got < SPAN)).sum(axis=1)
-            slow = often[i]
-            if slow.any():
-                both = np.sort(np.concatenate((_numbered(tokens[i[slow]]), _numbered(others[j[slow]])), axis=1), axis=1)
-                common[slow] = (both[:, 1:] == both[:, :-1]).sum(axis=1)
-            jac = common / (2 * SPAN - common)
-            up = jac > best[i]
-            best[i[up]], shift[i[up]] = jac[up], (j - i)[up]
+        i = lo + np.flatnonzero(able[lo : hi + 1] & (best[lo : hi + 1] < 1.0))
+        starts.append(i)
+        fars.append(np.full(len(i), far))
+    starts, fars = (np.concatenate(x) if x else np.array([], dtype=np.int64) for x in (starts, fars))
+    for k in range(0, len(starts), 20_000):
+        i, far = starts[k : k + 20_000], fars[k : k + 20_000]
+        todo = best[i] < 1.0
+        i, far = i[todo], far[todo]
+        j = np.clip(i + far, 0, len(b) - SPAN)
+        got = places[i] - j[:, None]
+        common = ((got >= 0) & (got < SPAN)).sum(axis=1)
+        slow = often[i]
+        if slow.any():
+            both = np.sort(np.concatenate((_numbered(tokens[i[slow]]), _numbered(others[j[slow]])), axis=1), axis=1)
+            common[slow] = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+        jac = common / (2 * SPAN - common)
+        # the same passage may be tried on several diagonals
+        order = np.lexsort((jac, i))
+        i, j, jac = i[order], j[order], jac[order]
+        last = np.r_[i[1:] != i[:-1], True] if len(i) else np.array([], dtype=bool)
+        i, j, jac = i[last], j[last], jac[last]
+        up = jac > best[i]
+        best[i[up]], shift[i[up]] = jac[up], (j - i)[up]
     return tried, best, shift
 
 
@@ -353,6 +358,30 @@ def cut_out(tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes,
     return np.stack([lo, hi]).astype("<i4").tobytes(), np.concatenate([short[a:b] for a, b in zip(lo, hi, strict=True)]).tobytes()
 
 
+def covered(n: int, spans: np.ndarray) -> bytes:
+    """Stretches (first, last) of the passages of a text of n tokens all of whose runs are linked.
+
+    spans: the passages that links are tried for. Only such a passage can be an exact
+    repeat of another one that isn't a link's first place itself.
+    """
+    mark = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(mark, np.clip(spans[:, 0] + SPAN - RUN, 0, n), 1)
+    np.add.at(mark, np.clip(spans[:, 1] + 1, 0, n), -1)
+    runs = np.r_[0, np.cumsum(np.cumsum(mark[:n]) > 0)]
+    wide = SPAN - RUN + 1
+    good = np.r_[False, runs[wide:] - runs[:-wide] == wide, False].astype(np.int8)
+    turn = np.diff(good)
+    return np.stack([np.flatnonzero(turn == 1), np.flatnonzero(turn == -1) - 1]).astype("<i4").tobytes()
+
+
+def _spread(stretches: bytes, first: int, n: int) -> np.ndarray:
+    mark = np.zeros(n + 1, dtype=np.int64)
+    lo, hi = np.frombuffer(stretches, dtype="<i4").reshape(2, -1).astype(np.int64) - first
+    np.add.at(mark, np.clip(lo, 0, n), 1)
+    np.add.at(mark, np.clip(hi + 1, 0, n), -1)
+    return np.cumsum(mark[:n]) > 0
+
+
 def _dense(places: bytes, tokens: bytes, gap: int) -> tuple[np.ndarray, int]:
     """Tokens at their places, from the first one on; ``gap`` (0 or 1, no token) between."""
     lo, hi = np.frombuffer(places, dtype="<i4").reshape(2, -1).astype(np.int64)
@@ -421,15 +450,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def mine(batches):
         memo = _hasher()
         for b in batches:
-            types = dict(zip([*names, "tries"], (pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))
+            types = dict(zip([*names, "tries", "able"], (pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), *(pa.binary(),) * 4), strict=True))
             rows = []
             for num, i, rid, text, pairs in zip(*(b.column(n).to_pylist() for n in ("num", "id", "rid", "text", "pairs")), strict=True):
                 tokens = _tokens(text, memo)
-                for x in pairs:
-                    tries = np.array([(t["far"], t["lo"], t["hi"]) for t in x["tries"]], dtype=np.int64)
+                every = [np.array([(t["far"], t["lo"], t["hi"]) for t in x["tries"]], dtype=np.int64) for x in pairs]
+                able = covered(len(tokens), np.concatenate(every)[:, 1:])
+                for x, tries in zip(pairs, every, strict=True):
                     places, own = cut_out(tokens, tries[:, 1], tries[:, 2])
                     if places:
-                        rows.append((num, x["other"], i, rid, places, own, tries.astype("<i4").tobytes()))
+                        rows.append((num, x["other"], i, rid, places, own, tries.astype("<i4").tobytes(), able))
             yield _rows(types, rows)
 
     def theirs(batches):
@@ -447,8 +477,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield _rows(types, rows)
 
     schema = f"num long, other long, id {kind}, rid long, places binary, tokens binary"
-    own = texts.join(linked, "num").mapInArrow(frugal(mine, 64), schema + ", tries binary")
-    asked = linked.select("num", F.explode("pairs").alias("p")).select("num", F.col("p.other").alias("other"), F.col("p.tries").alias("tries"))
+    own = texts.join(linked, "num").mapInArrow(frugal(mine, 64), schema + ", tries binary, able binary")
+    asked = linked.select("num", F.explode("pairs").alias("p")).filter("p.other <> num").select("num", F.col("p.other").alias("other"), F.col("p.tries").alias("tries"))
     many = materialize(asked.groupBy("other").agg(F.count(F.lit(1)).alias("n")).select("other", "n", F.ceil(F.col("n") / STAR).cast("int").alias("deal")))
     asked = attach(asked, many, "other", "n").groupBy("other", F.pmod(F.xxhash64("num"), F.col("deal")).alias("salt")).agg(F.collect_list(F.struct("num", "tries")).alias("asked"))
     others = texts.join(asked.withColumnRenamed("other", "num"), "num").mapInArrow(frugal(theirs, 16), schema)
@@ -461,26 +491,44 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             types = {"kind": pa.int32(), "num": pa.int64(), "id": i_kind, "rid": pa.int64(), "first_word": pa.int32(), "n_words": pa.int32(), "source": i_kind, "source_word": pa.int32(), "similarity": pa.float64(), "w": pa.int64(), "v": pa.int64()}
             rows, spots = [], []
             for r in b.to_pylist():
-                (x, p), (y, q) = _dense(r["places"], r["tokens"], 0), _dense(r["b_places"], r["b_tokens"], 1)
-                tries = [(far + p - q, lo - p, hi - p) for far, lo, hi in np.frombuffer(r["tries"], dtype="<i4").reshape(-1, 3).tolist()]
-                tried, best, shift = similarities(x, y, tries)
-                if r["num"] != r["other"]:
+                if not r["places"]:
+                    continue
+                x, p = _dense(r["places"], r["tokens"], 0)
+                able = _spread(r["able"], p, max(len(x) - SPAN + 1, 0))
+                tries = np.frombuffer(r["tries"], dtype="<i4").reshape(-1, 3)
+                if r["num"] == r["other"]:  # another place in this text: other texts may have it
+                    lost = np.zeros(len(able) + 1, dtype=np.int64)
+                    np.add.at(lost, np.clip(tries[:, 1] - p, 0, len(able)), 1)
+                    np.add.at(lost, np.clip(tries[:, 2] - p + 1, 0, len(able)), -1)
+                    lost = [(x, np.flatnonzero((np.cumsum(lost[:-1]) > 0) & able), p, "")]
+                elif not r["b_places"]:
+                    continue
+                else:
+                    y, q = _dense(r["b_places"], r["b_tokens"], 1)
+                    tries = [(far + p - q, lo - p, hi - p) for far, lo, hi in tries.tolist()]
+                    tried, best, shift = similarities(x, y, tries)
                     for s, e, t, j in passages(x, y, best, shift):
                         rows.append((0, r["num"], r["id"], r["rid"], s + p, e - s, r["b_id"], t + q, j, None, None))
-                # not word for word: found by its content, in whichever text
-                for h, at, o, num, i, rid in ((x, np.flatnonzero(tried & (best < 1.0)), p, r["num"], r["id"], r["rid"]), (y, _shifted(tries, tried & (best < 1.0), len(y)), q, r["other"], r["b_id"], r["b_rid"])):
+                    # not word for word: found by its content, in whichever text
+                    able &= tried & (best < 1.0)
+                    lost = [(x, np.flatnonzero(able), p, ""), (y, _shifted(tries, able, len(y)), q, "b_")] if able.any() else []
+                for h, at, o, name in lost:
                     gaps = np.r_[0, np.cumsum(h < 2)]
                     at = at[gaps[at + SPAN] == gaps[at]]
                     if len(at):
-                        w, v = contents(h, at)
-                        spots += zip(w.tolist(), v.tolist(), (at + o).tolist(), [num] * len(at), [i] * len(at), [rid] * len(at), strict=True)
-                if len(spots) > ROWS:
-                    yield _rows(types, rows + [(1, num, i, rid, c, None, None, None, None, w, v) for w, v, c, num, i, rid in spots])
-                    rows, spots = [], []
-            yield _rows(types, rows + [(1, num, i, rid, c, None, None, None, None, w, v) for w, v, c, num, i, rid in spots])
+                        spots.append((r["other"] if name else r["num"], r[name + "id"], r[name + "rid"], at + o, *contents(h, at)))
+            yield _rows(types, rows)
+            for k in range(0, len(spots), 4096):
+                some = spots[k : k + 4096]
+                many = np.array([len(x[3]) for x in some])
+                each = pa.array(np.repeat(np.arange(len(some)), many))
+                num, i, rid = (pa.array([x[k] for x in some], t).take(each) for k, t in enumerate((pa.int64(), i_kind, pa.int64())))
+                c, w, v = (np.concatenate([x[k] for x in some]) for k in (3, 4, 5))
+                given = {"kind": pa.array(np.ones(len(c), np.int32)), "num": num, "id": i, "rid": rid, "first_word": pa.array(c.astype(np.int32)), "w": pa.array(w), "v": pa.array(v)}
+                yield pa.RecordBatch.from_arrays([given.get(n, pa.nulls(len(c), t)) for n, t in types.items()], names=list(types))
 
     fields = f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double"
-    seen = materialize(own.join(others, ["num", "other"]).mapInArrow(frugal(verify), f"kind int, num long, {fields}, w long, v long"))
+    seen = materialize(own.join(others, ["num", "other"], "left").mapInArrow(frugal(verify), f"kind int, num long, {fields}, w long, v long"))
     discard(linked, many)
     near = seen.filter("kind = 0").select("id", "rid", "first_word", "n_words", "source", "source_word", "similarity").distinct()
 
@@ -489,18 +537,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     first = spots.groupBy("key").agg(F.min(F.struct("num", "id", "c")).alias("x"), F.max("num").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.num < last")
     first = materialize(first.select("key", F.col("x.num").alias("other"), F.col("x.id").alias("source"), F.col("x.c").alias("bc"), "n"))
     again = attach(spots, first, "key", "n").filter("num <> other")
-    again = again.groupBy("id", "rid", "source", (F.col("bc") - F.col("c")).alias("far")).agg(F.array_sort(F.collect_set("c")).alias("c"))
+    again = again.groupBy("id", "rid", "source").agg(F.array_sort(F.collect_set(F.struct("c", "bc"))).alias("at"))
 
     def runs(batches):
         for b in batches:
             i_kind = b.schema.field("id").type
             types = {"id": i_kind, "rid": pa.int64(), "first_word": pa.int32(), "n_words": pa.int32(), "source": i_kind, "source_word": pa.int32(), "similarity": pa.float64()}
             rows = []
-            for i, rid, source, far, c in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                c = np.array(c)
+            for i, rid, source, at in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                c = np.array([x["c"] for x in at])
                 cut = np.flatnonzero(np.diff(c) > 1)
-                for lo, hi in zip(c[np.r_[0, cut + 1]].tolist(), c[np.r_[cut, len(c) - 1]].tolist(), strict=True):
-                    rows.append((i, rid, lo, hi - lo + SPAN + SHINGLE - 1, source, lo + far, 1.0))
+                for lo, hi in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(c) - 1].tolist(), strict=True):
+                    rows.append((i, rid, at[lo]["c"], int(c[hi] - c[lo]) + SPAN + SHINGLE - 1, source, at[lo]["bc"], 1.0))
             yield _rows(types, rows)
 
     again = again.mapInArrow(frugal(runs), fields)
