@@ -2,14 +2,20 @@
 
 A text is cut at sure pre-token borders (a non-space before a space or line end) into
 segments of about ``SEGMENT`` characters, and at added tokens, so each segment's token
-count stands alone. The counts are the leaves of a segment tree. An edit re-encodes
-only the segments that it touches, with the neighbour where it reaches the characters
-that made the border sure, and puts the new leaves in, whose subtree sums are updated.
+count stands alone. The segments are the leaves of a balanced tree whose nodes hold the
+characters and tokens below them. An edit finds the segments that it touches, with the
+neighbour where it reaches the characters that made the border sure, in logarithmic
+time, re-encodes these alone, and joins what they become between the untouched subtrees,
+whose sums stay; only the nodes on the way to the root are summed anew.
+
+Trees are kept as rows: the characters and tokens of their leaves. The query keeps the
+tree of every document, with the text where an edit is due, and counts the edited ones
+from what was kept.
 
 Edge cases: null texts count as empty; edits of an unknown id are ignored; edits apply
 in order, each to the text that the ones before it left, and out of range ends are cut
-to it; null ids are kept and take no edits; repeated rows are counted alike; an empty
-table gives an empty table; other columns are ignored.
+to it; null ids are kept and take no edits from a table; repeated rows are counted
+alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarlake.llm.common import frugal, workers_can_import
+from radarlake.llm.common import frugal, materialize, workers_can_import
 from radarlake.llm.op3_bpe import BORDER, Codec, codec, default_tokenizer
 
 SEGMENT = 1024
-GROUP = 64
 #: What the query's edits replace: personal data in the documents.
 PERSONAL = re.compile(r"(?P<EMAIL>[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})|(?P<IP>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<PHONE>(?<![\w.])\+?\d[\d ()-]{7,16}\d(?![\w.]))")
 
@@ -45,71 +50,118 @@ def segments(code: Codec, text: str, size: int = SEGMENT) -> list[str]:
     return out
 
 
+class Node:
+    """A segment with its token count, or two subtrees with their sums."""
+
+    __slots__ = ("left", "right", "text", "chars", "tokens", "height")
+
+    def __init__(self, left: Node | None, right: Node | None, text: str = "", tokens: int = 0):
+        self.left, self.right, self.text = left, right, text
+        self.chars = left.chars + right.chars if left else len(text)
+        self.tokens = left.tokens + right.tokens if left else tokens
+        self.height = 1 + max(left.height, right.height) if left else 0
+
+
+def grown(leaves: list[Node]) -> Node | None:
+    """A balanced tree over leaves."""
+    if len(leaves) < 2:
+        return leaves[0] if leaves else None
+    half = len(leaves) // 2
+    return Node(grown(leaves[:half]), grown(leaves[half:]))
+
+
+def _turned(left: Node, right: Node) -> Node:
+    """A node over two subtrees whose heights may differ by two."""
+    if left.height > right.height + 1:
+        if left.left.height >= left.right.height:
+            return Node(left.left, Node(left.right, right))
+        return Node(Node(left.left, left.right.left), Node(left.right.right, right))
+    if right.height > left.height + 1:
+        if right.right.height >= right.left.height:
+            return Node(Node(left, right.left), right.right)
+        return Node(Node(left, right.left.left), Node(right.left.right, right.right))
+    return Node(left, right)
+
+
+def joined(left: Node | None, right: Node | None) -> Node | None:
+    if not left or not right:
+        return left or right
+    if left.height > right.height + 1:
+        return _turned(left.left, joined(left.right, right))
+    if right.height > left.height + 1:
+        return _turned(joined(left, right.left), right.right)
+    return Node(left, right)
+
+
+def parted(tree: Node, at: int, after: bool) -> tuple[Node | None, Node | None]:
+    """The leaves before the one that holds character ``at`` and the others; with ``after``, that one is among the first."""
+    if not tree.left:
+        return (tree, None) if after else (None, tree)
+    if at < tree.left.chars:
+        a, b = parted(tree.left, at, after)
+        return a, joined(b, tree.right)
+    a, b = parted(tree.right, at - tree.left.chars, after)
+    return joined(tree.left, a), b
+
+
+def leaves_of(tree: Node | None) -> Iterator[Node]:
+    todo = [tree] if tree else []
+    while todo:
+        x = todo.pop()
+        if x.left:
+            todo += [x.right, x.left]
+        else:
+            yield x
+
+
 class TokenTree:
-    """Segments of one text with their token counts; sums are kept on two levels above the leaves."""
+    """The segment tree of one text."""
 
     def __init__(self, code: Codec, text: str, known: list[tuple[int, int]] | None = None):
         """known: (characters, tokens) of the segments, from an earlier tree of this text."""
         self.code, self.encoded = code, 0
         if known is None:
-            parts = segments(code, text)
-            leaves = [(p, self._count(p)) for p in parts]
+            self.root = grown(self._leaves(text))
         else:
-            leaves, at = [], 0
+            kept, at = [], 0
             for n, c in known:
-                leaves.append((text[at : at + n], c))
+                kept.append(Node(None, None, text[at : at + n], c))
                 at += n
-        self.groups = [leaves[k : k + GROUP] for k in range(0, len(leaves), GROUP)]
-        self.sums = [self._sums(g) for g in self.groups]
-        self.chars, self.tokens = (sum(s[k] for s in self.sums) for k in (0, 1))
-
-    @staticmethod
-    def _sums(group) -> tuple[int, int]:
-        return sum(len(p) for p, _ in group), sum(c for _, c in group)
-
-    def _count(self, part: str) -> int:
-        self.encoded += len(part)
-        return len(self.code.encode(part))
-
-    def _find(self, at: int) -> tuple[int, int, int]:
-        """(group, leaf, its first character) of the leaf that holds character ``at``."""
-        start = 0
-        for g, (n, _) in enumerate(self.sums):
-            if at < start + n or g == len(self.sums) - 1:
-                for k, (p, _) in enumerate(self.groups[g]):
-                    if at < start + len(p) or k == len(self.groups[g]) - 1:
-                        return g, k, start
-                    start += len(p)
-            start += n
-        return 0, 0, 0
+            self.root = grown(kept)
+
+    def _leaves(self, text: str) -> list[Node]:
+        self.encoded += len(text)
+        return [Node(None, None, p, len(self.code.encode(p))) for p in segments(self.code, text)]
+
+    @property
+    def chars(self) -> int:
+        return self.root.chars if self.root else 0
+
+    @property
+    def tokens(self) -> int:
+        return self.root.tokens if self.root else 0
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters start..end by ``new`` and re-encode what that touches."""
         start = min(max(start, 0), self.chars)
         end = min(max(end, start), self.chars)
-        if not self.groups:
-            self.__init__(self.code, new)
+        if not self.root:
+            self.root = grown(self._leaves(new))
             return
         # a border needs the character before and after it; added tokens must not be formed or cut unseen
         reach = max((len(x) for x in self.code.added), default=1)
-        g0, k0, first = self._find(max(start - reach, 0))
-        g1, k1, last = self._find(min(end + reach, max(self.chars - 1, 0)))
-        old = self.groups[g0][k0:] + [x for g in self.groups[g0 + 1 : g1] for x in g] + self.groups[g1][: k1 + 1] if g0 < g1 else self.groups[g0][k0 : k1 + 1]
-        text = "".join(p for p, _ in old)
+        before, rest = parted(self.root, max(start - reach, 0), False)
+        first = before.chars if before else 0
+        touched, after = parted(rest, min(end + reach, self.chars - 1) - first, True)
+        text = "".join(x.text for x in leaves_of(touched))
         text = text[: start - first] + new + text[end - first :]
-        leaves = self.groups[g0][:k0] + [(p, self._count(p)) for p in segments(self.code, text)] + self.groups[g1][k1 + 1 :]
-        put = [leaves[k : k + GROUP] for k in range(0, len(leaves), GROUP)]
-        sums = [self._sums(g) for g in put]
-        was = self.sums[g0 : g1 + 1]
-        self.groups[g0 : g1 + 1], self.sums[g0 : g1 + 1] = put, sums
-        self.chars += sum(s[0] for s in sums) - sum(s[0] for s in was)
-        self.tokens += sum(s[1] for s in sums) - sum(s[1] for s in was)
+        self.root = joined(joined(before, grown(self._leaves(text))), after)
 
     def leaves(self) -> list[tuple[int, int]]:
-        return [(len(p), c) for g in self.groups for p, c in g]
+        return [(x.chars, x.tokens) for x in leaves_of(self.root)]
 
     def text(self) -> str:
-        return "".join(p for g in self.groups for p, _ in g)
+        return "".join(x.text for x in leaves_of(self.root))
 
 
 def personal_edits(text: str) -> list[tuple[int, int, str]]:
@@ -162,11 +214,30 @@ def update(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer: str,
     return _edited(src, tokenizer, lambda text, given: [(x["start"], x["stop"], x["new"]) for x in given]).withColumnRenamed("id", id_col)
 
 
+def keep(docs: DataFrame, tokenizer: str, edits_of: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Trees to keep (id, n_tokens, leaves), with the text and the edits of the documents that ``edits_of`` has some for."""
+    workers_can_import(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codec(tokenizer)
+        leaf = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
+        edit = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("new", pa.string())]))
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            trees = [TokenTree(code, t) for t in texts]
+            due = [[{"start": s, "stop": e, "new": new} for s, e, new in edits_of(t)] or None for t in texts]
+            cols = [pa.array([t.tokens for t in trees], pa.int64()), pa.array([[{"chars": n, "tokens": c} for n, c in t.leaves()] for t in trees], leaf), pa.array([t if e else None for t, e in zip(texts, due, strict=True)], pa.string()), pa.array(due, edit)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "n_tokens", "leaves", "text", "edits"])
+
+    return docs.select(id_col, text_col).mapInArrow(frugal(run), f"id {kind}, n_tokens long, leaves array<struct<chars: int, tokens: int>>, text string, edits array<struct<start: int, stop: int, new: string>>").withColumnRenamed("id", id_col)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    """Of each document: its tokens, and its tokens after personal data has been replaced by tags."""
+    """Of each document: its tokens, and its tokens after personal data has been replaced by tags, counted on the kept tree."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    workers_can_import(spark)
-    none = F.lit(None)
-    src = docs.select(F.col("doc_id").alias("id"), "text", none.cast("array<struct<chars: int, tokens: int>>").alias("leaves"), none.cast("array<struct<start: int>>").alias("edits"))
-    got = _edited(src, default_tokenizer(), lambda text, _: personal_edits(text))
-    return got.select(F.col("id").alias("doc_id"), "n_tokens", "n_edits", "n_tokens_after", "chars_reencoded")
+    kept = materialize(keep(docs, default_tokenizer(), personal_edits))
+    due = kept.filter("edits IS NOT NULL").select(F.col("doc_id").alias("id"), "text", "leaves", "edits")
+    got = _edited(due, default_tokenizer(), lambda _, given: [(x["start"], x["stop"], x["new"]) for x in given]).drop("leaves")
+    same = kept.filter("edits IS NULL").select(F.col("doc_id").alias("id"), "n_tokens", F.lit(0).alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"), F.lit(0).cast("long").alias("chars_reencoded"))
+    return same.unionByName(got).withColumnRenamed("id", "doc_id")
