@@ -8,14 +8,14 @@ templates' postings; places with an equal difference (place in document minus pl
 template) belong to one reading of the template, in which rare words weigh most. A
 template is found where half of the weight of its terms, and two terms or more, line up,
 and its key phrase is there. The score is the best weight share of a found template, 0.5
-at least with a base label. The SQL looks up 12 words of a document only, so it may find
-less in a text that has more of them.
+at least with a base label. All of a document's licence words count, however many.
 
-Only documents with a licence word are exploded; only their few hits are shuffled.
+Texts are read once: what is written of them are counts, labels and the places of
+licence words, and all that follows reads that.
 
 Edge cases: null and empty texts have no words (0 counts, empty labels, score 0); null
-ids are kept; rows equal in id and text share a result and both stay; an empty table
-gives an empty table; other columns are ignored.
+ids are kept; repeated rows are judged alike and all stay; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from radarlake.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Of the SQL alone, which looks up a document's rarest licence words only.
-RAREST = 12
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Notices by which licences are applied, and their key phrases.
 TEMPLATES = (
@@ -58,31 +58,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     body = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD, " "))
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("rid"), F.concat(F.lit(" "), body, F.lit(" ")).alias("s"))
+    src = docs.select(F.col(id_col).alias("id"), F.concat(F.lit(" "), body, F.lit(" ")).alias("s"))
     words = F.when(F.length("s") > 2, _spaces(F.col("s")) - 1).otherwise(0)
     has = {p: F.contains("s", F.lit(f" {p} ")) for p, _ in BASE}
     pieces = {p: F.split("s", f" {p}(?= )") for p, _ in BASE}
     base = src.select(
-        "id", "rid", words.cast("long").alias("n_words"), "s",
+        "id", words.cast("long").alias("n_words"), "s",
         *(F.when(has[p], pieces[p]).alias(f"p{k}") for k, (p, _) in enumerate(BASE)),
-        F.array_intersect(F.split(F.trim("s"), " "), F.array(*map(F.lit, VOCABULARY))).alias("licence_words"),
+        F.split(F.trim("s"), " ").alias("words"),
     )
     firsts = [_spaces(F.element_at(f"p{k}", 1)) for k in range(len(BASE))]
     lasts = [F.col("n_words") - (_spaces(F.element_at(f"p{k}", -1)) - 1) - len(p.split()) for k, (p, _) in enumerate(BASE)]
     base_labels = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"p{k}").isNotNull(), F.lit(x)) for k, (_, x) in enumerate(BASE)))))
     keys = sum(F.when(F.contains("s", F.lit(f" {key} ")), F.lit(1 << k)).otherwise(0) for k, key in enumerate(KEYS))
-    rows = base.select(
-        "id", "rid", "n_words",
+    vocabulary = F.array(*map(F.lit, VOCABULARY))
+    hits = F.filter(F.transform("words", lambda w, k: F.when(w.isin(*VOCABULARY), F.struct(k.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    rows = materialize(base.select(
+        "id", F.monotonically_increasing_id().alias("rid"), "n_words",
         sum(F.when(F.col(f"p{k}").isNotNull(), F.size(f"p{k}") - 1).otherwise(0) for k in range(len(BASE))).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"),
-        base_labels.alias("own"),
-    )
-    some = base.filter(F.size("licence_words") > 0)
-    n = docs.count()
-    df = some.select(F.explode("licence_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        base_labels.alias("own"), keys.alias("keys"), F.when(F.arrays_overlap("words", vocabulary), hits).alias("hits"),
+    ))
+    n = rows.count()
+    some = rows.filter("hits IS NOT NULL").select("rid", "keys", "hits")
+    df = some.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     terms = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, '{w}', {p})" for t, w, p in POSTINGS) + " AS v(tpl, word, place)")
     terms = terms.join(F.broadcast(df), "word", "left").withColumn("idf", F.log((F.lit(1.0) + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0)  # as many rows as POSTINGS
-    spots = some.select("rid", keys.alias("keys"), F.posexplode(F.split(F.trim("s"), " ")).alias("at", "word"))
+    spots = some.select("rid", "keys", F.inline("hits"))
     hits = spots.join(F.broadcast(terms.select("word", "tpl", "place", "idf")), "word")
     once = hits.groupBy("rid", "keys", "tpl", (F.col("at") - F.col("place")).alias("shift"), "word", "idf").agg(F.count(F.lit(1)).alias("c"))
     read = once.groupBy("rid", "keys", "tpl", "shift").agg(F.count("word").alias("k"), F.sum("idf").alias("w"))
@@ -90,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     names = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, '{label}', {1 << KEYS.index(key)})" for t, (label, _, key) in enumerate(TEMPLATES)) + " AS v(tpl, label, bit)")
     found = read.filter("k >= 2").join(F.broadcast(whole.join(names, "tpl")), "tpl").withColumn("share", F.least(F.col("w") / F.col("all_w"), F.lit(1.0))).filter("(keys & bit) = bit AND share >= 0.5")
     found = found.groupBy("rid").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    both = rows.join(found, "rid", "left")
+    both = rows.drop("hits", "keys").join(found, "rid", "left")
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("own") > 0, F.lit(0.5)).otherwise(0.0))
     labels = F.array_sort(F.array_distinct(F.concat("own", F.coalesce("more", F.array().cast("array<string>")))))
     return both.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("own", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.round(score, 6).alias("score"))
@@ -116,8 +118,7 @@ spots AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM b),
 df AS (SELECT word, count(DISTINCT rid) AS df FROM spots WHERE word IN (SELECT word FROM postings) GROUP BY word),
 terms AS (SELECT tpl, word, place, ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + coalesce(df, 0))) + 1e0 AS idf FROM postings LEFT JOIN df USING (word)),
 hits AS (SELECT DISTINCT rid, tpl, pos - place AS shift, word, idf FROM spots JOIN terms USING (word)),
-ranked AS (SELECT *, dense_rank() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS r FROM hits),
-reading AS (SELECT rid, tpl, shift, count(*) AS k, sum(idf) AS w FROM ranked WHERE r <= {RAREST} GROUP BY ALL),
+reading AS (SELECT rid, tpl, shift, count(*) AS k, sum(idf) AS w FROM hits GROUP BY ALL),
 whole AS (SELECT tpl, sum(idf) AS all_w FROM (SELECT DISTINCT tpl, word, idf FROM terms) GROUP BY tpl),
 found AS (SELECT rid, list(DISTINCT label) AS more, max(least(reading.w / all_w, 1e0)) AS share
           FROM reading JOIN whole USING (tpl) JOIN names USING (tpl) JOIN b USING (rid)

@@ -190,6 +190,29 @@ def test_token_trees(code, library):
         assert again.tokens == tree.tokens and again.encoded == 0
 
 
+def test_trees_stay_balanced(code):
+    """Edits touch few segments and few nodes, wherever and however often."""
+    rng = random.Random(17)
+    text = " ".join(f"word{rng.randrange(10**6)}" for _ in range(60_000))
+    tree = op7_token_tree.TokenTree(code, text)
+    for k in range(400):
+        at = rng.randrange(len(text)) if k % 2 else 1000
+        new = " ".join(["more"] * (800 if k % 5 == 0 else 1))
+        stop = at + rng.choice((0, 3, 6000))
+        before = tree.encoded
+        tree.edit(at, stop, new)
+        text = text[:at] + new + text[stop:]
+        assert tree.encoded - before <= len(new) + 3 * op7_token_tree.SEGMENT
+    n = len(tree.leaves())
+    assert tree.text() == text and tree.tokens == len(code.encode(text)) and tree.root.height <= 1.5 * n.bit_length() + 1
+    todo = [tree.root]
+    while todo:
+        x = todo.pop()
+        if x.left:
+            assert abs(x.left.height - x.right.height) <= 1 and x.tokens == x.left.tokens + x.right.tokens and x.chars == x.left.chars + x.right.chars
+            todo += [x.left, x.right]
+
+
 def test_token_updates(spark, frame, library):
     docs = frame(ODD)
     path = op3_bpe.default_tokenizer()
@@ -219,6 +242,29 @@ def test_token_query(spark, documents, library):
 # --- 8: licences
 
 
+def test_many_notices_in_one_text(frame, tmp_path, spark):
+    """Whatever notices a text holds word for word, all their labels are found, and as the SQL has it."""
+    from parity import compare, connect
+
+    rng = random.Random(88)
+    docs, want = [], {}
+    for i in range(60):
+        chosen = [x for x in op8_licenses.TEMPLATES if rng.random() < (1.0 if i == 0 else 0.4)]
+        rng.shuffle(chosen)
+        words = " ".join(rng.choice(("mozilla", "creative", "binary", "granted", "law", "tree", "the")) for _ in range(rng.randrange(40)))
+        docs.append((i, words + " " + " -- ".join(text for _, text, _ in chosen) + " " + words))
+        want[i] = {label for label, _, _ in chosen}
+    got = {r["doc_id"]: r for r in op8_licenses.scan(frame(docs)).collect()}
+    for i in want:
+        assert want[i] <= set(got[i]["labels"].split(",")), i
+        assert not want[i] or got[i]["score"] == 1.0
+    frame(docs + [(7, docs[7][1]), (None, docs[3][1])]).select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "documents.parquet")
+    con = connect(SMALL)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    compare(op8_licenses.query(spark, str(tmp_path)), con, op8_licenses.SQL)
+
+
 def test_licence_oracle(spark):
     from parity import compare, connect
 
