@@ -156,6 +156,48 @@ def test_tiling_equals_the_slow_one():
         assert sorted(got) == sorted(slow_tiles(a, b, 3))
 
 
+def test_rolling_hashes():
+    """Any run's hash is that of its words alone."""
+    rng = np.random.default_rng(5)
+    w = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for n in (1, 2, 5, 40, 300):
+        h = op1.rolling(w, n)
+        assert len(h) == 301 - n and all(op1.rolling(w[k : k + n].copy(), n)[0] == h[k] for k in range(0, len(h), 7))
+    assert len(op1.rolling(w, 301)) == len(op1.rolling(w[:0], 1)) == 0
+
+
+def test_very_long_texts_are_tiled():
+    """A million words against an item of five thousand, in seconds."""
+    import time
+
+    rng = np.random.default_rng(6)
+    item = rng.integers(0, 1 << 60, 5_000, dtype=np.uint64)
+    text = rng.integers(0, 1 << 60, 1_000_000, dtype=np.uint64)
+    text[1000:3500], text[700_000:702_400] = item[2500:], item[:2400]
+    began = time.time()
+    got = op1.tiles(text, item, 5)
+    assert sorted(got) == [(1000, 2500, 2500), (700_000, 0, 2400)] and time.time() - began < 20
+    same = op1.tiles(np.tile(item[:50], 2000), item, 5)
+    assert same[0][1:] == (0, 50)
+
+
+def test_string_item_ids(spark, frame):
+    text = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([("a", text), (None, text)], "item_id string, text string")
+    assert sorted((r["doc_id"], r["item_id"] or "") for r in op1.leaks(frame([(1, text), (2, "no")]), bench).collect()) == [(1, ""), (1, "a")]
+    assert op1.leaks(frame([(2, "no")]), bench).count() == 0
+
+
+def test_chunks_pass_one_after_the_other(spark, frame, monkeypatch, tmp_path):
+    rng = random.Random(18)
+    items = [(k, " ".join(words(rng, 30)), "x") for k in range(9)]
+    spark.createDataFrame(items, "item_id long, text string, lang string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(i, " ".join(words(rng, 40)) + (" " + items[i % 9][1] if i % 2 else "")) for i in range(30)]
+    for size in (500_000, 50):
+        monkeypatch.setattr(op1, "CHUNK_WORDS", size)
+        assert sorted(r["doc_id"] for r in op1.stage(spark, frame(docs), str(tmp_path)).collect()) == [i for i, _ in docs if i % 2 == 0]
+
+
 def test_leaks(spark, frame, monkeypatch):
     rng = random.Random(8)
     items = {k: words(rng, rng.randint(15, 50)) for k in range(30)}
