@@ -33,9 +33,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: A block value with more classes than this (or 1 in 65,536 of all) is dealt again.
 HOT_NODES = 65_536
 FRONTIER = 1 << 20
-BUCKETS = 1 << 20
-#: Column names that documents do not use.
-OTHER, BUCKET, OTHER_BUCKET = "__radarlake_id", "__radarlake_bucket", "__radarlake_id_bucket"
+#: A column name that documents do not use.
+OTHER = "__radarlake_id"
 
 
 def fingerprint(text: str) -> int:
@@ -172,15 +171,17 @@ def links(classes: DataFrame) -> DataFrame:
     dealt = classes.select("fp", F.expr(f"inline(array({', '.join(rotated)}))"))
     sizes = materialize(dealt.groupBy("blk", "node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_NODES))
     if sizes.isEmpty():
-        cold = dealt.select("blk", "node", "fp", F.lit(0).alias("bits"), F.lit(0).alias("p"), F.lit(0).alias("q"))
+        cold = dealt.select("blk", "node", "fp", F.lit(0).alias("bits"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
         return cold.repartition("blk", "node").select("blk", "fp", "bits", "p", "q").mapInArrow(frugal(_walk), "a long, b long")
     limit = max(HOT_NODES, classes.count() * len(BLOCKS) // 65_536)
-    hot = sizes.filter(F.col("n") > limit).withColumn("bits", F.least(F.lit(12), F.ceil(F.log2(F.col("n") / limit)).cast("int") + 2))
-    all_ = dealt.join(F.broadcast(hot.drop("n")), ["blk", "node"], "left")  # at most 65,536 rows
     width = F.expr("CASE WHEN blk = 0 THEN 22 ELSE 21 END")
-    cold = all_.filter("bits IS NULL").select("blk", "node", "fp", F.lit(0).alias("bits"), F.lit(0).alias("p"), F.lit(0).alias("q"))
-    at = all_.filter("bits IS NOT NULL").withColumn("w", width).withColumn("u", F.expr("cast(shiftrightunsigned(rot, 64 - w - bits) & (shiftleft(1L, bits) - 1) as int)"))
-    near = F.expr(f"transform(filter(sequence(0, cast(shiftleft(1, bits) as int) - 1), x -> bit_count(x) <= {BUDGET}), x -> struct(least(u, u ^ x) AS p, greatest(u, u ^ x) AS q))")
+    hot = sizes.filter(F.col("n") > limit).withColumn("bits", F.least(F.lit(64) - width, F.ceil(F.log2(F.col("n") / limit)).cast("int") + 2))
+    all_ = dealt.join(F.broadcast(hot.drop("n")), ["blk", "node"], "left")  # at most 65,536 rows
+    cold = all_.filter("bits IS NULL").select("blk", "node", "fp", F.lit(0).alias("bits"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
+    at = all_.filter("bits IS NOT NULL").withColumn("w", width).withColumn("u", F.expr("shiftrightunsigned(rot, 64 - w - bits) & (shiftleft(1L, bits) - 1)"))
+    # all sub-nodes at most BUDGET (two) bits away: none, one or two bits set
+    near = F.expr("concat(array(0L), flatten(transform(sequence(0, bits - 1), i -> transform(sequence(i, bits - 1), j -> shiftleft(1L, i) | shiftleft(1L, j)))))")
+    near = F.transform(near, lambda x: F.struct(F.least("u", F.col("u").bitwiseXOR(x)).alias("p"), F.greatest("u", F.col("u").bitwiseXOR(x)).alias("q")))
     deep = at.select("blk", "node", "fp", "bits", F.inline(near))
     return cold.unionByName(deep).repartition("blk", "node", "p", "q").select("blk", "fp", "bits", "p", "q").mapInArrow(frugal(_walk), "a long, b long")
 
@@ -204,19 +205,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where rows repeat an id, those that aren't the same in every column all stay.
     """
     per = materialize(dedup(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(OTHER)).agg(F.max("component").alias("c"), F.count(F.lit(1)).alias("n")))
-    # Only rows in hash buckets with such an id are moved; at most BUCKETS rows are broadcast. The bucket
-    # is part of the later joins' keys, else the optimizer would put them below the broadcast join.
-    per = per.withColumn(OTHER_BUCKET, F.xxhash64(OTHER).bitwiseAND(F.lit(BUCKETS - 1)))
-    gone = per.filter(F.col("c") < F.col(OTHER)).select(OTHER, OTHER_BUCKET)
-    twice = per.filter("n > 1").select(OTHER, OTHER_BUCKET)
-    hit = gone.union(twice).select(F.col(OTHER_BUCKET).alias(BUCKET)).distinct()
-    known = docs.join(F.broadcast(hit), F.xxhash64("doc_id").bitwiseAND(F.lit(BUCKETS - 1)) == F.col(BUCKET), "left")
-    clean = known.filter(F.col(BUCKET).isNull()).select(*docs.columns)
-    here = (F.col("doc_id") == F.col(OTHER)) & (F.col(BUCKET) == F.col(OTHER_BUCKET))
-    kept = known.filter(F.col(BUCKET).isNotNull()).join(gone, here, "left_anti")
+    gone = per.filter(F.col("c") < F.col(OTHER)).select(OTHER)
+    twice = per.filter("n > 1").select(OTHER)
+    kept = docs.join(gone, docs["doc_id"] == gone[OTHER], "left_anti")
     if not twice.isEmpty():
-        kept = kept.join(twice, here, "left_anti").unionByName(kept.join(twice, here, "left_semi").distinct())
-    return clean.unionByName(kept.select(*docs.columns))
+        kept = kept.join(twice, kept["doc_id"] == twice[OTHER], "left_anti").unionByName(kept.join(twice, kept["doc_id"] == twice[OTHER], "left_semi").distinct())
+    return kept.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Evidence of a row, each a likelihood of every language:
 
 * text: naive Bayes over letter trigrams of words, fitted on a bounded sample of
-  documents with a declared language (``FIT_ROWS``, ``MOST_GRAMS``), tempered as
-  neighbouring trigrams repeat each other;
+  documents with a declared language (``FIT_ROWS``; of each language the ``MOST_GRAMS``
+  most frequent trigrams), tempered as neighbouring trigrams repeat each other;
 * the language that the markup declares (html lang) and the address suffix (a language
   code in the path, else the top-level domain), whose likelihoods are grouped counts
   against the text's best guess over all rows, smoothed;
@@ -67,13 +67,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 words = Counter(WORD.findall(text or ""))
                 for w, n in words.items():
                     for g in grams(w):
-                        got[lang, g] += min(n, 4)  # a repeated line is not that much evidence
+                        got[lang, g] += n.bit_length()  # a repeated line is not that much evidence
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(frugal(tally), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # each language's trigrams in turn, so the bound takes none of the languages
-    counts = counts.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    rows = counts.orderBy("turn", F.desc("n"), "lang", "gram").limit(MOST_GRAMS).collect()
+    # each language has its own bound, so none takes another's place
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    rows = counts.withColumn("place", best).filter(F.col("place") <= MOST_GRAMS).collect()
     langs = sorted({r["lang"] for r in rows})
     total = dict.fromkeys(langs, 0)
     table: dict[str, dict[str, int]] = {}
@@ -122,7 +122,7 @@ class WordScores:
 def evidence(rows: DataFrame, model) -> DataFrame:
     """rows (table, id, host, domain, suffix, declared, text) -> the text replaced by ll and best."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most MOST_GRAMS rows
+    shared = spark.sparkContext.broadcast(model)  # at most MOST_GRAMS rows for each of the sample's languages
     kept = [c for c in rows.columns if c not in ("text", "markup")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

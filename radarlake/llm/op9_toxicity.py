@@ -14,8 +14,8 @@ nearest examples come back as evidence. Texts without any term get the label's r
 among examples without any.
 
 Edge cases: null or empty texts have no terms; a null id counts as not held out and
-never as labelled; an id with several labels takes the largest; null labels are
-unlabelled; without any example every score is 0; repeated rows are scored alike; an
+never as labelled; an id with several labels takes the largest, one with several texts
+gives the least of them as an example; null labels are unlabelled; without any example every score is 0; repeated rows are scored alike; an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from radarlake.llm.common import Memo, frugal, materialize, workers_can_import
 
 FIT_ROWS = 16_384
-MOST_TERMS = 4_096
 CHI_SQUARE = 30.0
 LEAST_DF = 3
 NEIGHBOURS = 15
@@ -229,7 +228,7 @@ def _chi_square(n1, n0, all1: int, all0: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
-    """docs (doc_id, text); labels (doc_id, toxic). What reaches the driver is bounded by fit_rows and MOST_TERMS."""
+    """docs (doc_id, text); labels (doc_id, toxic). What reaches the driver is bounded by fit_rows: the sample's terms and vectors."""
     spark = docs.sparkSession
     workers_can_import(spark)
     docs = docs.select("doc_id", "text")
@@ -250,7 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
         alike = ids.join(many, ["y", m], "left_semi").groupBy("y", m).applyInArrow(_unlike, ids.schema)
         ids = materialize(ids.join(many, ["y", m], "left_anti").select(*ids.columns).unionByName(alike))
     one = ids.select("doc_id").distinct()  # at most fit_rows
-    sample = materialize(sample.select("doc_id", "text", "y").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]))
+    sample = sample.select("doc_id", "text", "y").join(F.broadcast(one), "doc_id")
+    # of rows that repeat an id, the least text, so that a fit can be repeated
+    sample = materialize(sample.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("x")).select("doc_id", "x.text", "x.y"))
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     all1, all0 = size.get(1, 0), size.get(0, 0)
 
@@ -270,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
 
     found = sample.select("text", "y").mapInArrow(frugal(tally), "term string, y int, n long").groupBy("term").agg(F.sum(F.expr("CASE WHEN y = 1 THEN n ELSE 0 END")).alias("n1"), F.sum(F.expr("CASE WHEN y = 0 THEN n ELSE 0 END")).alias("n0"))
     best = found.filter(F.col("n1") + F.col("n0") >= LEAST_DF).withColumn("x", _chi_square(F.col("n1"), F.col("n0"), all1, all0)).filter(F.col("x") >= CHI_SQUARE)
-    vocab = {r["term"]: k for k, r in enumerate(best.orderBy(F.desc("x"), "term").limit(MOST_TERMS).select("term").collect())}
+    vocab = {r["term"]: k for k, r in enumerate(best.orderBy(F.desc("x"), "term").select("term").collect())}  # of the sample's words
 
     def df_counts(batches):
         scorer, got, n = Scorer(vocab), Counter(), 0
@@ -281,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Index:
         got[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array(list(got.values()), pa.int64())], names=["t", "n"])
 
-    df = dict(docs.select("text").mapInArrow(frugal(df_counts), "t int, n long").groupBy("t").agg(F.sum("n")).collect())  # at most MOST_TERMS + 1 rows
+    df = dict(docs.select("text").mapInArrow(frugal(df_counts), "t int, n long").groupBy("t").agg(F.sum("n")).collect())  # the vocabulary's counts
     n = df.get(-1, 0)
     idf = np.array([math.log((1 + n) / (1 + df.get(k, 0))) + 1 for k in range(len(vocab))])
 
@@ -299,7 +300,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence): evidence is the three nearest examples."""
     spark = docs.sparkSession
     workers_can_import(spark)
-    shared = spark.sparkContext.broadcast(index)  # bounded by FIT_ROWS and MOST_TERMS
+    shared = spark.sparkContext.broadcast(index)  # bounded by FIT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value.vocab, shared.value)
