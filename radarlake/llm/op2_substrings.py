@@ -10,8 +10,9 @@ passages have word for word.
 For each of two hash functions, the Cartesian tree over a text's token hashes gives its
 compact windows (l, c, r): every subsequence within l..r that holds c has its min-hash
 at c. An interval join of the two lists, by position, gives the subsequences of RUN
-tokens in groups (first, last) that share both min-hashes, so a run that two texts share
-lies in groups of equal signature. Members of a signature are linked in a star around
+tokens in groups (first, last) that share both min-hashes and so the tokens between the
+two; these are the group's signature. A run that two texts share lies in groups of equal
+signature. Members of a signature are linked in a star around
 the first place that has it, never all pairs: a signature that many texts of a batch
 hold first among these, and batches among each other, so one that a third of all texts
 hold is one row a batch. Every place of a signature in a text is a member of its own. Each link is verified by tokens,
@@ -155,7 +156,12 @@ def signatures(h: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     cut = np.flatnonzero(np.r_[True, (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1])])
     first, last = starts[cut], starts[np.r_[cut[1:] - 1, len(starts) - 1]]
     a, b = at[0][cut], at[1][cut]
-    key = _mixed(value[0][a] * np.uint64(_MIX[2]) + value[1][b] + (b - a).astype(np.uint64) * np.uint64(_MIX[3]), 2)
+    lo, hi = np.minimum(a, b), np.maximum(a, b) + 1
+    # all tokens between the two centres, by prefix sums of a polynomial modulo 2^64
+    power, back = (np.r_[np.uint64(1), np.cumprod(np.full(len(h) - 1, np.uint64(x)))] for x in (_MIX[0], pow(_MIX[0], -1, 1 << 64)))
+    sums = np.r_[np.uint64(0), np.cumsum(h * power)]
+    between = (sums[hi] - sums[lo]) * back[lo]
+    key = _mixed(value[0][a] * np.uint64(_MIX[2]) + value[1][b] + (b - a).astype(np.uint64) * np.uint64(_MIX[3]) + between * np.uint64(_MIX[1]), 2)
     return key, a, first, last
 
 
@@ -485,10 +491,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     others = others.select("num", "other", *(F.col(c).alias(f"b_{c}") for c in ("id", "rid", "places", "tokens")))
 
     def verify(batches):
-        """kind 0: a passage that the other text has; 1: the content of one that isn't word for word there."""
+        """kind 0: a passage that the other text has; 1: the contents of those that aren't word for word there; 2: of the other text."""
         for b in batches:
             i_kind = b.schema.field("id").type
-            types = {"kind": pa.int32(), "num": pa.int64(), "id": i_kind, "rid": pa.int64(), "first_word": pa.int32(), "n_words": pa.int32(), "source": i_kind, "source_word": pa.int32(), "similarity": pa.float64(), "w": pa.int64(), "v": pa.int64()}
+            types = {"kind": pa.int32(), "num": pa.int64(), "id": i_kind, "rid": pa.int64(), "first_word": pa.int32(), "n_words": pa.int32(), "source": i_kind, "source_word": pa.int32(), "similarity": pa.float64(), "w": pa.int64(), "v": pa.int64(), "at": pa.list_(pa.int32())}
             rows, spots = [], []
             for r in b.to_pylist():
                 if not r["places"]:
@@ -508,35 +514,42 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     tries = [(far + p - q, lo - p, hi - p) for far, lo, hi in tries.tolist()]
                     tried, best, shift = similarities(x, y, tries)
                     for s, e, t, j in passages(x, y, best, shift):
-                        rows.append((0, r["num"], r["id"], r["rid"], s + p, e - s, r["b_id"], t + q, j, None, None))
+                        rows.append((0, r["num"], r["id"], r["rid"], s + p, e - s, r["b_id"], t + q, j, None, None, None))
                     # not word for word: found by its content, in whichever text
                     able &= tried & (best < 1.0)
                     lost = [(x, np.flatnonzero(able), p, ""), (y, _shifted(tries, able, len(y)), q, "b_")] if able.any() else []
                 for h, at, o, name in lost:
                     gaps = np.r_[0, np.cumsum(h < 2)]
                     at = at[gaps[at + SPAN] == gaps[at]]
-                    if len(at):
-                        spots.append((r["other"] if name else r["num"], r[name + "id"], r[name + "rid"], at + o, *contents(h, at)))
+                    if not len(at):
+                        continue
+                    w, v = contents(h, at)
+                    order = np.lexsort((at, v, w))
+                    w, v, at = w[order], v[order], at[order] + o
+                    new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])])
+                    if name:  # a source needs one place
+                        spots.append((2, r["other"], r["b_id"], r["b_rid"], w[new], v[new], np.ones(len(new), np.int64), at[new]))
+                    else:
+                        spots.append((1, r["num"], r["id"], r["rid"], w[new], v[new], np.diff(np.r_[new, len(at)]), at))
             yield _rows(types, rows)
-            for k in range(0, len(spots), 4096):
-                some = spots[k : k + 4096]
-                many = np.array([len(x[3]) for x in some])
-                each = pa.array(np.repeat(np.arange(len(some)), many))
-                num, i, rid = (pa.array([x[k] for x in some], t).take(each) for k, t in enumerate((pa.int64(), i_kind, pa.int64())))
-                c, w, v = (np.concatenate([x[k] for x in some]) for k in (3, 4, 5))
-                given = {"kind": pa.array(np.ones(len(c), np.int32)), "num": num, "id": i, "rid": rid, "first_word": pa.array(c.astype(np.int32)), "w": pa.array(w), "v": pa.array(v)}
-                yield pa.RecordBatch.from_arrays([given.get(n, pa.nulls(len(c), t)) for n, t in types.items()], names=list(types))
+            for k in range(0, len(spots), 1024):
+                some = spots[k : k + 1024]
+                each = pa.array(np.repeat(np.arange(len(some)), [len(x[4]) for x in some]))
+                what, num, i, rid = (pa.array([x[j] for x in some], t).take(each) for j, t in enumerate((pa.int32(), pa.int64(), i_kind, pa.int64())))
+                w, v, many, at = (np.concatenate([x[j] for x in some]) for j in (4, 5, 6, 7))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(at.astype(np.int32)))
+                given = {"kind": what, "num": num, "id": i, "rid": rid, "w": pa.array(w), "v": pa.array(v), "at": lists}
+                yield pa.RecordBatch.from_arrays([given.get(n, pa.nulls(len(w), t)) for n, t in types.items()], names=list(types))
 
     fields = f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double"
-    seen = materialize(own.join(others, ["num", "other"], "left").mapInArrow(frugal(verify), f"kind int, num long, {fields}, w long, v long"))
+    seen = materialize(own.join(others, ["num", "other"], "left").mapInArrow(frugal(verify), f"kind int, num long, {fields}, w long, v long, at array<int>"))
     discard(linked, many)
     near = seen.filter("kind = 0").select("id", "rid", "first_word", "n_words", "source", "source_word", "similarity").distinct()
 
-    spots = seen.filter("kind = 1").select(F.struct("w", "v").alias("key"), "num", "id", "rid", F.col("first_word").alias("c"))
-    spots = materialize(spots.distinct())
-    first = spots.groupBy("key").agg(F.min(F.struct("num", "id", "c")).alias("x"), F.max("num").alias("last"), F.count(F.lit(1)).alias("n")).filter("x.num < last")
+    spots = seen.filter("kind > 0").select(F.struct("w", "v").alias("key"), "kind", "num", "id", "rid", "at")
+    first = spots.groupBy("key").agg(F.min(F.struct("num", "id", F.col("at")[0].alias("c"))).alias("x"), F.max("num").alias("last"), F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("n")).filter("x.num < last AND n > 0")
     first = materialize(first.select("key", F.col("x.num").alias("other"), F.col("x.id").alias("source"), F.col("x.c").alias("bc"), "n"))
-    again = attach(spots, first, "key", "n").filter("num <> other")
+    again = attach(spots.filter("kind = 1"), first, "key", "n").filter("num <> other").select("id", "rid", "source", "bc", F.explode("at").alias("c"))
     again = again.groupBy("id", "rid", "source").agg(F.array_sort(F.collect_set(F.struct("c", "bc"))).alias("at"))
 
     def runs(batches):
