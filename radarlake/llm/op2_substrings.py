@@ -36,8 +36,10 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +74,7 @@ LINKS = ("<i8", "<i8", "<i4", "<i4", "<i4")  # text, other text, diagonal, first
 def _hasher():
     import xxhash
 
-    return Memo(lambda w: xxhash.xxh64_intdigest(w.lower()))
+    return Memo(xxhash.xxh64_intdigest)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -81,6 +83,18 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return g ^ (g >> np.uint64(28))
 
 
+@functools.lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, 2^bits of each."""
+    return tuple(np.r_[np.uint64(1), np.cumprod(np.full((1 << bits) - 1, np.uint64(x)))] for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _sums(h: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix sums, inverse powers): (sums[b] - sums[a]) * back[a] is a polynomial hash of h[a:b]."""
+    power, back = _powers(base, max(len(h).bit_length(), 10))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)]))), back
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of each 5 consecutive words (the last four places are not valid)."""
     h = np.zeros(len(words), dtype=np.uint64)
@@ -158,8 +172,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     a, b = at[0][cut], at[1][cut]
     lo, hi = np.minimum(a, b), np.maximum(a, b) + 1
     # all tokens between the two centres, by prefix sums of a polynomial modulo 2^64
-    power, back = (np.r_[np.uint64(1), np.cumprod(np.full(len(h) - 1, np.uint64(x)))] for x in (_MIX[0], pow(_MIX[0], -1, 1 << 64)))
-    sums = np.r_[np.uint64(0), np.cumsum(h * power)]
+    sums, back = _sums(h, _MIX[0])
     between = (sums[hi] - sums[lo]) * back[lo]
     key = _mixed(value[0][a] * np.uint64(_MIX[2]) + value[1][b] + (b - a).astype(np.uint64) * np.uint64(_MIX[3]) + between * np.uint64(_MIX[1]), 2)
     return key, a, first, last
@@ -220,7 +233,7 @@ def _pieces(texts: Iterator[tuple[int, str | None]]) -> Iterator[list[tuple[int,
     """Batches of (text, words, place of the first); a very long text is cut with an overlap."""
     part, size, step = [], 0, 1 << 21
     for text, raw in texts:
-        words = (raw or "").split()
+        words = (raw or "").lower().split()
         if len(words) < SPAN + SHINGLE - 1:
             continue
         for at in range(0, max(len(words) - RUN - SHINGLE + 2, 1), step - RUN - SHINGLE):
@@ -236,7 +249,7 @@ def _pieces(texts: Iterator[tuple[int, str | None]]) -> Iterator[list[tuple[int,
 def _members(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarray, ...]:
     """(signature, text, centre, first and last start from the centre) of a batch."""
     sizes = np.array([len(w) for _, w, _ in part])
-    words = np.fromiter((memo[w] for _, ws, _ in part for w in ws), dtype=np.uint64, count=int(sizes.sum()))
+    words = np.fromiter(map(memo.__getitem__, chain.from_iterable(ws for _, ws, _ in part)), dtype=np.uint64, count=int(sizes.sum()))
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(part)), sizes)
     key, c, first, last = signatures(shingles(words), doc, (ends - SHINGLE + 1)[doc])
@@ -247,7 +260,7 @@ def _members(part: list[tuple[int, list[str], int]], memo) -> tuple[np.ndarray,
 
 def _tokens(text: str, memo) -> np.ndarray:
     """Shingle hashes."""
-    words = np.fromiter((memo[w] for w in text.split()), dtype=np.uint64)
+    words = np.fromiter(map(memo.__getitem__, text.lower().split()), dtype=np.uint64)
     return shingles(words)[: max(len(words) - SHINGLE + 1, 0)]
 
 
@@ -273,18 +286,10 @@ def similarities(a: np.ndarray, b: np.ndarray, tries) -> tuple[np.ndarray, np.nd
         return tried, best, shift
     order = np.argsort(b, kind="stable")
     kinds = b[order]
-    at = np.minimum(np.searchsorted(kinds, a), len(b) - 1)
-    match = np.where(kinds[at] == a, order[at], -(1 << 40))
-    able = np.r_[0, np.cumsum(match >= 0)]
+    at = np.searchsorted(kinds, a)
+    match = np.where(kinds[np.minimum(at, len(b) - 1)] == a, order[np.minimum(at, len(b) - 1)], -(1 << 40))
+    able = np.concatenate(([0], np.cumsum(match >= 0)))
     able = able[SPAN:] - able[:-SPAN] >= COMMON
-    # tokens that one of the two has more than once are matched window by window
-    own = np.sort(a)
-    often = np.searchsorted(kinds, a, "right") - np.searchsorted(kinds, a) > 1
-    often |= np.searchsorted(own, a, "right") - np.searchsorted(own, a) > 1
-    often = np.r_[0, np.cumsum(often & (match >= 0))]
-    often = often[SPAN:] > often[:-SPAN]
-    view = np.lib.stride_tricks.sliding_window_view
-    places, tokens, others = view(match, SPAN), view(a, SPAN), view(b, SPAN)
     starts, fars = [], []
     for far, lo, hi in tries:
         lo, hi = max(lo, 0), min(hi, n - 1)
@@ -300,6 +305,16 @@ def similarities(a: np.ndarray, b: np.ndarray, tries) -> tuple[np.ndarray, np.nd
         starts.append(i)
         fars.append(np.full(len(i), far))
     starts, fars = (np.concatenate(x) if x else np.array([], dtype=np.int64) for x in (starts, fars))
+    if not len(starts):
+        return tried, best, shift
+    # tokens that one of the two has more than once are matched window by window
+    own = np.sort(a)
+    often = np.searchsorted(kinds, a, "right") - at > 1
+    often |= np.searchsorted(own, a, "right") - np.searchsorted(own, a) > 1
+    often = np.concatenate(([0], np.cumsum(often & (match >= 0))))
+    often = often[SPAN:] > often[:-SPAN]
+    view = np.lib.stride_tricks.sliding_window_view
+    places, tokens, others = view(match, SPAN), view(a, SPAN), view(b, SPAN)
     for k in range(0, len(starts), 20_000):
         i, far = starts[k : k + 20_000], fars[k : k + 20_000]
         todo = best[i] < 1.0
@@ -341,11 +356,9 @@ def passages(a: np.ndarray, b: np.ndarray, best: np.ndarray, shift: np.ndarray,
 def contents(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the tokens of the passages that start at ``at``."""
     out = []
-    for mix in (_MIX[2], _MIX[3]):
-        x = np.zeros(len(at), dtype=np.uint64)
-        for k in range(SPAN):
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(mix) + h[at + k]
-        out.append((x ^ (x >> np.uint64(32))).view(np.int64))
+    for base in (_MIX[2], _MIX[4]):
+        sums, back = _sums(_mixed(h, 3), base)
+        out.append(_mixed((sums[at + SPAN] - sums[at]) * back[at], 1).view(np.int64))
     return out[0], out[1]
 
 
@@ -402,6 +415,16 @@ def _rows(kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
 
+def _nested(lists: pa.ListArray, name: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Rows of array<struct<name, tries array<struct<far, lo, hi>>>> as lists of (number, tries)."""
+    of, inner = lists.offsets.to_numpy(), lists.values
+    numbers, tries = inner.field(name).to_pylist(), inner.field("tries")
+    cut = tries.offsets.to_numpy()
+    flat = np.stack([tries.values.field(x).to_numpy().astype(np.int64) for x in ("far", "lo", "hi")], axis=1)
+    for a, b in zip(of[:-1], of[1:], strict=True):
+        yield [(numbers[k], flat[cut[k] : cut[k + 1]]) for k in range(a, b)]
+
+
 def _links(src: DataFrame) -> DataFrame:
     """(text, pairs array<(other, tries array<(far, lo, hi)>)>) of the texts (num, text) that share a signature."""
     buckets = 16 * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -458,14 +481,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for b in batches:
             types = dict(zip([*names, "tries", "able"], (pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), *(pa.binary(),) * 4), strict=True))
             rows = []
-            for num, i, rid, text, pairs in zip(*(b.column(n).to_pylist() for n in ("num", "id", "rid", "text", "pairs")), strict=True):
+            for num, i, rid, text, pairs in zip(*(b.column(n).to_pylist() for n in ("num", "id", "rid", "text")), _nested(b.column("pairs"), "other"), strict=True):
                 tokens = _tokens(text, memo)
-                every = [np.array([(t["far"], t["lo"], t["hi"]) for t in x["tries"]], dtype=np.int64) for x in pairs]
-                able = covered(len(tokens), np.concatenate(every)[:, 1:])
-                for x, tries in zip(pairs, every, strict=True):
+                able = covered(len(tokens), np.concatenate([x for _, x in pairs])[:, 1:])
+                for other, tries in pairs:
                     places, own = cut_out(tokens, tries[:, 1], tries[:, 2])
                     if places:
-                        rows.append((num, x["other"], i, rid, places, own, tries.astype("<i4").tobytes(), able))
+                        rows.append((num, other, i, rid, places, own, tries.astype("<i4").tobytes(), able))
             yield _rows(types, rows)
 
     def theirs(batches):
@@ -473,13 +495,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for b in batches:
             types = dict(zip(names, (pa.int64(), pa.int64(), b.schema.field("id").type, pa.int64(), pa.binary(), pa.binary()), strict=True))
             rows = []
-            for num, i, rid, text, asked in zip(*(b.column(n).to_pylist() for n in ("num", "id", "rid", "text", "asked")), strict=True):
+            for num, i, rid, text, asked in zip(*(b.column(n).to_pylist() for n in ("num", "id", "rid", "text")), _nested(b.column("asked"), "num"), strict=True):
                 tokens = _tokens(text, memo)
-                for x in asked:
-                    tries = np.array([(t["far"], t["lo"], t["hi"]) for t in x["tries"]], dtype=np.int64)
+                for x, tries in asked:
                     places, own = cut_out(tokens, tries[:, 1] + tries[:, 0], tries[:, 2] + tries[:, 0])
                     if places:
-                        rows.append((x["num"], num, i, rid, places, own))
+                        rows.append((x, num, i, rid, places, own))
             yield _rows(types, rows)
 
     schema = f"num long, other long, id {kind}, rid long, places binary, tokens binary"
