@@ -37,9 +37,12 @@ def histogram(df: DataFrame, value: str = "value") -> DataFrame:
     return got.groupBy(bin_of(F.col(value), F.col("minimum"), F.col("maximum")).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def summary(df: DataFrame, value: str = "value") -> DataFrame:
+def summary(df: DataFrame, value: str = "value", generation: int | None = None) -> DataFrame:
     """One row: the exact figures, the 256 bins as an array, and the percentiles.
 
+    With a generation, that of the request it answers is in the row, so that a late
+    result is told from the one asked for last.
+
     The bins are placed once the extrema are known; only bins (256 rows at most) meet in
     one task.
     """
@@ -47,7 +50,8 @@ def summary(df: DataFrame, value: str = "value") -> DataFrame:
     bins = histogram(df, value).agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
     full = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
     got = exact.crossJoin(F.broadcast(bins)).select("finite_count", "invalid_count", "minimum", "maximum", full.alias("bins"))
-    return got.select("*", *(quantile(F.col("bins"), F.col("minimum"), F.col("maximum"), q).alias(name) for name, q in QUANTILES))
+    got = got.select("*", *(quantile(F.col("bins"), F.col("minimum"), F.col("maximum"), q).alias(name) for name, q in QUANTILES))
+    return got if generation is None else got.withColumn("generation", F.lit(generation).cast("long"))
 
 
 def quantile(bins: Column, low: Column, high: Column, q: float) -> Column:

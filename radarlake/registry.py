@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,12 +83,14 @@ def _last_mosaic(spark, d):
 
 @query("scan_mosaic", f', {MOSAIC} SELECT "row", col, hhhh FROM px, r WHERE "row" >= greatest(n - 2, 0) * 8 AND col >= 64')
 def _(spark, d):
-    return scan.mosaic(tb.orders_layer(spark, d), _last_mosaic(spark, d))
+    w = _last_mosaic(spark, d)
+    return scan.mosaic(tb.orders_layer(spark, d, w.window.row), w)
 
 
 @query("scan_mosaic_masked", f', {MOSAIC} SELECT "row", col, hhhh, CASE WHEN mask NOT IN (0, 255) THEN hhhh END AS value FROM px, r WHERE "row" >= greatest(n - 2, 0) * 8 AND col >= 64')
 def _(spark, d):
-    got = scan.mosaic(tb.orders_layer(spark, d), _last_mosaic(spark, d), tb.mask(spark, d))
+    w = _last_mosaic(spark, d)
+    got = scan.mosaic(tb.orders_layer(spark, d, w.window.row), w, tb.mask(spark, d, w.window.row))
     return got.select("row", "col", "hhhh", F.when(mask_ok(c("mask")), c("hhhh")).alias("value"))
 
 
@@ -147,9 +150,45 @@ def _(spark, d):
 
 @query("chunk_window", MIDDLE + f' SELECT "row", CAST(col AS BIGINT) AS col, re AS value FROM slc, w WHERE {IN_MIDDLE}')
 def _(spark, d):
+    """A window of a written chunk table: chunk numbers prune row groups, arrays are cut in Arrow."""
     w, shape = middle(spark, d)
-    stored = chunks.to_chunks(tb.slc(spark, d).withColumnRenamed("re", "value"), "slc", shape, CHUNK)
-    return chunks.to_pixels(stored.filter(scan.in_chunks(w, CHUNK)), w)
+    path = chunks.stored(spark, f"slc-re {d}", lambda: chunks.to_chunks(tb.slc(spark, d).withColumnRenamed("re", "value"), "slc", shape, CHUNK))
+    return chunks.to_pixels(chunks.read(spark, path, "slc", w, CHUNK), w)
+
+
+COVARIANCE = ("hhhh", "hvhv", "vvvv", "re", "mask")
+
+
+def _aligned(spark, d) -> DataFrame:
+    """The covariance layers as written chunk tables, side by side: one equi-join on chunk numbers."""
+    rows = tb.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // tb.WIDTH + 1
+
+    def layer(name: str) -> Callable[[], DataFrame]:
+        return lambda: chunks.to_chunks(tb.gcov(spark, d), name, (rows, tb.WIDTH), (32, 32), (name,))
+
+    return chunks.align({n: chunks.read(spark, chunks.stored(spark, f"{n} {d}", layer(n)), n) for n in COVARIANCE})
+
+
+@query("chunk_aligned_visit", ', t AS (SELECT "row", CAST(col AS BIGINT) AS col, (hhhh + CAST(2 AS FLOAT)*hvhv) + vvvv AS value FROM gcov WHERE mask NOT IN (0, 255)) SELECT * FROM t')
+def _(spark, d):
+    """Total power over aligned chunks, each row of chunks visited once."""
+    def total(a):
+        ok = np.isfinite(a["mask"]) & (a["mask"] != 0) & (a["mask"] != 255)
+        return np.where(ok, (a["hhhh"] + np.float32(2) * a["hvhv"]) + a["vvvv"], np.float32(np.nan))
+
+    got = chunks.visit(_aligned(spark, d), total, "values").withColumn("layer", F.lit("span"))
+    return chunks.to_pixels(got).filter("value IS NOT NULL")
+
+
+@query("chunk_aligned_statistics", """, t AS (SELECT "row" // 32 AS chunk_row, CAST(col // 32 AS BIGINT) AS chunk_col, re - hhhh AS v FROM gcov WHERE mask NOT IN (0, 255))
+  SELECT chunk_row, chunk_col, count(v) AS finite_count, min(v) AS minimum, max(v) AS maximum FROM t GROUP BY ALL""")
+def _(spark, d):
+    def difference(a):
+        ok = np.isfinite(a["mask"]) & (a["mask"] != 0) & (a["mask"] != 255)
+        return np.where(ok, a["re"] - a["hhhh"], np.float32(np.nan))
+
+    got = chunks.visit(_aligned(spark, d), difference, "values").withColumn("layer", F.lit("difference"))
+    return chunks.statistics(got).filter("finite_count > 0").select("chunk_row", "chunk_col", "finite_count", "minimum", "maximum")
 
 
 # --- predicates
@@ -395,8 +434,38 @@ _DBV = "CAST(CAST(10e0*log10(greatest(CAST(hhhh AS DOUBLE), 1e-20)) AS FLOAT) AS
 _speckle("speckle_db", "lee", 3, _near(3, f"pow(10e0, {_DBV}/10e0)") + OUT(f"10e0*log10(greatest({_lee(3)}, 1e-20))"), field, domain="power_db")
 
 
+def _float32(size: int, kind: str, enl: float = 3.0) -> str:
+    """The float32 kernel in SQL: each neighbour in turn updates count, mean and squares (Welford), as FLOAT."""
+    r = size // 2
+    f, span = "CAST({} AS FLOAT)".format, range(-r, r + 1)
+    shift = lambda x, k, over: f"lag({x}, {-k}) OVER ({over})" if k < 0 else f"lead({x}, {k}) OVER ({over})" if k else x
+    across = ", ".join(f"{shift('x', k, 'PARTITION BY \"row\" ORDER BY col')} AS c{k + r}" for k in span)
+    around = [f"{shift(f'c{j + r}', i, 'PARTITION BY col ORDER BY \"row\"')} AS y{(i + r) * size + j + r}" for i in span for j in span]
+    n = size * size
+    ys = [f"y{k}" for k in range(n)]
+    out = [
+        ', k0 AS (SELECT "row", col, CASE WHEN mask NOT IN (0, 255) AND hhhh >= 0 THEN hhhh END AS x FROM dense)',
+        f'k1 AS (SELECT "row", col, x, {across} FROM k0)',
+        f'k2 AS (SELECT "row", col, x, {", ".join(around)} FROM k1)',
+        f"k3 AS (SELECT *, greatest({', '.join(ys)}) AS scale FROM k2)",
+        'w0 AS (SELECT "row", col, x, scale, ' + ", ".join(f"CASE WHEN {y} IS NOT NULL THEN CASE WHEN scale > 0 THEN {y} / scale ELSE {f(0)} END END AS {y}" for y in ys) + f", CASE WHEN scale > 0 THEN x / scale ELSE {f(0)} END AS own, {f(0)} AS n, {f(0)} AS mean, {f(0)} AS m2 FROM k3)",
+    ]
+    for k, y in enumerate(ys):
+        rest = ", ".join(['"row"', "col", "x", "scale", "own", *ys[k + 1 :]])
+        out.append(f"u{k} AS (SELECT {rest}, {y}, m2, mean, n + CASE WHEN {y} IS NOT NULL THEN {f(1)} ELSE {f(0)} END AS n, CASE WHEN {y} IS NOT NULL THEN mean + ({y} - mean) / (n + {f(1)}) ELSE mean END AS mean1 FROM w{k})")
+        out.append(f"w{k + 1} AS (SELECT {rest}, n, mean1 AS mean, CASE WHEN {y} IS NOT NULL THEN CAST(CAST({y} - mean AS DOUBLE) * CAST({y} - mean1 AS DOUBLE) + CAST(m2 AS DOUBLE) AS FLOAT) ELSE m2 END AS m2 FROM u{k})")
+    got = "mean"
+    if kind == "lee":
+        out.append(f"v0 AS (SELECT *, m2 / greatest(n, {f(1)}) AS var, mean * mean / {f(enl)} AS noise FROM w{n})")
+        out.append(f"v1 AS (SELECT *, CASE WHEN var > noise AND var > 0 THEN least(greatest((var - noise) / var, {f(0)}), {f(1)}) ELSE {f(0)} END AS weight FROM v0)")
+        got = "CAST(CAST(weight AS DOUBLE) * CAST(own - mean AS DOUBLE) + CAST(mean AS DOUBLE) AS FLOAT)"
+    src = "v1" if kind == "lee" else f"w{n}"
+    out.append(f'k AS (SELECT "row", CAST(col AS BIGINT) AS col, CASE WHEN x IS NOT NULL THEN scale * least(greatest({got}, {f(0)}), {f(1)}) END AS value FROM {src})')
+    return ", ".join(out)
+
+
 def _kernel(name: str, kind: str, size: int) -> None:
-    @query(name)
+    @query(name, _float32(size, kind) + ' SELECT "row", col, round(CAST(value AS DOUBLE), 4) AS value FROM k')
     def _(spark, d):
         got = speckle.filtered(linear_field(spark, d), kind, size, 3.0, tile=64)
         return got.select("row", "col", F.round(c("value").cast("double"), 4).alias("value"))
@@ -407,10 +476,15 @@ _kernel("speckle_kernel_lee_5", "lee", 5)
 
 
 def _stored(spark, d) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
-    """hhhh and its mask in chunks of 32 x 32."""
+    """hhhh and its mask as written tables of chunks of 32 x 32."""
     rows = tb.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // tb.WIDTH + 1
-    field, shape = tb.dense_hhhh(spark, d), (rows, tb.WIDTH)
-    return chunks.to_chunks(field, "hhhh", shape, (32, 32), ("hhhh",)), chunks.to_chunks(field, "mask", shape, (32, 32), ("mask",)), shape
+    shape = (rows, tb.WIDTH)
+
+    def layer(name: str) -> DataFrame:
+        path = chunks.stored(spark, f"dense {name} {d}", lambda: chunks.to_chunks(tb.dense_hhhh(spark, d), name, shape, (32, 32), (name,)))
+        return chunks.read(spark, path, name)
+
+    return layer("hhhh"), layer("mask"), shape
 
 
 @query("chunk_transform", FIELD + ' SELECT "row", CAST(col AS BIGINT) AS col, v AS value FROM f')
@@ -425,21 +499,40 @@ def _(spark, d):
     return chunked.summary(chunked.transform(layer, "power_db", mask=mask)).select(*(n for n, _ in distribution.QUANTILES))
 
 
-@query("chunk_speckle_lee_5")
-def _(spark, d):
+def _filtered_chunks(spark, d, kind: str, size: int) -> DataFrame:
     layer, mask, shape = _stored(spark, d)
-    got = chunks.to_pixels(chunked.speckle(chunked.transform(layer, "linear", mask=mask), shape, (32, 32), "lee", 5, 3.0))
-    return got.select("row", "col", F.round(c("value").cast("double"), 4).alias("value"))
+    return chunked.speckle(chunked.transform(layer, "linear", mask=mask), shape, (32, 32), kind, size, 3.0)
+
+
+def _chunk_speckle(kind: str, size: int) -> None:
+    @query(f"chunk_speckle_{kind}_{size}", _float32(size, kind) + ' SELECT "row", col, round(CAST(value AS DOUBLE), 4) AS value FROM k')
+    def _(spark, d):
+        got = chunks.to_pixels(_filtered_chunks(spark, d, kind, size))
+        return got.select("row", "col", F.round(c("value").cast("double"), 4).alias("value"))
+
+
+for _k in speckle.SIZES:
+    _chunk_speckle("boxcar", _k)
+    _chunk_speckle("lee", _k)
+
+
+def flagship(spark, d) -> DataFrame:
+    """Distribution of the Lee-filtered raster in decibels, the whole masked raster in chunk form, with its 256 bins."""
+    return chunked.summary(chunked.transform(_filtered_chunks(spark, d, "lee", 5), "power_db"))
+
+
+FILTERED = _float32(5, "lee") + ", f AS (SELECT \"row\", col, CAST(CASE WHEN value IS NOT NULL THEN 10e0*log10(greatest(CAST(value AS DOUBLE), 1e-20)) END AS FLOAT) AS v FROM k), e AS (SELECT min(v) AS lo, max(v) AS hi FROM f)" + HIST.removeprefix(FIELD)
 
 
-@query("flagship")
+@query("flagship", FILTERED + ", q AS (" + _quantiles().replace(", b AS (", "WITH b AS (", 1) + ") SELECT (SELECT count(v) FROM f) AS finite_count, (SELECT count(*) - count(v) FROM f) AS invalid_count, lo AS minimum, hi AS maximum, q.* FROM q, e")
 def _(spark, d):
-    """Distribution of the Lee-filtered power-dB of the whole masked raster."""
-    rows = tb.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // tb.WIDTH + 1
-    w = geo.Window(0, 0, rows, tb.WIDTH)
-    got = scan.window(tb.dense_hhhh(spark, d), geo.read_plan(w, (rows, tb.WIDTH), (32, 32), 4).requested)
-    got = got.select("row", "col", tx.linear_db(c("hhhh"), c("mask")).alias("value"))
-    return distribution.summary(speckle.filtered(got, "lee", 5, 3.0, "power_db"))
+    return flagship(spark, d).drop("bins")
+
+
+@query("flagship_histogram", FILTERED + ' SELECT bin, n AS "count" FROM h')
+def _(spark, d):
+    got = flagship(spark, d).select(F.posexplode("bins").alias("bin", "count"))
+    return got.filter(c("count") > 0)
 
 
 # --- display

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from radarlake.operators.scan import in_chunks, in_window
 from radarlake.plans.geometry import Window, sampled_chunks
-from radarlake.session import workers_can_import
+from radarlake.session import shared_dir, workers_can_import
 
 SCHEMA = "layer string, chunk_row long, chunk_col long, row0 long, col0 long, height int, width int, values array<float>"
 
@@ -47,6 +47,19 @@ def write(chunks: DataFrame, path: str, mode: str = "append") -> None:
     chunks.repartition("layer", "chunk_row").sortWithinPartitions("layer", "chunk_row", "chunk_col").write.mode(mode).partitionBy("layer").parquet(path)
 
 
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> str:
+    """The path of a chunk table in the shared folder, made by ``make`` where this application has none of that name yet."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/radarlake-chunks/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
+        write(make(), path, "overwrite")
+        _stored[key] = path
+    return _stored[key]
+
+
 def read(spark: SparkSession, path: str, layer: str, window: Window | None = None, chunk: tuple[int, int] | None = None, stride: tuple[int, int] = (1, 1)) -> DataFrame:
     """Chunks of a layer that hold a sample of the window's lattice: all three predicates reach the scan."""
     df = spark.read.parquet(path).filter(F.col("layer") == layer)

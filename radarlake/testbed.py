@@ -29,15 +29,21 @@ def _grid(df: DataFrame, key: str) -> list:
     return [F.expr(f"{key} div {WIDTH}").alias("row"), (F.col(key) % WIDTH).cast("int").alias("col")]
 
 
-def orders_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hhhh: (row, col, hhhh)"""
+def _orders(spark: SparkSession, sf_dir: str, first_row: int) -> DataFrame:
+    """Orders from a raster row on: a range of keys, by which row groups are pruned."""
     o = table(spark, sf_dir, "orders")
+    return o.filter(F.col("o_orderkey") >= first_row * WIDTH) if first_row else o
+
+
+def orders_layer(spark: SparkSession, sf_dir: str, first_row: int = 0) -> DataFrame:
+    """hhhh: (row, col, hhhh)"""
+    o = _orders(spark, sf_dir, first_row)
     return o.select(*_grid(o, "o_orderkey"), (F.col("o_totalprice") / F.lit(1e5)).cast("float").alias("hhhh"))
 
 
-def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask(spark: SparkSession, sf_dir: str, first_row: int = 0) -> DataFrame:
     """(row, col, mask)"""
-    o = table(spark, sf_dir, "orders")
+    o = _orders(spark, sf_dir, first_row)
     return o.select(*_grid(o, "o_orderkey"), (F.col("o_orderkey") % 256).cast("smallint").alias("mask"))
 
 

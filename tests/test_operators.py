@@ -137,8 +137,8 @@ def test_display_window_edits():
 
 
 def test_palettes(spark):
-    first = {display.GRAYSCALE: (0, 0, 0), display.TURBO: (35, 23, 27), display.CYCLIC: (255, 64, 64), display.CUBEHELIX: (0, 0, 0)}
-    last = {display.GRAYSCALE: (255, 255, 255), display.TURBO: (144, 12, 0), display.CYCLIC: (255, 64, 64), display.CUBEHELIX: (255, 255, 255)}
+    first = {display.GRAYSCALE: (0, 0, 0), display.TURBO: (35, 23, 27), display.CYCLIC: (255, 64, 64), display.CUBEHELIX: (0, 0, 0), display.BALANCE: (23, 28, 66), display.CIVIDIS: (0, 32, 81), display.RD_BU: (5, 48, 97), display.PU_OR: (45, 0, 75)}
+    last = {display.GRAYSCALE: (255, 255, 255), display.TURBO: (144, 12, 0), display.CYCLIC: (255, 64, 64), display.CUBEHELIX: (255, 255, 255), display.BALANCE: (60, 9, 17), display.CIVIDIS: (253, 234, 69), display.RD_BU: (103, 0, 31), display.PU_OR: (127, 59, 8)}
     for p in first:
         row = display.palette_row(p)
         assert len(row) == 256 and row[0] == first[p] and row[255] == last[p]
@@ -147,10 +147,21 @@ def test_palettes(spark):
         display.palette_row(7)
     given = spark.createDataFrame([(7, 0, 1, 2, 3), (0, 0, 9, 9, 9)], "palette int, idx int, red int, green int, blue int")
     got = display.palettes(spark, given)
-    assert got.count() == 4 * 256 + 1 and got.filter("palette = 0 AND idx = 0").first()["red"] == 0
+    assert got.count() == len(display.KNOWN) * 256 + 1 and got.filter("palette = 0 AND idx = 0").first()["red"] == 0
     df = spark.createDataFrame([(0.0,), (1.0,), (None,)], "n double")
     rows = display.colorize(df, "n", 0, got).collect()
     assert sorted((r["red"] for r in rows if r["red"] is not None)) == [0, 255]
+    # approximations of the four perceptual palettes end within a few levels of their published ends
+    ends = {display.VIRIDIS: ((68, 1, 84), (253, 231, 37)), display.INFERNO: ((0, 0, 4), (252, 255, 164)), display.MAGMA: ((0, 0, 4), (252, 253, 191)), display.PLASMA: ((13, 8, 135), (240, 249, 33))}
+    for p, (a, b) in ends.items():
+        row = display.palette_row(p)
+        assert max(abs(x - y) for u, v in ((row[0], a), (row[255], b)) for x, y in zip(u, v, strict=True)) <= 8
+    # every preset has colours, and a palette without any is an error, not NULL
+    for mode in ("power_db", "phase", "real", "imaginary", "amplitude"):
+        got = display.colorize(df.filter("n IS NOT NULL"), "n", display.preset(mode)[2], display.palettes(spark))
+        assert got.filter("red IS NULL").count() == 0
+    with pytest.raises(ValueError):
+        display.colorize(df, "n", 7, display.palettes(spark))
 
 
 def test_sampling(spark):
