@@ -126,6 +126,66 @@ def test_hostile_and_broken_files():
         budget.string("x" * (2 << 20))
 
 
+class Stored:
+    """The low-level handle of a dataset: creation properties and stored chunks."""
+
+    def __init__(self, data, chunk):
+        self.data, self.chunk, self.direct = data, chunk, 0
+
+    def get_create_plist(self):
+        steps = [(2, 0, (self.data.dtype.itemsize,), b"shuffle"), (1, 0, (4,), b"deflate")]
+        return type("Plist", (), {"get_nfilters": lambda _: 2, "get_filter": lambda _, k: steps[k]})()
+
+    def read_direct_chunk(self, at):
+        import zlib
+
+        self.direct += 1
+        full = np.zeros(self.chunk, self.data.dtype)
+        part = self.data[at[0] : at[0] + self.chunk[0], at[1] : at[1] + self.chunk[1]]
+        full[: part.shape[0], : part.shape[1]] = part
+        raw = np.frombuffer(full.tobytes(), np.uint8).reshape(-1, self.data.dtype.itemsize).T.tobytes()
+        return 0, zlib.compress(raw, 4)
+
+
+class Opened(Group):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+@pytest.mark.parametrize("kind", ["<f4", "<c8", "u1"])
+def test_reader_prunes_and_decodes(kind, monkeypatch):
+    """Windows and chunk filters name the chunks that are read; stored bytes are decoded here, edges cut."""
+    from pyspark.sql import datasource as ds
+
+    data = (np.arange(130).reshape(10, 13) % 200).astype(kind)
+    made = Dataset(data, chunks=(4, 5), id=Stored(data, (4, 5)), fillvalue=data[0, 0])
+    f = Opened()
+    f.put(ROOT + "/frequencyA/HHHH", made)
+    monkeypatch.setattr(hdf5.ProductReader, "_open", lambda self: f)
+
+    def read(filters=(), **options):
+        r = hdf5.ProductReader({"path": "x", "dataset": ROOT + "/frequencyA/HHHH", **options})
+        assert list(r.pushFilters(list(filters))) == list(filters)
+        return {(b["chunk_row"][0].as_py(), b["chunk_col"][0].as_py()): b for p in r.partitions() for b in r.read(p)}
+
+    every = read()
+    assert sorted(every) == [(i, j) for i in range(3) for j in range(3)] and made.id.direct == 9
+    for (i, j), b in every.items():
+        part = data[i * 4 : i * 4 + 4, j * 5 : j * 5 + 5]
+        assert (b["height"][0].as_py(), b["width"][0].as_py()) == part.shape
+        got = np.array(b["values"][0].as_py(), np.float32)
+        assert (got.view(np.complex64) if kind == "<c8" else got).tolist() == part.ravel().tolist()
+    assert sorted(read(window="5,6,2,3")) == [(1, 1)] and sorted(read(window="0,0,1,13")) == [(0, 0), (0, 1), (0, 2)]
+    assert sorted(read([ds.GreaterThanOrEqual(("chunk_row",), 1), ds.LessThan(("chunk_col",), 2), ds.EqualTo(("layer",), "x")])) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    assert sorted(read([ds.In(("chunk_col",), (1,)), ds.GreaterThan(("chunk_row",), 1)])) == [(2, 1)] and not read([ds.EqualTo(("chunk_row",), 9)])
+    found = hdf5.pipeline(made)
+    assert [x["name"] for x in found] == ["shuffle", "deflate"] and found[1] == {"id": 1, "name": "deflate", "flags": 0, "client_data": [4]}
+    assert hdf5.fills(made, "complex" if kind == "<c8" else "float")["creation_fill_c" if kind == "<c8" else "creation_fill"] == ({"re": 0.0, "im": 0.0} if kind == "<c8" else 0.0)
+
+
 def test_types():
     for t, want in (("<i2", ("int", True)), ("u8", ("uint", True)), ("<f2", ("float", False)), ("<f8", ("float", True)), ("c16", ("complex", True)), ("S4", ("unsupported", False)), ([("Real", "<f8"), ("Imag", "<f8")], ("complex", True)), ([("r", "<f4"), ("i", "<f8")], ("unsupported", False))):
         kind, _, _, readable = hdf5.dtype_info(np.dtype(t))
