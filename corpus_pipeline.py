@@ -1,8 +1,9 @@
 """From raw documents to token shards: five stages, each on what its predecessor kept.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; between two stages the rows
-are written as Parquet to the shared folder and read again. All but the last return
-the columns of ``documents``. See each operator's module for its edge cases.
+are written as Parquet to the shared folder and read again, and go once the next stage
+has been written. All but the last return the columns of ``documents``. See each
+operator's module for its edge cases.
 """
 
 from __future__ import annotations
@@ -32,11 +33,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from radarlake.llm.common import materialize
+    from radarlake.llm.common import discard, materialize
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
+        got = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return got
+        got = materialize(got)
+        discard(docs)  # nothing was written of the table itself
+        docs = got
     return docs
