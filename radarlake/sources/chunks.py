@@ -7,6 +7,7 @@ work stays in this form; pixel form is for windows and what comes after sampling
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -51,7 +52,10 @@ _stored: dict[tuple, str] = {}
 
 
 def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> str:
-    """The path of a chunk table in the shared folder, made by ``make`` where this application has none of that name yet."""
+    """The path of a chunk table in the shared folder, made by ``make`` where this application has none of that name yet.
+
+    It lasts as long as the application: a source that changes meanwhile needs another name.
+    """
     key = (spark.sparkContext.applicationId, name)
     if key not in _stored:
         path = f"{shared_dir(spark)}/radarlake-chunks/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
@@ -60,6 +64,17 @@ def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> str
     return _stored[key]
 
 
+@atexit.register
+def _clean() -> None:
+    active = SparkSession.getActiveSession()
+    for path in _stored.values():
+        try:
+            at = active.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(active.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended: the folder's owner cleans it
+            pass
+
+
 def read(spark: SparkSession, path: str, layer: str, window: Window | None = None, chunk: tuple[int, int] | None = None, stride: tuple[int, int] = (1, 1)) -> DataFrame:
     """Chunks of a layer that hold a sample of the window's lattice: all three predicates reach the scan."""
     df = spark.read.parquet(path).filter(F.col("layer") == layer)
