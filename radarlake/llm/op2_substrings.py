@@ -605,7 +605,7 @@ def _shifted(tries, failed: np.ndarray, n: int) -> np.ndarray:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; a document left without a word goes."""
     spans = materialize(find(docs).groupBy("rid").agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans")))
-    spans = spans.select(F.col("rid").alias(OWN[0]), F.col("spans").alias(OWN[1]))
+    spans = spans.select(F.col("rid").alias(OWN[0]), F.col("spans").alias(OWN[1])).hint("merge")  # at any size: they grow with the table
     known = docs.withColumn(OWN[0], F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(spans, OWN[0], "left").select(*docs.columns, OWN[1])
     names = docs.columns
     at = names.index("text")

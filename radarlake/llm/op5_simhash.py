@@ -205,8 +205,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where rows repeat an id, those that aren't the same in every column all stay.
     """
     per = materialize(dedup(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(OTHER)).agg(F.max("component").alias("c"), F.count(F.lit(1)).alias("n")))
-    gone = per.filter(F.col("c") < F.col(OTHER)).select(OTHER)
-    twice = per.filter("n > 1").select(OTHER)
+    # by a sorted merge at any size: what is dropped grows with the table
+    gone = per.filter(F.col("c") < F.col(OTHER)).select(OTHER).hint("merge")
+    twice = per.filter("n > 1").select(OTHER).hint("merge")
     kept = docs.join(gone, docs["doc_id"] == gone[OTHER], "left_anti")
     if not twice.isEmpty():
         kept = kept.join(twice, kept["doc_id"] == twice[OTHER], "left_anti").unionByName(kept.join(twice, kept["doc_id"] == twice[OTHER], "left_semi").distinct())
