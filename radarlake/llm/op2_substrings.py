@@ -59,7 +59,7 @@ HASHES = 2
 LONG = 128
 #: More pairs than this around one text are dealt to several rows.
 STAR = 1024
-BATCH_WORDS = 1 << 20
+BATCH_WORDS = 1 << 19
 #: A signature that more places of a batch have is sent once, with links to its first place.
 LOCAL = 16
 ROWS = 1 << 16
