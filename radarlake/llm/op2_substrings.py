@@ -21,7 +21,11 @@ on its diagonal, for all passages that hold the shared run.
 An exact repeat whose first text holds only a part of the passage fails against it. So
 passages that were tried and aren't exact, all of whose runs have links, give a hash of
 their whole content (128 bits), of the text and of the first text, and are linked by
-that to the first text which has it, at each place: no star loses an exact repeat. A repeat that is near but not exact is found
+that to the first text which has it, at each place: no star loses an exact repeat. Among
+near copies these first texts change from place to place and grow with the group; so
+such stretches are settled text by text, without a join, and only those that cover
+words which no other row has are rows. The others are in the list ``also`` of a row, with
+their sources. A repeat that is near but not exact is found
 where a text that begins one of its signatures has it; it may be lost when all of these
 hold only parts of it. The README gives the recall against brute force.
 
@@ -462,9 +466,10 @@ def _links(src: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rid, first_word, n_words, source, source_word, similarity): passages that an earlier text has.
+    """(id, rid, first_word, n_words, source, source_word, similarity, also): passages that an earlier text has.
 
-    rid, a hash of id and text, tells rows apart that share an id.
+    also: (first_word, n_words, source, source_word) of exact repeats whose words the
+    text's rows cover. rid, a hash of id and text, tells rows apart that share an id.
     """
     workers_can_import(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id IS NOT NULL")
@@ -565,31 +570,100 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     fields = f"id {kind}, rid long, first_word int, n_words int, source {kind}, source_word int, similarity double"
     seen = materialize(own.join(others, ["num", "other"], "left").mapInArrow(frugal(verify), f"kind int, num long, {fields}, w long, v long, at array<int>"))
     discard(linked, many)
-    near = seen.filter("kind = 0").select("id", "rid", "first_word", "n_words", "source", "source_word", "similarity").distinct()
+    near = seen.filter("kind = 0").select("rid", "id", "source", F.array("first_word").alias("at"), "source_word", "n_words", "similarity")
 
     spots = seen.filter("kind > 0").select(F.struct("w", "v").alias("key"), "kind", "num", "id", "rid", "at")
     first = spots.groupBy("key").agg(F.min(F.struct("num", "id", F.col("at")[0].alias("c"))).alias("x"), F.max("num").alias("last"), F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).alias("n")).filter("x.num < last AND n > 0")
     first = materialize(first.select("key", F.col("x.num").alias("other"), F.col("x.id").alias("source"), F.col("x.c").alias("bc"), "n"))
-    again = attach(spots.filter("kind = 1"), first, "key", "n").filter("num <> other").select("id", "rid", "source", "bc", F.explode("at").alias("c"))
-    again = again.groupBy("id", "rid", "source").agg(F.array_sort(F.collect_set(F.struct("c", "bc"))).alias("at"))
+    again = attach(spots.filter("kind = 1"), first, "key", "n").filter("num <> other")
+    again = again.select("rid", "id", "source", "at", F.col("bc").alias("source_word"), F.lit(None).cast("int").alias("n_words"), F.lit(None).cast("double").alias("similarity"))
+
+    def settle(batches):
+        for rows in _by_text(batches):
+            yield from rows_of(rows).to_batches()
+
+    also = f"also array<struct<first_word: int, n_words: int, source: {kind}, source_word: int>>"
+    return near.unionByName(again).repartition("rid").sortWithinPartitions("rid").mapInArrow(frugal(settle, ROWS), f"{fields}, {also}")
 
-    def runs(batches):
-        for b in batches:
-            i_kind = b.schema.field("id").type
-            types = {"id": i_kind, "rid": pa.int64(), "first_word": pa.int32(), "n_words": pa.int32(), "source": i_kind, "source_word": pa.int32(), "similarity": pa.float64()}
-            rows = []
-            for i, rid, source, at in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                c = np.array([x["c"] for x in at])
-                cut = np.flatnonzero(np.diff(c) > 1)
-                for lo, hi in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(c) - 1].tolist(), strict=True):
-                    rows.append((i, rid, at[lo]["c"], int(c[hi] - c[lo]) + SPAN + SHINGLE - 1, source, at[lo]["bc"], 1.0))
-            yield _rows(types, rows)
 
-    again = again.mapInArrow(frugal(runs), fields)
-    known = near.groupBy(F.col("rid").alias("at")).agg(F.collect_set(F.struct("first_word", "n_words")).alias("spans"))
-    lost = again.join(known, F.col("rid") == F.col("at"), "left")
-    inside = F.exists("spans", lambda x: (x["first_word"] <= F.col("first_word")) & (x["first_word"] + x["n_words"] >= F.col("first_word") + F.col("n_words")))
-    return near.unionByName(lost.filter(~F.coalesce(inside, F.lit(False))).select(*near.columns))
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole texts from rows sorted by rid."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        rid = b.column("rid").to_numpy()
+        if not len(rid):
+            continue
+        last = int(np.searchsorted(rid, rid[-1]))
+        if last or held and held[-1].column("rid")[-1].as_py() != rid[0]:
+            yield pa.Table.from_batches([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def cover(text: np.ndarray, first: np.ndarray, end: np.ndarray, near: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which stretches of texts are needed for all of their words that no near passage (text, first, end) has.
+
+    Both ends grow from stretch to stretch of a text, so from each one that is kept the
+    next is the last that it touches.
+    """
+    base, lo, hi = text << 40, (text << 40) + first, (text << 40) + end
+    if len(near[0]):  # less what near passages have at either end
+        order = np.lexsort((near[1], near[0]))
+        begin, reach = ((near[0] << 40) + near[1])[order], np.maximum.accumulate(((near[0] << 40) + near[2])[order])
+        new = np.flatnonzero(np.r_[True, begin[1:] > reach[:-1]])
+        begin, reach = begin[new], reach[np.r_[new[1:], len(reach)] - 1]
+        lo = np.maximum(lo, np.where((k := np.searchsorted(begin, lo, "right") - 1) >= 0, reach[k], 0))
+        k = np.searchsorted(reach, hi, "left")
+        hi = np.minimum(hi, np.where(k < len(begin), begin[np.minimum(k, len(begin) - 1)], hi))
+    need = np.flatnonzero(lo < hi)
+    lo, hi = lo[need], hi[need]
+    after = np.maximum(np.searchsorted(lo, hi, "right") - 1, np.arange(1, len(need) + 1)).tolist()
+    kept, k = np.zeros(len(base), dtype=bool), 0
+    while k < len(need):
+        kept[need[k]], k = True, after[k]
+    return kept
+
+
+def rows_of(rows: pa.Table) -> pa.Table:
+    """The result for some texts, sorted by rid, from their near passages and the places (no similarity) of their exact ones.
+
+    Places that follow each other and have one source are a stretch. Near passages and
+    the stretches that cover the rest are rows; each other stretch is in the ``also`` of
+    the last row that starts no later. So the sources which a group of near copies
+    gives to a text make its lists longer, not its rows more.
+    """
+    rid, at = rows["rid"].to_numpy(), rows["at"].combine_chunks()
+    text = np.cumsum(np.r_[False, rid[1:] != rid[:-1]]).astype(np.int64)
+    source = rows["source"].combine_chunks().dictionary_encode().indices.to_numpy()
+    each, place = np.repeat(np.arange(len(rid)), at.value_lengths().to_numpy()), at.flatten().to_numpy().astype(np.int64)
+    whole = rows["similarity"].is_valid().to_numpy()[each]
+    # near passages, each once
+    row, first = each[whole], place[whole]
+    many, close = (rows[n].take(pa.array(row)).to_numpy() for n in ("n_words", "similarity"))
+    start = rows["source_word"].take(pa.array(row)).to_numpy()
+    once = np.unique(np.stack([text[row], first, many, source[row], start, close.view(np.int64)]), axis=1, return_index=True)[1]
+    near = row[once], first[once], first[once] + many[once]
+    # a place has one content, and so one source
+    row, c = each[~whole], place[~whole]
+    order = np.lexsort((c, text[row]))
+    row, c = row[order], c[order]
+    once = np.r_[True, (np.diff(text[row]) != 0) | (np.diff(c) != 0)][: len(c)]
+    row, c = row[once], c[once]
+    new = np.flatnonzero(np.r_[True, (np.diff(text[row]) != 0) | (np.diff(c) != 1) | (np.diff(source[row]) != 0)][: len(c)])
+    row, first, end = row[new], c[new], c[np.r_[new[1:], len(c)][: len(new)] - 1] + SPAN + SHINGLE - 1
+    main = cover(text[row], first, end, (text[near[0]], *near[1:]))
+
+    row, first, end, rest = (np.r_[near[0], row[main]], np.r_[near[1], first[main]], np.r_[near[2], end[main]], (row[~main], first[~main], end[~main]))
+    order = np.lexsort((end, first, text[row]))
+    row, first, end = row[order], first[order], end[order]
+    under = np.searchsorted((text[row] << 40) + first, (text[rest[0]] << 40) + rest[1], "right")
+    column = lambda name, row: rows[name].take(pa.array(row)).combine_chunks()
+    lists = pa.StructArray.from_arrays([pa.array(rest[1], pa.int32()), pa.array(rest[2] - rest[1], pa.int32()), column("source", rest[0]), column("source_word", rest[0])], names=["first_word", "n_words", "source", "source_word"])
+    also = pa.ListArray.from_arrays(pa.array(np.searchsorted(under, np.arange(len(row) + 1), "right").astype(np.int32)), lists)
+    out = {"id": column("id", row), "rid": column("rid", row), "first_word": pa.array(first, pa.int32()), "n_words": pa.array(end - first, pa.int32()), "source": column("source", row), "source_word": column("source_word", row)}
+    return pa.table(out | {"similarity": column("similarity", row).fill_null(1.0), "also": also})
 
 
 def _shifted(tries, failed: np.ndarray, n: int) -> np.ndarray:
@@ -638,6 +712,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """One row for each passage that an earlier document has: doc_id, its words, and the source."""
+    """One row for each passage that an earlier document has: doc_id, its words, the source, and exact repeats inside with theirs."""
     got = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return got.select(F.col("id").alias("doc_id"), "first_word", "n_words", F.col("source").alias("source_doc_id"), "source_word", F.round("similarity", 6).alias("similarity"))
+    also = F.transform("also", lambda x: F.struct(x["first_word"].alias("first_word"), x["n_words"].alias("n_words"), x["source"].alias("source_doc_id"), x["source_word"].alias("source_word")))
+    return got.select(F.col("id").alias("doc_id"), "first_word", "n_words", F.col("source").alias("source_doc_id"), "source_word", F.round("similarity", 6).alias("similarity"), also.alias("also"))

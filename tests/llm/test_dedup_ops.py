@@ -443,3 +443,38 @@ def test_string_ids(spark):
     p = " ".join(words(rng, 80))
     found = op2.find(spark.createDataFrame([("a", p), ("b", p), (None, p), ("c", None)], "doc_id string, text string")).collect()
     assert len(found) == 1 and {found[0]["id"], found[0]["source"]} == {"a", "b"}
+
+
+def test_group_of_near_copies_has_few_rows_and_all_sources(frame):
+    """Each text's passages are first in many others of the group: lists grow with it, not rows."""
+    rng = random.Random(21)
+    base, other = words(rng, 150, 10**6), words(rng, 150, 10**6)
+    docs = [(i, " ".join(other[j] if rng.random() < 0.05 else w for j, w in enumerate(base))) for i in range(300)]
+    found = op2.find(frame(docs)).collect()
+    assert not missed(found, docs)
+    text = {i: t.split() for i, t in docs}
+    for r in found:
+        assert all(a["source"] < r["id"] for a in r["also"])
+        assert all(a["first_word"] >= r["first_word"] for a in r["also"])
+        assert all(text[r["id"]][(k := a["first_word"]) : k + a["n_words"]] == text[a["source"]][(j := a["source_word"]) : j + a["n_words"]] for a in r["also"])
+    held: dict = {}
+    for r in found:
+        held.setdefault(r["id"], []).extend((x["first_word"], x["first_word"] + x["n_words"]) for x in (r, *r["also"]))
+    assert all(any(lo <= k and hi >= k + 50 for lo, hi in held[i]) for i, k in exact_repeats(docs))
+    assert sum(len(r["also"]) for r in found) > 100
+
+
+def test_rows_of_one_text_are_bounded():
+    import pyarrow as pa
+
+    kinds = {"rid": pa.int64(), "id": pa.string(), "source": pa.string(), "at": pa.list_(pa.int32()), "source_word": pa.int32(), "n_words": pa.int32(), "similarity": pa.float64()}
+    place = lambda rid, c, of: (rid, f"t{rid}", of, [c], c + 3, None, None)
+    many = [place(1, c, f"s{c}") for c in range(500)] * 2  # each passage is first in another text
+    rows = [*many, place(2, 7, "s"), place(2, 8, "s"), place(2, 30, "q"), (2, "t2", "n", [20], 0, 80, 0.9), (2, "t2", "n", [20], 0, 80, 0.9), (3, "t3", "n", [0], 0, 60, 0.9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(kinds.values())], names=list(kinds)) for part in (rows[:333], rows[333:333], rows[333:1001], rows[1001:])]
+    got = [r for t in op2._by_text(batches) for r in op2.rows_of(t).to_pylist()]
+    one = [r for r in got if r["rid"] == 1]
+    assert len(one) <= 2 * 549 / 50 + 1 and covers(one, "t1", 0, 549) == 1
+    assert sorted(x["source"] for r in one for x in (r, *r["also"])) == sorted(f"s{c}" for c in range(500))
+    assert all(x["n_words"] == 50 and x["source_word"] == x["first_word"] + 3 for r in one for x in (r, *r["also"]))
+    assert [(r["rid"], r["first_word"], r["n_words"], r["source"], r["similarity"], [tuple(a.values()) for a in r["also"]]) for r in got if r["rid"] > 1] == [(2, 7, 51, "s", 1.0, []), (2, 20, 80, "n", 0.9, [(30, 50, "q", 33)]), (3, 0, 60, "n", 0.9, [])]
