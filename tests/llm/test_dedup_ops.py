@@ -478,3 +478,16 @@ def test_rows_of_one_text_are_bounded():
     assert sorted(x["source"] for r in one for x in (r, *r["also"])) == sorted(f"s{c}" for c in range(500))
     assert all(x["n_words"] == 50 and x["source_word"] == x["first_word"] + 3 for r in one for x in (r, *r["also"]))
     assert [(r["rid"], r["first_word"], r["n_words"], r["source"], r["similarity"], [tuple(a.values()) for a in r["also"]]) for r in got if r["rid"] > 1] == [(2, 7, 51, "s", 1.0, []), (2, 20, 80, "n", 0.9, [(30, 50, "q", 33)]), (3, 0, 60, "n", 0.9, [])]
+
+
+def test_stage_cuts_what_rows_and_lists_hold(spark, frame):
+    """What is only in a list is in the words of the text's rows, so the stage cuts it too."""
+    rng = random.Random(22)
+    base, other = words(rng, 150, 10**6), words(rng, 150, 10**6)
+    docs = [(i, " ".join(other[j] if rng.random() < 0.05 else w for j, w in enumerate(base))) for i in range(200)]
+    spans: dict = {}
+    for r in op2.find(frame(docs)).collect():
+        spans.setdefault(r["id"], []).extend((x["first_word"], x["n_words"]) for x in (r, *r["also"]))
+    cut = {i: op2.without(t, spans.get(i, [])) for i, t in docs}
+    kept = {r["doc_id"]: r["text"] for r in op2.stage(spark, frame(docs), SMALL).collect()}
+    assert kept == {i: t for i, t in cut.items() if t.strip()} and len(kept) < len(docs)
